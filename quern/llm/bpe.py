@@ -22,8 +22,8 @@ from quern.llm.common import slices
 
 #: The characters of Unicode's White_Space, which the \s of the splitting pattern stands for.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Pieces, chunks and half the pairs of tokens that a worker remembers at most.
-MEMO = 200_000
+#: Pieces and chunks of text, or pairs of tokens, that a worker remembers at most.
+MEMO = 700_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,8 +51,8 @@ class Vocabulary:
         self.lengths = list(map(len, self.tokens))
         self.fits: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.starts: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The merges carried out one by one, lowest rank first, leftmost first; for short pieces."""
@@ -67,20 +67,25 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of both gives both again."""
-        if len(self.fits) > 2 * MEMO:
+        if len(self.fits) > MEMO:
             self.fits.clear()
         fits = self.fits[a << 32 | b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return fits
 
     def first(self, text: str, at: int) -> int:
-        """The longest token that starts here."""
+        """The longest token that starts here; ends of words recur, so those of short ones are remembered."""
         piece = text[at : at + self.longest]
-        n = self.trie.longest_prefix(piece)
-        while n:
-            if (token := self.trie.get(piece[:n], -1)) >= 0:
-                return token
-            n -= 1
-        return -1
+        token = self.starts.get(piece)
+        if token is None:
+            n, token = self.trie.longest_prefix(piece), -1
+            while n and token < 0:
+                token = self.trie.get(piece[:n], -1)
+                n -= 1
+            if len(piece) < 9:
+                if len(self.starts) > MEMO // 2:
+                    self.starts.clear()
+                self.starts[piece] = token
+        return token
 
     def next(self, token: int) -> int:
         """The longest token that is a proper prefix of this one, or -1."""
@@ -118,35 +123,36 @@ class Vocabulary:
                 raise ValueError("the vocabulary lacks single bytes")
         return ids
 
+    def remember(self, text: str, packed: bytes) -> bytes:
+        if len(text) < 40:
+            if len(self.known) > MEMO:
+                self.known.clear()
+            self.known[text] = packed
+        return packed
+
     def piece(self, text: str) -> bytes:
         piece = text.encode()
         whole = self.ranks.get(piece)
         packed = np.array([whole] if whole is not None else self.backtrack(piece), np.int32).tobytes()
-        if len(text) < 64:
-            if len(self.pieces) > MEMO:
-                self.pieces.clear()
-            self.pieces[text] = packed
-        return packed
+        return self.remember(text, packed)
 
     def chunk(self, text: str) -> bytes:
         """The ids of a chunk at whose ends no piece continues, as 32-bit integers."""
-        known = self.pieces.get
+        known = self.known.get
         found = self.fine.findall(text)
         packed = b"".join([known(x) or self.piece(x) for x in found])
-        if 1 < len(found) < 4:
-            if len(self.chunks) > MEMO:
-                self.chunks.clear()
-            self.chunks[text] = packed
-        return packed
+        return self.remember(text, packed) if 1 < len(found) < 4 else packed
 
     def encode(self, text: str) -> np.ndarray:
-        pieces, known, chunk = self.pieces.get, self.chunks.get, self.chunk
+        known, chunk = self.known.get, self.chunk
         if self.odd_space.search(text):
             chunks = self.coarse.findall(text)
         else:  # each space starts a chunk: no piece goes on over it
             head, *rest = text.split(" ")
-            chunks = [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-        return np.frombuffer(b"".join([pieces(x) or known(x) or chunk(x) for x in chunks]), np.int32)
+            chunks = [" " + x for x in rest]
+            if head:
+                chunks.insert(0, head)
+        return np.frombuffer(b"".join([known(x) or chunk(x) for x in chunks]), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
