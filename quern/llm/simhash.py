@@ -134,7 +134,7 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     return every[hung], every[roots[hung]]
 
 
-def links(fps: DataFrame, radius: int, least_tile: int = 8192, most_tile: int = 4_000_000, tiles_wanted: int = 40) -> DataFrame:
+def links(fps: DataFrame, radius: int, least_tile: int = 512, most_tile: int = 4_000_000, tiles_wanted: int = 24) -> DataFrame:
     """(u, v): a spanning forest of all links within the radius; fps has one column `fp` without repeats or nulls.
 
     Each fingerprint goes to as many tasks as its tile has near tiles: about tiles_wanted, until tiles reach most_tile rows
