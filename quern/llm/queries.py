@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, fingerprints, quality, simhash, warc
+from quern.llm import bpe, fingerprints, maxent, quality, simhash, warc
 from quern.llm.common import fresh_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -35,7 +35,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = quality.fit(docs, table(spark, sf_dir, "labels"), folds=5, held=0)
     return quality.scored(docs, net).select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
@@ -51,12 +51,17 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents").select("doc_id", "text"), samples=32)
 
 
+def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), fold=7, held=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op5_simhash": op5_simhash,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
+    "op10_maxent": op10_maxent,
 }
 
 ORACLE_SQL: dict[str, str] = {
