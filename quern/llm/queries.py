@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, fingerprints, maxent, quality, simhash, warc
-from quern.llm.common import fresh_dir, table
+from quern.llm import ann, bpe, fingerprints, maxent, quality, simhash, warc
+from quern.llm.common import checkpoint, fresh_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -25,6 +25,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed = checkpoint(ann.index(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), dim=64))
+    return ann.search(indexed, indexed.where(F.col("key") % 20 == 0), k=20)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, radius=4)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -57,6 +62,7 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_ann": op4_ann,
     "op5_simhash": op5_simhash,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
