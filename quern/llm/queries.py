@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, fingerprints, maxent, quality, simhash, warc
+from quern.llm import ann, bpe, fingerprints, maxent, mixing, quality, simhash, warc
 from quern.llm.common import checkpoint, fresh_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +25,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.planned(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), most_epochs=2.0)
+    return plan.select("doc_id", "source", "tokens", "epoch", "block", "slot")
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed = checkpoint(ann.index(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), dim=64))
     return ann.search(indexed, indexed.where(F.col("key") % 20 == 0), k=20)
@@ -62,6 +67,7 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
     "op4_ann": op4_ann,
     "op5_simhash": op5_simhash,
     "op7_quality": op7_quality,
@@ -71,6 +77,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": r"""
+WITH u AS (
+  SELECT source, doc_id, sum(greatest(1, len(str_split(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')), ' '))))::BIGINT AS tokens
+  FROM documents GROUP BY 1, 2),
+s AS (SELECT source, sum(tokens)::BIGINT AS total FROM u GROUP BY 1),
+e AS (SELECT sum(total)::DOUBLE AS everything, CASE WHEN max(total) <= 2 * min(total) THEN 0 ELSE round(1 - ln(2) / ln(max(total)::DOUBLE / min(total)), 6) END AS exponent FROM s),
+p AS (SELECT source, total, pow(total / everything, exponent) AS power FROM s, e),
+w AS (SELECT sum(power) AS whole, max(total / power) AS per FROM p),
+b AS (SELECT source, total, round(power / whole * (per * whole))::BIGINT AS budget FROM p, w),
+n AS (SELECT greatest(1, ceil(sum(budget) / 1000000.0))::BIGINT AS blocks FROM b),
+t AS (
+  SELECT u.*, total, budget, epoch, md5('1:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')) AS place
+  FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source, unnest(range(ceil(budget / total)::BIGINT)) AS x(epoch)),
+r AS (
+  SELECT *, epoch * total + coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM t),
+k AS (SELECT r.*, floor(start / budget * blocks)::INT AS block FROM r, n WHERE start < budget)
+SELECT doc_id, source, tokens, epoch::INT AS epoch, block,
+  row_number() OVER (PARTITION BY block ORDER BY place, source NULLS FIRST, doc_id NULLS FIRST, epoch)::INT AS slot
+FROM k""",
     "op8_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
