@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, fingerprints, maxent, mixing, quality, simhash, warc
+from quern.llm import ann, bpe, fingerprints, maxent, mixing, quality, simhash, substring_dedup, suffix_dedup, warc
 from quern.llm.common import checkpoint, fresh_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,6 +30,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "source", "tokens", "epoch", "block", "slot")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), window=100)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed = checkpoint(ann.index(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), dim=64))
     return ann.search(indexed, indexed.where(F.col("key") % 20 == 0), k=20)
@@ -40,6 +45,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality.fit(docs, table(spark, sf_dir, "labels"), folds=5, held=0)
@@ -68,8 +78,10 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ann": op4_ann,
     "op5_simhash": op5_simhash,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
