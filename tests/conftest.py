@@ -4,7 +4,7 @@ import sys
 import pytest
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, HERE)
+sys.path[:0] = [HERE, os.path.join(HERE, "tests", "llm")]
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (HERE, os.environ.get("PYTHONPATH")) if x)
 
 
