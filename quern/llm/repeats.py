@@ -7,14 +7,16 @@ anchor: each anchor with its surroundings, which are its windows laid over each
 resolver tells which windows of the different ones have an earlier equal.
 
 Anchors are counted by a shuffle of their hashes; which occur again comes back as a bitmap of fixed size, and a false hit costs
-work but changes nothing. Anchors that occur more often than HOT take another way that needs no task to see all of them: their
-windows are compared one by one through pre-aggregated hashes of 128 bits.
+work but changes nothing. What repeats inside a task is settled there, so that of equal surroundings each task sends one row.
+Anchors that occur more often than HOT take another way that needs no task to see all of them: their windows are compared one by
+one by hashes of 128 bits, of which again each task sends one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,73 +32,99 @@ BITS, PART = 1 << 27, 1 << 16
 HOT = 20_000
 #: Surroundings a task remembers to find equal ones in its own documents.
 MEMO = 300_000
+#: Texts of which anchors are found together.
+SLICE = 64
 TOP = (1 << 63) - 1
 
 
+@dataclass(frozen=True)
+class Sequence:
+    """Units of one text: their number, what they are made of, and the bytes of a range."""
+
+    n: int
+    units: bytes | list[bytes]
+    part: Callable[[int, int], bytes]
+
+
 @dataclass(frozen=True)
 class Units:
-    """How texts are cut into units. gram is a power of two."""
+    """How texts are cut into units, and hashes of all grams of texts in a row."""
 
     window: int
-    gram: int
-    cut: Callable[[bytes], "Sequence"]
+    gram: int  # for bytes a multiple of eight
+    cut: Callable[[bytes], Sequence]
+    grams: Callable[[list[Sequence], int], np.ndarray]
 
     @property
     def reach(self) -> int:
         return self.window - self.gram
 
 
-class Sequence:
-    """Units of one text: their number, a hash of each, and the bytes of a range."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
-    def __init__(self, n: int, hashes: Callable[[], np.ndarray], part: Callable[[int, int], bytes]) -> None:
-        self.n, self.hashes, self.part = n, hashes, part
+
+def summed(hashes: np.ndarray, size: int, step: int) -> np.ndarray:
+    """A hash of each `size` // `step` hashes that stand `step` apart."""
+    n, factor = len(hashes) - size + step, 0x9E3779B97F4A7C15
+    h = hashes[:n] * np.uint64(factor)
+    for at in range(step, size, step):
+        factor = factor * 0xA0761D6478BD642F % 2**64
+        h += hashes[at : at + n] * np.uint64(factor)
+    return mixed(h)
 
 
 def byte_units(text: bytes) -> Sequence:
-    return Sequence(len(text), lambda: np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), lambda a, b: text[a:b])
+    return Sequence(len(text), text, lambda a, b: text[a:b])
+
+
+def byte_grams(texts: list[Sequence], size: int) -> np.ndarray:
+    data = b"".join(t.units for t in texts)
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # eight bytes as one number, at each place
+    return summed(mixed(eights.copy()), size, 8)
 
 
 def word_units(text: bytes) -> Sequence:
     words = text.split()
-    return Sequence(len(words), lambda: np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)), lambda a, b: b" ".join(words[a:b]))
-
-
-def grams(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each `size` units in a row, made of halves."""
-    h, n = hashes * np.uint64(0x9E3779B97F4A7C15), 1
-    h ^= h >> np.uint64(29)
-    while n < size:
-        right = h[n:]
-        h = h[:-n] * np.uint64(0xD6E8FEB86659FD93) + (right ^ (right >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
-        h ^= h >> np.uint64(31)
-        n *= 2
-    return h
+    return Sequence(len(words), words, lambda a, b: b" ".join(words[a:b]))
+
+
+def word_grams(texts: list[Sequence], size: int) -> np.ndarray:
+    return summed(np.fromiter(map(xxh64_intdigest, chain.from_iterable(t.units for t in texts)), np.uint64), size, 1)
 
 
 def least(h: np.ndarray, w: int) -> np.ndarray:
     """The least value of each w in a row."""
-    n = len(h) - w + 1
-    padded = np.concatenate([h, np.full(-len(h) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
-    ahead = np.minimum.accumulate(padded, axis=1).ravel()
-    behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
-
-
-def anchors(units: Sequence, kind: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places and hashes of all anchors, and the first and last of the windows, told by where they start, that each is anchor of."""
-    if units.n < kind.window:
-        return (np.zeros(0, np.int64),) * 4
-    h, w = grams(units.hashes(), kind.gram), kind.reach + 1
-    v, edge = least(h, w), np.zeros(w - 1, np.uint64)
+    n, size = len(h) - w + 1, 1
+    while 2 * size <= w:
+        h = np.minimum(h[:-size], h[size:])
+        size *= 2
+    return np.minimum(h[:n], h[w - size : w - size + n])
+
+
+def anchors(texts: list[Sequence], kind: Units) -> tuple[np.ndarray, ...]:
+    """All anchors: number of the text, place, hash, and the first and last of the windows, told by where they start, it is for."""
+    ends = np.cumsum([t.n for t in texts])
+    if not len(ends) or max(t.n for t in texts) < kind.window:
+        return (np.zeros(0, np.int64),) * 5
+    whole, w = kind.grams(texts, kind.gram), kind.reach + 1
+    h = np.maximum((whole >> np.uint64(32)).astype(np.uint32), 1)  # by which the least is found
+    v, edge = least(h, w), np.zeros(w - 1, np.uint32)
+    for end in ends[:-1].tolist():  # windows over the end of a text are none
+        v[max(end - kind.window + 1, 0) : end] = 0
     p = np.flatnonzero(h == ~least(~np.concatenate([edge, v, edge]), w))
+    doc = np.searchsorted(ends, p, side="right")
+    begin = (ends - [t.n for t in texts])[doc]
     starts = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1])  # of runs of windows with the same least hash
     stops = np.append(starts[1:], len(v)) - 1
-    low = np.maximum(p - kind.reach, 0)
+    low = np.maximum(p - kind.reach, begin)
     run, open_ = np.searchsorted(starts, low, side="right") - 1, np.arange(len(p))
     while len(open_ := open_[v[starts[run[open_]]] != h[p[open_]]]):
         run[open_] += 1
-    return p, h[p].view(np.int64), np.maximum(starts[run], low), np.minimum(stops[run], p)
+    return doc, p - begin, whole[p].view(np.int64), np.maximum(starts[run], low) - begin, np.minimum(stops[run], p) - begin
 
 
 def slot(h: np.ndarray) -> np.ndarray:
@@ -169,10 +197,9 @@ def spans(texts: DataFrame, kind: Units, resolve: Resolver, bucket: int = 1 << 2
             h, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
-        for batch in slices(batches):
-            for text in utf8(batch.column(0)):
-                held.append(anchors(kind.cut(text), kind)[1])
-                size += len(held[-1])
+        for batch in slices(batches, SLICE):
+            held.append(anchors(list(map(kind.cut, utf8(batch.column(0)))), kind)[2])
+            size += len(held[-1])
             if size > 2_000_000:
                 yield out()
                 held, size = [], 0
@@ -183,48 +210,51 @@ def spans(texts: DataFrame, kind: Units, resolve: Resolver, bucket: int = 1 << 2
     counted = distinct.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     counted = checkpoint(counted)
     shared = texts.sparkSession.sparkContext.broadcast((bitmap(counted.select("h")), bitmap(counted.where(F.col("n") > HOT).select("h"))))
-    empty = {"h": None, "c": None, "at": None, "start": None, "stop": None, "text": None, "w1": None, "w2": None}
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again, hot = shared.value
         seen: dict[tuple, tuple] = {}
-        for batch in slices(batches, 128):
-            rows: list[dict] = []
-            for key, mark, text in zip(batch.column("key").to_pylist(), batch.column("mark").to_pylist(), utf8(batch.column("text")), strict=True):
-                units = kind.cut(text)
-                places, h, first, last = anchors(units, kind)
-                common = again.has(h)
-                if not common.any():
-                    continue
-                own, h = [], h[common]
-                for p, x, a, b, is_hot in zip(places[common].tolist(), h.tolist(), first[common].tolist(), (last[common] + kind.window).tolist(), hot.has(h).tolist(), strict=True):
-                    part = units.part(a, b)
-                    c = xxh64_intdigest(part, p - a)
-                    known, here = seen.get((x, c)), (key, mark, a)
-                    if known is not None and known <= here:
-                        if known < here:
-                            own.append((a, b))
-                        continue
-                    seen[x, c] = here
-                    if is_hot:
-                        for s in range(a, b - kind.window + 1):
-                            w = xxh3_128_digest(units.part(s, s + kind.window))
-                            rows.append(empty | {"key": key, "mark": mark, "start": s, "stop": s + kind.window, "w1": int.from_bytes(w[:8], signed=True), "w2": int.from_bytes(w[8:], signed=True)})
-                    else:
-                        rows.append(empty | {"key": key, "mark": mark, "h": x, "c": c - (c >> 63 << 64), "at": p - a, "start": a, "stop": b, "text": part})
-                rows += [empty | {"key": key, "mark": mark, "start": a, "stop": b} for a, b in _merged(own)]
+
+        def first_here(what: tuple, place: tuple) -> bool | None:
+            """Whether this is the first of its kind that the task meets; None if it is the same place again."""
+            known = seen.get(what)
+            if known is None or place < known:
+                seen[what] = place
+                return True
+            return None if place == known else False
+
+        for batch in slices(batches, SLICE):
+            rows: list[tuple] = []
+            keys, marks = batch.column("key").to_pylist(), batch.column("mark").to_pylist()
+            texts = list(map(kind.cut, utf8(batch.column("text"))))
+            found = anchors(texts, kind)
+            doc, places, h, first, last = (x[again.has(found[2])] for x in found)
+            own: list[list[tuple[int, int]]] = [[] for _ in texts]
+            for d, p, x, a, b, is_hot in zip(*(c.tolist() for c in (doc, places, h, first, last + kind.window, hot.has(h))), strict=True):
+                part, key, mark = texts[d].part(a, b), keys[d], marks[d]
+                c = xxh64_intdigest(part, p - a)
+                if not (new := first_here((x, c), (key, mark, a))):
+                    own[d] += [(a, b)] if new is False else []
+                elif not is_hot:
+                    rows.append((x, c - (c >> 63 << 64), p - a, key, mark, a, b, part))
+                else:
+                    for s in range(a, b - kind.window + 1):
+                        w = xxh3_128_digest(texts[d].part(s, s + kind.window))
+                        if not (new := first_here((w,), (key, mark, s))):
+                            own[d] += [(s, s + kind.window)] if new is False else []
+                        else:
+                            rows.append((int.from_bytes(w[:8], signed=True), int.from_bytes(w[8:], signed=True), WINDOW, key, mark, s, s + kind.window, b""))
+            for key, mark, spans_ in zip(keys, marks, own, strict=True):
+                rows += [(key, 0, SPAN, key, mark, a, b, b"") for a, b in _merged(spans_)]
             if len(seen) > MEMO:
                 seen.clear()
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, FOUND)
-
-    found = checkpoint(distinct.mapInArrow(gather, FOUND_DDL))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FOUND.types, strict=True)], FOUND.names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, last, h, members, groups = Rows(), None, None, [], 0
 
-        def out(done: int) -> pa.RecordBatch:
-            """Resolve the groups with several kinds of surroundings among the first rows."""
+        def out() -> pa.RecordBatch:
             start, stop = resolve(rows, kind) if rows.text else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             hit = np.flatnonzero(stop > start)
             own = [(*rows.order[i][:2], rows.order[i][2] - rows.offset[i] + int(start[i]), rows.order[i][2] - rows.offset[i] + int(stop[i])) for i in hit.tolist()]
@@ -233,16 +263,20 @@ def spans(texts: DataFrame, kind: Units, resolve: Resolver, bucket: int = 1 << 2
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], ["key", "mark", "start", "stop"])
 
         def drop_single() -> None:
+            """Nothing is equal to a window of an anchor whose surroundings are all alike, other than what members tell."""
             if rows.group and (len(rows.group) == 1 or rows.group[-2] != rows.group[-1]):
                 rows.group.pop(), rows.offset.pop(), rows.text.pop(), rows.order.pop()
 
         size = 0
         for batch in batches:
-            for x, c, at, key, mark, a, b, text in zip(*(batch.column(n).to_pylist() for n in ("h", "c", "at", "key", "mark", "start", "stop", "text")), strict=True):
+            for x, c, at, key, mark, a, b, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if at == SPAN:
+                    members.append((key, mark, a, b))
+                    continue
                 if x != h:
                     drop_single()
-                    if size > bucket:
-                        yield out(groups)
+                    if size > bucket or len(members) > 50_000:
+                        yield out()
                         size = 0
                     h, groups, last = x, groups + 1, None
                 if last is not None and last[0] == (c, at):
@@ -250,21 +284,20 @@ def spans(texts: DataFrame, kind: Units, resolve: Resolver, bucket: int = 1 << 2
                         members.append((key, mark, a, b))
                     continue
                 last = ((c, at), (key, mark, a))
-                rows.group.append(groups), rows.offset.append(at), rows.text.append(text), rows.order.append((key, mark, a + at))
-                size += len(text)
+                if at != WINDOW:
+                    rows.group.append(groups), rows.offset.append(at), rows.text.append(text), rows.order.append((key, mark, a + at))
+                    size += len(text)
         drop_single()
-        yield out(groups)
+        yield out()
 
-    by_anchor = found.where("h is not null").select("h", "c", "at", "key", "mark", "start", "stop", "text").repartition("h").sortWithinPartitions("h", "c", "at", "key", "mark", "start")
-    windows = found.where("w1 is not null").select("w1", "w2", F.struct("key", "mark", "start").alias("place"), "stop")
-    firsts = windows.groupBy("w1", "w2").agg(F.min("place").alias("first"))
-    later = windows.join(firsts, ["w1", "w2"]).where("place <> first").select("place.key", "place.mark", "place.start", "stop")
-    near = found.where("h is null and w1 is null").select("key", "mark", "start", "stop")
-    return by_anchor.mapInArrow(settle, SPANS).union(later).union(near)
+    by_anchor = distinct.mapInArrow(gather, FOUND_DDL).repartition("h").sortWithinPartitions("h", "c", "at", "key", "mark", "start")
+    return by_anchor.mapInArrow(settle, SPANS)
 
 
-FOUND_DDL = "key long, mark long, h long, c long, at int, start long, stop long, text binary, w1 long, w2 long"
-FOUND = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("at", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("text", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
+#: In place of an anchor's offset: a single window, known by two hashes, or a span that is settled already.
+WINDOW, SPAN = -1, -2
+FOUND_DDL = "h long, c long, at int, key long, mark long, start long, stop long, text binary"
+FOUND = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("at", pa.int32()), ("key", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("text", pa.binary())])
 
 
 def spanned(docs: DataFrame, kind: Units, resolve: Resolver) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quern.llm.common import slices, utf8
-from quern.llm.repeats import Rows, Units, merged, ranks, spanned, word_units
+from quern.llm.repeats import Rows, Units, merged, ranks, spanned, word_grams, word_units
 
 GRAM = 8
 #: Groups of more rows are not compared pair by pair but window by window.
@@ -22,7 +22,7 @@ PAIRS = 48
 
 
 def kind(window: int) -> Units:
-    return Units(window, GRAM, word_units)
+    return Units(window, GRAM, word_units, word_grams)
 
 
 def aligned(rows: Rows, units: Units) -> np.ndarray:

@@ -5,9 +5,10 @@ order, each member points to the nearest suffix before it that stands in a small
 its group, further the more members point there. Then groups' orders are given out from left to right: behind a suffix that is
 placed, the suffixes whose Lyndon prefix ends where it starts take the next places of their groups.
 
-A task gets many groups of surroundings of one anchor each (see repeats). All are written as letters of eight bytes, counted from
-the anchor, so that equal windows fall into letters alike, and one suffix array sorts them all. Where the common prefix of
-neighbours in the array falls below a window, less the bytes before its first whole letter, classes of equal windows part.
+A task gets many groups of surroundings of one anchor each (see repeats). All are written as letters of LETTER bytes, counted
+from the anchor, so that equal windows fall into letters alike, and one suffix array sorts them all (over single bytes it would
+be as many times longer, at some microseconds each). Where the common prefix of neighbours in the array falls below a window,
+less the bytes before its first whole letter, classes of equal windows part.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import slices, utf8
-from quern.llm.repeats import Rows, Units, byte_units, merged, spanned
+from quern.llm.repeats import Rows, Units, byte_grams, byte_units, merged, spanned
 
-GRAM, LETTER = 32, 8
+GRAM = LETTER = 32
 
 
 def kind(window: int) -> Units:
-    return Units(window, GRAM, byte_units)
+    return Units(window, GRAM, byte_units, byte_grams)
 
 
 def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
@@ -109,70 +110,77 @@ def suffix_array(text: list[int]) -> np.ndarray:
     return np.array(found, np.int64)
 
 
-def letters(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All rows as letters of eight bytes: their values, and by row the first letter, its byte, and the row's length.
+def letters(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All rows as letters: their bytes, the row of each, and where in its row it starts.
 
-    The first letter starts so that the anchor starts a letter; fewer than eight bytes before it have none. Rows end in zeros.
+    Letters are counted from the anchor, so the first may start before its row; it and the last are filled up with zeros.
     """
     lengths = np.array(list(map(len, rows.text)))
-    heads = np.array(rows.offset) % LETTER
-    counts = -(-(lengths - heads) // LETTER)
-    data = b"".join(t[h:] + bytes(-(len(t) - h) % LETTER) for t, h in zip(rows.text, heads.tolist(), strict=True))
-    return np.frombuffer(data, ">u8").astype(np.uint64), np.cumsum(counts) - counts, heads, lengths
+    lead = -np.array(rows.offset) % LETTER
+    counts = -(-(lead + lengths) // LETTER)
+    data = b"".join(bytes(a) + t + bytes(-(a + len(t)) % LETTER) for a, t in zip(lead.tolist(), rows.text, strict=True))
+    row = np.repeat(np.arange(len(lengths)), counts)
+    byte = (np.arange(len(row)) - (np.cumsum(counts) - counts)[row]) * LETTER - lead[row]
+    return np.frombuffer(data, np.uint8).reshape(-1, LETTER), row, byte
+
+
+def ordered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each row of bytes among the different ones, and the different ones in order."""
+    kinds, rank = np.unique(np.ascontiguousarray(data).view(f"S{data.shape[1]}").ravel(), return_inverse=True)
+    return rank, np.frombuffer(kinds.tobytes(), np.uint8).reshape(-1, data.shape[1])
+
 
+def shared_front(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.logical_and.accumulate(a == b, axis=1).sum(axis=1)
 
-def common_prefixes(values: np.ndarray, array: np.ndarray, enough: int) -> np.ndarray:
+
+def common_prefixes(letter: np.ndarray, kinds: np.ndarray, array: np.ndarray, enough: int) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in the array, at least as far as `enough`."""
-    n, shared = len(values), np.zeros(len(array), np.int64)
+    n, shared = len(letter), np.zeros(len(array), np.int64)
     a, b, alive = array[1:], array[:-1], np.arange(len(array) - 1)
     for k in range(-(-enough // LETTER)):
         x, y = a[alive] + k, b[alive] + k
         inside = (x < n) & (y < n)
-        alive, x, y = alive[inside], x[inside], y[inside]
-        differ = values[x] ^ values[y]
-        zeros = np.zeros(len(differ), np.int64)  # equal bytes at the front of the letters
-        for byte in range(LETTER):
-            zeros += (differ >> np.uint64(8 * (LETTER - 1 - byte))) == 0
-        shared[alive + 1] += zeros
-        alive = alive[differ == 0]
+        alive, x, y = alive[inside], letter[x[inside]], letter[y[inside]]
+        same = x == y
+        shared[alive[same] + 1] += LETTER
+        shared[alive[~same] + 1] += shared_front(kinds[x[~same]], kinds[y[~same]])
+        alive = alive[same]
     return shared
 
 
 def repeated(rows: Rows, units: Units) -> tuple[np.ndarray, np.ndarray]:
-    """The first byte and the end, in each row, of its windows that a row earlier in place holds too."""
-    values, firsts, heads, lengths = letters(rows)
-    _, letter = np.unique(values, return_inverse=True)
+    """The first byte and the end, in each row, of its windows that also start earlier.
+
+    A window is what stands before its first whole letter and what starts with that letter. Windows are equal if the suffixes
+    share enough bytes, which neighbours in the suffix array tell, and the letters before, read backwards, as many as the rest.
+    """
+    data, row, byte = letters(rows)
+    letter, kinds = ordered(data)
     array = suffix_array(letter.tolist())
-    shared = common_prefixes(values, array, units.window)
+    shared = common_prefixes(letter, kinds, array, units.window)
     inverse = np.empty(len(array), np.int64)
     inverse[array] = np.arange(len(array))
+    back, back_kinds = ordered(data[:, ::-1])
+    back_shared = np.concatenate([[0], shared_front(back_kinds[1:], back_kinds[:-1])])
+    before = np.concatenate([[0], back[:-1]])
     documents = {d: i for i, d in enumerate(sorted({o[:2] for o in rows.order}))}
     begin = np.array([documents[o[:2]] << 40 for o in rows.order]) + np.array([o[2] for o in rows.order]) - np.array(rows.offset)
-    counts = np.diff(np.append(firsts, len(values)))
-    row = np.repeat(np.arange(len(lengths)), counts)
-    byte = (np.arange(len(values)) - firsts[row]) * LETTER + heads[row]  # where in its row a letter starts
-    ahead = np.concatenate([np.zeros(1, np.uint64), values[:-1]])
-    low, high = np.full(len(lengths), 1 << 40), np.zeros(len(lengths), np.int64)
-    text = np.frombuffer(b"".join(rows.text), np.uint8)
-    begins = np.cumsum(lengths) - lengths
+    begin, lengths = begin[row], np.array(list(map(len, rows.text)))[row]
+    low, high = np.full(len(rows.text), 1 << 40), np.zeros(len(rows.text), np.int64)
     for tail in range(LETTER):
-        own = np.flatnonzero((byte >= tail) & (byte - tail + units.window <= lengths[row]))
+        own = np.flatnonzero((byte >= tail) & (byte - tail + units.window <= lengths))
         if not len(own):
             continue
-        classes = np.cumsum(shared < units.window - tail)[inverse[own]]
-        before = ahead[own] & np.uint64((1 << 8 * tail) - 1)
-        edge = np.flatnonzero(own == firsts[row[own]])  # their bytes before the first letter are in no letter
-        for i in edge.tolist() if tail else ():
-            at = begins[row[own[i]]] + byte[own[i]]
-            before[i] = int.from_bytes(text[at - tail : at].tobytes(), "big")
-        place = begin[row[own]] + byte[own] - tail  # of the window in all documents
-        order = np.lexsort((place, before, classes))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(classes[order]) != 0) | (before[order][1:] != before[order][:-1])
+        right = np.cumsum(shared < units.window - tail)[inverse[own]]
+        both = right * np.int64(len(back_kinds) + 1) + np.cumsum(back_shared < tail)[before[own]]
+        place = begin[own] + byte[own] - tail  # of the window in all documents
+        order = np.lexsort((place, both))
+        new = np.concatenate([[True], np.diff(both[order]) != 0])
         first = place[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        hit = order[place[order] > first]
-        np.minimum.at(low, row[own[hit]], byte[own[hit]] - tail)
-        np.maximum.at(high, row[own[hit]], byte[own[hit]] - tail + units.window)
+        hit = own[order[place[order] > first]]
+        np.minimum.at(low, row[hit], byte[hit] - tail)
+        np.maximum.at(high, row[hit], byte[hit] - tail + units.window)
     return np.where(high > 0, low, 0), high
 
 

@@ -87,9 +87,9 @@ def test_each_window_has_an_anchor():
     rng = np.random.default_rng(3)
     text = rng.integers(97, 99, 3000, dtype=np.uint8).tobytes() + b"x" * 200 + b"ab" * 100
     kind = suffix_dedup.kind(100)
-    _, _, first, last = repeats.anchors(repeats.byte_units(text), kind)
-    held = {s for a, b in zip(first.tolist(), last.tolist(), strict=True) for s in range(a, b + 1)}
-    assert held == set(range(len(text) - 99))
+    doc, _, _, first, last = repeats.anchors([repeats.byte_units(t) for t in (b"", text, text[:99], text[:150])], kind)
+    held = {(d, s) for d, a, b in zip(doc.tolist(), first.tolist(), last.tolist(), strict=True) for s in range(a, b + 1)}
+    assert held == {(1, s) for s in range(len(text) - 99)} | {(3, s) for s in range(51)}
 
 
 def test_shortened_and_empty_tables(spark):
