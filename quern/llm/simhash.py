@@ -3,7 +3,8 @@
 Different fingerprints are laid out in tiles by the bit counts of their four 16-bit quarters. Two fingerprints within the radius
 differ in these counts by no more than the radius in sum, so pairs of tiles whose counts lie further apart are skipped; the others
 are compared whole by exclusive-or and bit counts. A task sends on a spanning forest of the links it finds, not the links
-themselves, so a group of k near copies costs at most k rows for each pair of tiles.
+themselves, so a group of k near copies costs at most k rows for each pair of tiles. Where links have to be confirmed, tiles carry
+sketches of the shingle sets, and candidates are compared by them before they count.
 """
 
 from __future__ import annotations
@@ -20,21 +21,28 @@ from xxhash import xxh64_intdigest
 from quern.llm.common import checkpoint, slices, utf8
 from quern.llm.components import components
 
-#: Rows of the blocks in which a task compares two tiles.
-BLOCK = 1024
+#: Rows of the blocks in which a task compares two tiles; bytes of a sketch.
+BLOCK, BINS = 1024, 256
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """64 bits; each is 1 if it is set in over half of the hashes of the shingles, repeats included."""
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each run of so many words, or of all words if there are fewer; none without words."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     n = max(1, len(tokens) - words + 1)
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     stops = ends[-n:].tolist()
-    hashes = np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """64 bits; each is 1 if it is set in over half of the hashes, repeats included. No hashes: zero."""
+    n = len(hashes)
+    if not n:
+        return 0
     set_bits = np.zeros(64, np.int64)
     for i in range(0, n, 4096):
         part = hashes[i : i + 4096].view(np.uint8).reshape(-1, 8)
@@ -42,16 +50,43 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(set_bits * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the fingerprint as a signed 64-bit integer. Null and empty texts have fingerprint zero."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """The different shingles in BINS bytes: dealt over bins by hash, each bin keeps a byte of its least; zero marks an empty one.
+
+    The share of equal bytes among bins that either text fills estimates the Jaccard similarity, up to about 0.025.
+    """
+    found = np.zeros(BINS, np.uint8)
+    mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes >> np.uint64(29))
+    order = np.sort((mixed % np.uint64(BINS)) << np.uint64(48) | mixed >> np.uint64(16))
+    bins = (order >> np.uint64(48)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    found[bins[first]] = order[first] % np.uint64(255) + np.uint64(1)
+    return found.tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches, row by row; two empty ones are alike."""
+    either = ((a | b) > 0).sum(axis=1)
+    return np.where(either, ((a == b) & (a > 0)).sum(axis=1) / np.maximum(either, 1), 1.0)
+
+
+def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text", sketches: bool = False) -> DataFrame:
+    """(key, fp, sketch): the fingerprint as a signed 64-bit integer, and, if asked for, the sketch, else empty.
+
+    Null and empty texts have fingerprint zero.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            made = np.array([fingerprint(x, words) for x in utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], ["key", "fp"])
+            prints, kept = [], []
+            for text in utf8(batch.column(1)):
+                hashes = shingles(text, words)
+                prints.append(fingerprint(hashes))
+                kept.append(sketch(hashes) if sketches else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(kept, pa.binary())], ["key", "fp", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long, sketch binary")
 
 
 def quarters(fp: str = "fp") -> list:
@@ -107,8 +142,11 @@ class Forest:
             np.minimum.at(self.up, a, b)
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect whatever lies within the radius: among left, or, with right, between the two."""
+def forest(left: np.ndarray, right: np.ndarray | None, radius: int, sketches: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as numbers of rows, that connect whatever lies within the radius: among left, or, with right, between the two.
+
+    With sketches, of left and then right, only pairs count that are estimated to be at least so much alike.
+    """
 
     def blocks(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q = np.bitwise_count(np.ascontiguousarray(fp).view(np.uint16).reshape(-1, 4)).astype(np.int64)
@@ -127,21 +165,31 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
             continue
         a, b = one[i * BLOCK : (i + 1) * BLOCK], two[j * BLOCK : (j + 1) * BLOCK] + shift
         x, y = np.nonzero(np.bitwise_count(every[a][:, None] ^ every[b][None]) <= radius)
-        if x.size:
-            trees.link(a[x], b[y])
+        x, y = a[x], b[y]
+        if sketches is None:
+            trees.link(x, y)
+            continue
+        for k in range(0, len(x), 16_384):
+            u, v = x[k : k + 16_384], y[k : k + 16_384]
+            up = trees.roots()
+            apart = up[u] != up[v]
+            u, v = u[apart], v[apart]
+            good = alike(sketches[u], sketches[v]) >= least
+            trees.link(u[good], v[good])
     roots = trees.roots()
     hung = np.flatnonzero(roots != np.arange(len(every)))
-    return every[hung], every[roots[hung]]
+    return hung, roots[hung]
 
 
-def links(fps: DataFrame, radius: int, least_tile: int = 512, most_tile: int = 4_000_000, tiles_wanted: int = 24) -> DataFrame:
-    """(u, v): a spanning forest of all links within the radius; fps has one column `fp` without repeats or nulls.
+def links(nodes: DataFrame, radius: int, least: float = 0.0, least_tile: int = 512, most_tile: int = 4_000_000, tiles_wanted: int = 24) -> DataFrame:
+    """(u, v): a spanning forest, by id, of all links within the radius; nodes has id, fp and sketch, ids without repeats or nulls.
 
-    Each fingerprint goes to as many tasks as its tile has near tiles: about tiles_wanted, until tiles reach most_tile rows
-    (32 MB). Only the number of fingerprints by quarter counts, at most 83,521 rows, comes to the driver.
+    Each node goes to as many tasks as its tile has near tiles: about tiles_wanted, until tiles reach most_tile rows. Only the
+    number of fingerprints by quarter counts, at most 83,521 rows, comes to the driver. Sketches, unless empty, must be at least
+    so much alike.
     """
-    spark = fps.sparkSession
-    counts = np.array([tuple(r) for r in fps.groupBy(*quarters()).count().orderBy("q0", "q1", "q2", "q3").collect()], np.int64).reshape(-1, 5)
+    spark = nodes.sparkSession
+    counts = np.array([tuple(r) for r in nodes.groupBy(*quarters()).count().orderBy("q0", "q1", "q2", "q3").collect()], np.int64).reshape(-1, 5)
     if not len(counts):
         return spark.createDataFrame([], "u long, v long")
     size = int(min(max(least_tile, counts[:, 4].sum() // tiles_wanted), most_tile))
@@ -152,21 +200,29 @@ def links(fps: DataFrame, radius: int, least_tile: int = 512, most_tile: int = 4
     pairs = pd.DataFrame({"tile": np.concatenate([a, b[a != b]]), "a": np.concatenate([a, a[a != b]]), "b": np.concatenate([b, b[a != b]])})
     by_tile = pairs.groupby("tile")[["a", "b"]].agg(list).reset_index()
     tiled = (
-        fps.select("fp", *quarters())
+        nodes.select("id", "fp", "sketch", *quarters())
         .join(F.broadcast(spark.createDataFrame(layout)), ["q0", "q1", "q2", "q3"])
-        .select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("tile"))
+        .select("id", "fp", "sketch", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("tile"))
     )
     placed = (
         tiled.join(F.broadcast(spark.createDataFrame(by_tile)), "tile")
-        .select("fp", "tile", F.explode(F.arrays_zip("a", "b")).alias("p"))
-        .select("fp", "p.a", "p.b", (F.col("tile") == F.col("p.a")).alias("is_a"))
+        .select("id", "fp", "sketch", "tile", F.explode(F.arrays_zip("a", "b")).alias("p"))
+        .select("id", "fp", "sketch", "p.a", "p.b", (F.col("tile") == F.col("p.a")).alias("is_a"))
     )
 
     def run(table: pa.Table) -> pa.Table:
-        fp, is_a = table["fp"].to_numpy().view(np.uint64), table["is_a"].to_numpy(zero_copy_only=False)
+        is_a = table["is_a"].to_numpy(zero_copy_only=False)
         same = table.num_rows > 0 and table["a"][0] == table["b"][0]
-        u, v = forest(fp, None, radius) if same else forest(fp[is_a], fp[~is_a], radius) if is_a.any() and not is_a.all() else (fp[:0], fp[:0])
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+        order = np.argsort(~is_a, kind="stable")
+        ids, fp = table["id"].to_numpy()[order], table["fp"].to_numpy()[order].view(np.uint64)
+        known = b"".join(table["sketch"].take(order).to_pylist())
+        held = np.frombuffer(known, np.uint8).reshape(len(ids), -1) if known else None
+        n = int(is_a.sum())
+        if same or 0 < n < len(ids):
+            u, v = forest(fp if same else fp[:n], None if same else fp[n:], radius, held, least)
+        else:
+            u = v = np.zeros(0, np.int64)
+        return pa.table({"u": ids[u], "v": ids[v]})
 
     return placed.groupBy("a", "b").applyInArrow(run, "u long, v long")
 
@@ -179,20 +235,29 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
     copies cost one row. Rows with a null key keep their fingerprint; their component is the least key that is not null, if any.
     Repeated rows are all returned. Empty table: no rows.
     """
-    prints = checkpoint(fingerprints(docs, words, key, text))
+    prints = checkpoint(fingerprints(docs, words, key, text).drop("sketch"))
     nodes = checkpoint(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = components(links(nodes.select("fp"), radius))
+    roots = components(links(nodes.select(F.col("fp").alias("id"), "fp", F.lit(b"").alias("sketch")), radius))
     marked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = marked.groupBy("root").agg(F.min("least").alias("component"))
     by_print = marked.join(names, "root").select("fp", "component")
     return prints.join(by_print, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 8) -> DataFrame:
-    """docs without near copies: of each component the row with the least doc_id stays, with all its columns.
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 12, least: float = 0.78) -> DataFrame:
+    """docs without near copies: of each group the row with the least doc_id stays, with all its columns.
 
-    Of rows that repeat both doc_id and text one stays. Rows with a null doc_id stay only in a component without any other.
+    Fingerprints within the radius are candidates; linked are those whose sketches are estimated to be at least so much alike,
+    which leaves a margin for the estimate below a similarity of 0.8. (Fingerprints alone cannot decide: at a similarity of 0.8
+    texts differ in up to 12 bits, and so do many that have nothing in common.) Groups are what such links connect. Of rows that
+    repeat both doc_id and text one stays. Rows with a null doc_id take no part and stay. Empty table: no rows.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), words, radius)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    prints = fingerprints(known, words, sketches=True)
+    nodes = checkpoint(prints.groupBy("fp", "sketch").agg(F.min("key").cast("long").alias("id")).dropDuplicates(["id"]))
+    roots = components(links(nodes, radius, least, most_tile=500_000, tiles_wanted=12))
+    gone = roots.where("node <> root").select(F.col("node").alias("_id"))
+    kept = nodes.join(gone, nodes["id"] == gone["_id"], "left_anti").select(F.col("id").alias("_id"))
+    own = docs.where("doc_id is not null")
+    left = own.join(kept, own["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.unionByName(docs.where("doc_id is null"))
