@@ -95,20 +95,28 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 16 << 20, roll_bytes
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html")})
     total = rows.agg(F.sum("size")).first()[0] or 0
-    groups = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    marked = rows.join(groups.select("digest", "first", F.lit(True).alias("shared")), "digest", "left")
+    long = rows.where(F.col("size") >= LEAST_REVISIT).select("page_id", "digest")
+    groups = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = long.join(groups, "digest").distinct()  # goes ahead of the pages it is about, so that texts are shuffled once
+    none = F.lit(None).cast("string")
+    pages_in = rows.select(F.lit(1).alias("is_page"), "page_id", "url", "html", "digest", F.lit(None).cast("long").alias("first"))
+    both = pages_in.union(shared.select(F.lit(0), "page_id", none, none, "digest", "first"))
     order = [F.col("page_id").asc_nulls_last(), F.col("digest")]
-    dealt = marked.repartitionByRange(max(1, -(-total // shard_bytes)), *order).sortWithinPartitions(*order)
+    dealt = both.repartitionByRange(max(1, -(-total // shard_bytes)), *order).sortWithinPartitions(*order, "is_page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        files, last = Files(folder, task.partitionId(), task.taskAttemptId(), roll_bytes), None
+        files, known, first, last = Files(folder, task.partitionId(), task.taskAttemptId(), roll_bytes), None, None, None
         for batch in slices(batches, 64):
             for x in batch.to_pylist():
-                stored = not x["shared"] or x["page_id"] == x["first"] and last != (x["page_id"], x["digest"])
+                here = (x["page_id"], x["digest"])
+                if not x["is_page"]:
+                    known, first = here, x["first"]
+                    continue
+                stored = known != here or x["page_id"] == first and last != here
                 if stored:
-                    last = (x["page_id"], x["digest"])
-                files.add(packed(record(x["page_id"], x["url"], x["html"].encode(), x["digest"], x["first"], not stored, date), level))
+                    last = here
+                files.add(packed(record(x["page_id"], x["url"], x["html"].encode(), x["digest"], first, not stored, date), level))
         files.close()
         if files.done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*files.done, strict=True), [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True)], ["shard", "part", "path", "records", "bytes", "sha256"])
