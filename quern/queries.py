@@ -5,31 +5,14 @@ Each is a call of an operator over whole tables; limits stand only where they ar
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern import queries_relational  # noqa: F401  registers its own
 from quern.operators import governance, graph, monitor, retrieval, text
 from quern.plans import guard, metrics
-from quern.sources.tables import read, upsert
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-Tables = Callable[[str], DataFrame]
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    """Register a function of the tables by name under a query name, with its SQL."""
-
-    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(lambda table: read(spark, "parquet", f"{sf_dir}/{table}.parquet"))
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
+from quern.registry import ORACLE_SQL, QUERIES, Tables, query  # noqa: F401
+from quern.sources.tables import upsert
 
 
 # Metrics

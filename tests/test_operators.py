@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from quern.operators import governance, graph, monitor, retrieval, text
+from quern.operators import discovery, documents, governance, graph, knowledge, monitor, retrieval, text
 from quern.plans import guard, metrics
 from quern.sources import tables
 from quern.streaming import trend
@@ -140,3 +140,47 @@ def test_unique_and_sessions(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/one").collect()) == [1, 2, 3]
     trend.into_table(trend.sessions(stream(), "at", "5 minutes", "10 minutes", ["kind"]), f"{tmp_path}/two", f"{tmp_path}/s2").awaitTermination(60)
     assert sorted((r.kind, r.total) for r in spark.read.parquet(f"{tmp_path}/two").collect()) == [("a", 1), ("a", 2)]
+
+
+def test_table_grids(spark):
+    html = "<table><tr><th colspan=2>merged<th>c1</tr><tr><td rowspan='2'>r</td><td> v1\n x</td></tr><tr><td>v2</td></tr></table><p>no</p><table></table>"
+    assert documents.grids(html) == [[["merged", "", "c1"], ["r", "v1 x"], ["r", "v2"]]]
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<p>")], "page_id long, html string")
+    assert {(r.page_id, r.row_no, len(r.cells)) for r in documents.tables(pages).collect()} == {(1, 0, 3), (1, 1, 2), (1, 2, 2)}
+
+
+def test_packs(spark):
+    docs = spark.createDataFrame([(1, "1. First\nabc\n12\ndefg\n" + "y" * 30 + "\n2. Next\nend"), (2, None), (3, "")], "doc_id long, text string")
+    found = [(r.doc_id, r.pack, r.content, r.lines) for r in documents.pack(docs, 20, text.NOISE, text.HEADING).orderBy("pack").collect()]
+    assert found == [(1, 0, "[1. First]\nabc\ndefg", 2), (1, 1, "[1. First]\n" + "y" * 30, 1), (1, 2, "[2. Next]\nend", 1)]
+
+
+def test_signatures():
+    base = "the quick brown fox jumps over the lazy dog and runs on " * 40
+    assert documents.signature(None) is None and documents.signature("abc") is None
+    assert documents.signature(base) == documents.signature("  " + base.upper() + "\n") < 1 << 63
+    assert bin(documents.signature(base) ^ documents.signature(base + "indeed")).count("1") < 20
+
+
+def test_diverse(spark):
+    rows = [(1, 10, 1.0, ["a", "b"]), (1, 11, 0.99, ["a", "b"]), (1, 12, 0.8, ["c"]), (2, 5, 0.1, None)]
+    items = spark.createDataFrame(rows, "q long, i long, score double, tokens array<string>")
+    assert {tuple(r) for r in documents.diverse(items, "q", "i", 2).collect()} == {(1, 10, 0), (1, 12, 1), (2, 5, 0)}
+
+
+def test_rules_and_merging(spark):
+    facts = spark.createDataFrame([("a", "p", "b"), ("b", "p", "c"), ("c", "p", "a"), ("a", "p", "c")], "s string, p string, o string")
+    rule = knowledge.Rule((knowledge.Atom("?x", "p", "?y"), knowledge.Atom("?y", "p", "?z")), knowledge.Atom("?x", "p", "?z"))
+    assert {(r.s, r.o) for r in knowledge.concluded(facts, rule).collect()} == {("b", "a"), ("c", "b"), ("a", "a"), ("c", "c")}
+    with pytest.raises(ValueError, match="share"):
+        knowledge.matches(facts, (knowledge.Atom("?x", "p", "b"), knowledge.Atom("?y", "p", "c")))
+    rows = spark.createDataFrame([(i, i // 2) for i in range(1, 8)] + [(i, (i + 1) // 2) for i in range(1, 8)] + [(90, None), (91, 77)], "thing long, key long")
+    assert {tuple(r) for r in knowledge.merged(rows, "thing", "key").collect()} == {(i, 1) for i in range(1, 8)} | {(91, 91)}
+
+
+def test_discovery_of_odd_tables(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    some = spark.createDataFrame([(1, 1), (1, None), (None, 2)], "a long, b long")
+    assert discovery.overlap(none, "a", some, "a").first().overlap is None
+    assert tuple(discovery.row_overlap(some, "a", some.withColumnsRenamed({"a": "x", "b": "y"}), "x").first()) == (5, 4)
+    assert {tuple(r) for r in discovery.changes(some.where("a = 1").limit(1), spark.createDataFrame([(1, None), (3, 3)], "a long, b long"), "a").collect()} == {(1, "changed"), (3, "added")}
