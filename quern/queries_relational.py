@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import scalar
 from quern.operators import discovery, documents, knowledge, retrieval, text
 from quern.registry import Tables, query
 
@@ -173,3 +174,31 @@ query("html_tables")(lambda t: documents.tables(t("pages")))
 query("simhash_signatures")(lambda t: documents.signatures(t("documents")))
 query("similar_documents")(lambda t: documents.candidates(documents.signatures(t("documents")), 1, 0.6, 10))
 query("mmr_select")(lambda t: documents.diverse(t("conversations").select("conv_id", "turn", (1.0 / (1 + F.col("turn"))).alias("score"), retrieval.tokens("text").alias("tokens")), "conv_id", "turn", 3))
+
+# Column functions
+
+query(
+    "mask_sample",
+    "SELECT c_custkey, CASE WHEN length(c_name) <= 8 THEN repeat('*', length(c_name)) ELSE left(c_name, 4) || repeat('*', length(c_name) - 8) || right(c_name, 4) END AS masked FROM customer",
+)(lambda t: t("customer").select("c_custkey", scalar.mask_sample(F.col("c_name")).alias("masked")))
+query(
+    "coerce_number",
+    "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE round(p_retailprice, 2) END AS value FROM part",
+)(lambda t: t("part").select("p_partkey", scalar.number(F.when(F.col("p_partkey") % 3 == 0, F.lit("about 3")).otherwise(F.format_number("p_retailprice", 2))).alias("value")))
+query(
+    "cell_equal",
+    "SELECT l_returnflag, count(*) FILTER (WHERE CASE WHEN floor(a) = a AND floor(b) = b THEN a = b ELSE abs(a - b) <= greatest(0.5, 0.01 * greatest(abs(a), abs(b))) END) AS equal_cells "
+    "FROM (SELECT l_returnflag, l_quantity AS a, l_quantity * (1 - l_discount / 4) AS b FROM lineitem) GROUP BY 1",
+)(lambda t: t("lineitem").groupBy("l_returnflag").agg(F.count_if(scalar.cell_equal(F.col("l_quantity"), F.col("l_quantity") * (1 - F.col("l_discount") / 4))).alias("equal_cells")))
+query(
+    "stable_identity",
+    "SELECT s_suppkey, left(sha256(lower(trim(s_name)) || chr(31) || s_nationkey::VARCHAR), 32) AS id FROM supplier",
+)(lambda t: t("supplier").select("s_suppkey", scalar.identity(F.col("s_name"), F.col("s_nationkey"), length=32).alias("id")))
+query(
+    "lexical_scores",
+    "WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]{2,})', 1)) AS ws FROM benchmark), q AS (SELECT ws AS qs FROM b ORDER BY item_id LIMIT 1) SELECT item_id, len(list_intersect(ws, qs))::INT AS score FROM b, q",
+)(lambda t: t("benchmark").select("item_id", F.size(F.array_intersect(scalar.words(F.col("text")), scalar.words(F.lit(t("benchmark").orderBy("item_id").select("text").first().text)))).alias("score")))
+query(
+    "retention_due",
+    "SELECT o_orderkey FROM orders WHERE CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 30 ELSE 365 END > 0 AND o_orderdate + to_days(CASE o_orderpriority WHEN '2-HIGH' THEN 30 ELSE 365 END) <= TIMESTAMP '1997-01-01'",
+)(lambda t: t("orders").where(scalar.due(F.col("o_orderdate"), F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 30).otherwise(365), F.lit("1997-01-01").cast("timestamp"))).select("o_orderkey"))

@@ -4,6 +4,9 @@ import datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from quern.functions import scalar
 from quern.operators import discovery, documents, governance, graph, knowledge, monitor, retrieval, text
 from quern.plans import guard, metrics
 from quern.sources import tables
@@ -184,3 +187,15 @@ def test_discovery_of_odd_tables(spark):
     assert discovery.overlap(none, "a", some, "a").first().overlap is None
     assert tuple(discovery.row_overlap(some, "a", some.withColumnsRenamed({"a": "x", "b": "y"}), "x").first()) == (5, 4)
     assert {tuple(r) for r in discovery.changes(some.where("a = 1").limit(1), spark.createDataFrame([(1, None), (3, 3)], "a long, b long"), "a").collect()} == {(1, "changed"), (3, "added")}
+
+
+def test_scalar_functions(spark):
+    rows = spark.createDataFrame([("abcdefghij", "1,234.5", "userName_id"), ("short", "1.2.3", "A"), ("", "", ""), (None, None, None)], "a string, b string, c string")
+    found = rows.select(scalar.mask_sample(F.col("a")), scalar.number(F.col("b")), scalar.split_name(F.col("c")), scalar.words(F.col("a")), scalar.identity(F.col("a"), F.col("b"), length=8)).collect()
+    assert [r[0] for r in found] == ["abcd**ghij", "*****", "", None] and [r[1] for r in found] == [1234.5, None, None, None]
+    assert [r[2] for r in found] == [["user", "name", "id"], ["a"], [], None] and found[3][3] == [] and found[2][4] == found[3][4] != found[0][4]
+    cjk = spark.createDataFrame([("知识库 of 库",)], "a string").select(scalar.words(F.col("a"))).first()[0]
+    assert cjk == ["of", "知识", "识库", "库"]
+    equal = spark.sql("select stack(4, 1D, 1D, 1.5D, 1.9D, 1D, 2D, null, 0.4D) as (a, b)").select(scalar.cell_equal(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in equal] == [True, True, False, True]
+    assert str(spark.range(1).select(scalar.excel_date(F.lit(45292.7))).first()[0]) == "2024-01-01"
