@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quern.llm.common import slices
+from quern.llm.common import CACHES, slices
 
 #: The characters of Unicode's White_Space, which the \s of the splitting pattern stands for.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -160,6 +160,7 @@ class Vocabulary:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
+    CACHES["bpe"] = vocabulary.cache_clear
     return Vocabulary(load_ranks(path), pattern)
 
 
@@ -175,7 +176,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, cache="bpe"):
             rows = [words.encode(x or "") for x in batch.column(text).to_pylist()]
             offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             made = {ids: pa.ListArray.from_arrays(offsets, np.concatenate(rows))}
@@ -194,7 +195,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, cache="bpe"):
             made = pa.array([words.decode(np.array(x or [], np.int32)) for x in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, decoded])
 

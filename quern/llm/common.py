@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
@@ -38,8 +38,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Smaller record batches, so that the Python objects of few rows are alive at once."""
+#: What frees the caches that operators keep in this Python worker from task to task, by operator.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, cache: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Smaller record batches, so that the Python objects of few rows are alive at once.
+
+    A worker holds the caches of one operator at a time: those of others than `cache` are freed.
+    """
+    for name in [n for n in CACHES if n != cache]:
+        CACHES.pop(name)()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
