@@ -184,15 +184,15 @@ def repeated(rows: Rows, units: Units) -> tuple[np.ndarray, np.ndarray]:
     return np.where(high > 0, low, 0), high
 
 
-def removed(docs: DataFrame, window: int = 100) -> DataFrame:
-    """docs with `kept`, the bytes that stay, `n_bytes`, `n_removed` and `n_spans`; see repeats.spanned for odd rows.
+def removed(docs: DataFrame, window: int = 100, as_text: bool = False) -> DataFrame:
+    """docs with `kept`, the bytes that stay (or their text, without characters of which only a part is left), `n_bytes`, `n_removed` and `n_spans`; see repeats.spanned for odd rows.
 
     A byte goes if a string of so many bytes that covers it also starts earlier. Texts are taken as UTF-8; strings are judged on
     the input and never cross documents. n_spans counts the maximal runs of removed bytes.
     """
     found = spanned(docs.drop("kept", "n_bytes", "n_removed", "n_spans"), kind(window), repeated)
     names = [c for c in found.columns if c != "spans"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields if f.name != "spans"), "n_bytes long, n_removed long, n_spans long, kept binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields if f.name != "spans"), "n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -203,8 +203,9 @@ def removed(docs: DataFrame, window: int = 100) -> DataFrame:
                     kept.append(text[at:a])
                     at = b
                 kept = b"".join([*kept, text[at:]])
-                made.append((len(text), len(text) - len(kept), len(runs), kept))
-            columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                made.append((len(text), len(text) - len(kept), len(runs), kept.decode("utf-8", "ignore") if as_text else kept))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return found.mapInArrow(run, schema)
@@ -215,14 +216,6 @@ def shortened(docs: DataFrame, window: int = 100) -> DataFrame:
 
     Where a removal cuts a character in two, the bytes of it that are left go too. n_chars, if there, tells the new length.
     """
-    cut = removed(docs, window)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = pa.array([x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([kept if n == "kept" else batch.column(n) for n in batch.schema.names], batch.schema.names)
-
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'kept' else f.dataType.simpleString()}" for f in cut.schema.fields)
-    left = cut.mapInArrow(whole, schema).where((F.length("kept") > 0) | (F.col("n_removed") == 0))
+    left = removed(docs, window, as_text=True).where((F.length("kept") > 0) | (F.col("n_removed") == 0))
     own = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return left.select(*[own[c].alias(c) if own.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
