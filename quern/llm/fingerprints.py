@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import checkpoint
 from quern.llm.order import successors
 
 #: Terms are parted by these characters.
@@ -61,7 +62,7 @@ def sample(term: Column, log_weight: Column, k: Column) -> Column:
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: int = 32) -> DataFrame:
-    """keys, `copies` and `signature`, an array of `samples` integers of 32 bits, for each different combination of keys.
+    """keys, `copies` and `signature`, an array of `samples` integers of 31 bits, for each different combination of keys.
 
     The keys must determine the text; copies tells how many rows have them. Null texts and texts without terms have the empty
     array. A text's terms are counted inside its row, so that only signatures are shuffled.
@@ -81,8 +82,8 @@ def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: i
     )
     picked = [F.min(sample(F.col("_term"), F.col("_w"), F.col("_turn") * PER_TURN + k)).alias(f"_{k}") for k in range(PER_TURN)]
     least = terms.groupBy(*keys, "_turn").agg(F.sum(F.when(F.col("_p") == 0, 1)).alias("copies"), *picked)
-    short = F.array(*[F.xxhash64(f"_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(PER_TURN)])
-    part = F.when(F.col("_0").isNotNull(), short).otherwise(F.array().cast("array<bigint>"))
+    short = F.array(*[F.xxhash64(f"_{k}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for k in range(PER_TURN)])
+    part = F.when(F.col("_0").isNotNull(), short).otherwise(F.array().cast("array<int>"))
     turned = least.select(*keys, "_turn", "copies", part.alias("_part")).groupBy(*keys)
     whole = turned.agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("_turn", "_part"))).alias("_parts"))
     return whole.select(*keys, "copies", F.flatten("_parts._part").alias("signature"))
@@ -98,34 +99,35 @@ def written(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text without nulls) with `next_id` and `edited`: its last half replaced by the start of the next document.
+def edited(known: DataFrame) -> DataFrame:
+    """known (doc_id, text, no nulls) with `next_id` and `edited`: its last half replaced by the start of the next document.
 
-    The next document is that with the next greater doc_id (of several, the least text), after the last the first; rows without
-    doc_id have no next document and keep only their first half. Each document sends its predecessor only what that one needs.
+    The next document is that with the next greater doc_id (of several, the least text), after the last the first. Each document
+    sends its predecessor only what that one needs.
     """
-    sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
-    nexts = successors(docs.select("doc_id"))
+    sizes = known.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    nexts = successors(known.select("doc_id"))
     sends = nexts.join(sizes, nexts["key"] == sizes["doc_id"]).select("key", "next", F.floor(F.col("n") / 2).cast("int").alias("half"))
     starts = (
-        docs.join(sends, docs["doc_id"] == sends["next"])
+        known.join(sends, known["doc_id"] == sends["next"])
         .select("key", "next", F.expr("substring(text, 1, half)").alias("start"))
         .groupBy("key", "next")
         .agg(F.min("start").alias("start"))
     )
-    half = F.floor(F.length("text") / 2).cast("int")
-    rest = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))")
-    joined = docs.join(starts, docs["doc_id"] == starts["key"], "left")
-    return joined.select("doc_id", "text", F.col("next").alias("next_id"), F.concat(rest, F.coalesce(F.substring("start", F.lit(1), half), F.lit(""))).alias("edited"))
+    joined = known.join(starts, known["doc_id"] == starts["key"])
+    return joined.select("doc_id", "text", F.col("next").alias("next_id"), F.concat(_rest(), F.substring("start", F.lit(1), F.floor(F.length("text") / 2).cast("int"))).alias("edited"))
 
 
-def compared(docs: DataFrame, samples: int = 32) -> DataFrame:
-    """Per row of docs (doc_id, text): its fingerprint, its edited text's, and how alike they and the next document's are.
+def _rest() -> Column:
+    """The text without its last half."""
+    return F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))")
+
 
-    Null texts count as empty. Rows with a null doc_id have a near_next of null. Repeated rows are all returned; where rows share
-    a doc_id, the next document's fingerprint is that of the least text, as in the edited text. Empty table: no rows.
+def _both(texts: DataFrame, samples: int) -> DataFrame:
+    """The signatures of texts (doc_id, text, next_id, edited) and of what they are edited to, side by side.
+
+    texts are dealt by doc_id already, so terms are gathered without another shuffle.
     """
-    texts = edited(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     rows = texts.select(
         "doc_id",
         "next_id",
@@ -136,9 +138,20 @@ def compared(docs: DataFrame, samples: int = 32) -> DataFrame:
     ).select("doc_id", "next_id", "mark", "n_chars", "edited_sha256", "x.is_edited", "x.text")
     keys = ["doc_id", "next_id", "mark", "n_chars", "edited_sha256"]
     made = signatures(rows, [*keys, "is_edited"], samples=samples)
-    own = F.max(F.when(F.col("is_edited") == 0, F.col("signature")))
-    both = made.groupBy(*keys).agg(own.alias("own"), F.max(F.when(F.col("is_edited") == 1, F.col("signature"))).alias("other"), F.max("copies").alias("copies"))
-    nexts = made.where("is_edited = 0").groupBy("doc_id").agg(F.min(F.struct("mark", "signature")).alias("n")).select(F.col("doc_id").alias("next_id"), F.col("n.signature").alias("next_own"))
+    side = lambda i: F.max(F.when(F.col("is_edited") == i, F.col("signature")))
+    return made.groupBy(*keys).agg(side(0).alias("own"), side(1).alias("other"), F.max("copies").alias("copies"))
+
+
+def compared(docs: DataFrame, samples: int = 32) -> DataFrame:
+    """Per row of docs (doc_id, text): its fingerprint, its edited text's, and how alike they and the next document's are.
+
+    Null texts count as empty. Rows with a null doc_id have no next document: they keep their first half, near_next is null. Repeated rows are all returned; where rows share
+    a doc_id but not the text, the next document's text is the least and its fingerprint that of one of them. Empty table: no rows.
+    """
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    bare = whole.where("doc_id is null").select("doc_id", "text", F.col("doc_id").alias("next_id"), _rest().alias("edited"))
+    both = checkpoint(_both(edited(whole.where("doc_id is not null")), samples).unionByName(_both(bare, samples)))
+    nexts = both.groupBy("doc_id").agg(F.min(F.struct("mark", "own")).alias("n")).select(F.col("doc_id").alias("next_id"), F.col("n.own").alias("next_own"))
     found = both.join(nexts, "next_id", "left")
     return found.select(
         "doc_id",
