@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from quern.llm import similar
 from quern.llm.common import checkpoint, slices, utf8
 from quern.llm.components import components
 
@@ -244,20 +245,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
     return prints.join(by_print, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 12, least: float = 0.78) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """docs without near copies: of each group the row with the least doc_id stays, with all its columns.
 
-    Fingerprints within the radius are candidates; linked are those whose sketches are estimated to be at least so much alike,
-    which leaves a margin for the estimate below a similarity of 0.8. (Fingerprints alone cannot decide: at a similarity of 0.8
-    texts differ in up to 12 bits, and so do many that have nothing in common.) Groups are what such links connect. Of rows that
-    repeat both doc_id and text one stays. Rows with a null doc_id take no part and stay. Empty table: no rows.
+    Linked are texts whose sets of shingles have a Jaccard similarity of at least `least`, decided by the sets themselves (64-bit
+    hashes of shingles) and complete; fingerprints take no part, because at a similarity of 0.8 they differ in about 10 bits and
+    a sixth of such pairs in more than 12. Groups are what such links connect. Of rows that repeat both doc_id and text one
+    stays. Rows with a null doc_id take no part and stay. Empty table: no rows.
     """
-    known = docs.where("doc_id is not null").select("doc_id", "text")
-    prints = fingerprints(known, words, sketches=True)
-    nodes = checkpoint(prints.groupBy("fp", "sketch").agg(F.min("key").cast("long").alias("id")).dropDuplicates(["id"]))
-    roots = components(links(nodes, radius, least, most_tile=500_000, tiles_wanted=12))
-    gone = roots.where("node <> root").select(F.col("node").alias("_id"))
-    kept = nodes.join(gone, nodes["id"] == gone["_id"], "left_anti").select(F.col("id").alias("_id"))
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), "text")
+    sets, roots = similar.groups(known, lambda text: np.unique(shingles(text, words)), least)
+    placed = sets.join(roots, sets["set"] == roots["node"], "left").select("key", F.coalesce("root", "set").alias("root"))
+    kept = placed.groupBy("root").agg(F.min("key").alias("_id")).select("_id")
     own = docs.where("doc_id is not null")
     left = own.join(kept, own["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return left.unionByName(docs.where("doc_id is null"))

@@ -117,3 +117,27 @@ def test_keep_one_of_each_group(spark):
         near = [k for k in ids if k is not None and k != key and jaccard(text, texts[k]) >= 0.9]
         assert (not near) if key in ids else any(jaccard(text, t) >= 0.7 for k, t in texts.items() if k != key)
     assert simhash.keep_one(docs.limit(0)).count() == 0 and simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_links_at_the_limit_as_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(80):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(3, 300))]
+        passage = [f"p{j}" for j in range(30)] if i % 3 else []
+        rows.append((len(rows), " ".join(words + passage)))
+        for share in (0.75, 0.79, 0.8, 0.81, 0.83, 0.85)[: i % 7]:
+            copy, n = list(words), len(words)
+            cut = max(1, round((1 - share) / (1 + share) * n))
+            at = rng.randrange(n - cut + 1)
+            copy[at : at + cut] = [f"x{rng.randrange(10**6)}" for _ in range(cut)]
+            rows.append((len(rows), " ".join(copy + passage)))
+    group, pairs = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if (likeness := jaccard(rows[i][1], rows[j][1])) >= 0.8:
+                pairs += likeness < 0.85
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert pairs > 30 and sorted(kept) == sorted(set(group))
