@@ -8,8 +8,6 @@ sum of least weights / sum of greatest weights.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,45 +18,29 @@ from quern.llm.order import successors
 SPACE = r"[\x20\x09-\x0D]+"
 #: Samples that one pass over a text's terms takes: few enough that the generated code is compiled.
 PER_TURN = 4
-#: Steps of the tables by which uniform numbers become gamma ones.
-STEPS = 128
-
-
-def _gamma_quantiles() -> list[float]:
-    """Quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), at the middles of the first and last step and all bounds."""
-    found = []
-    for p in [0.5 / STEPS / 4, *(i / STEPS for i in range(1, STEPS)), 1 - 0.5 / STEPS / 4]:
-        low, high = 0.0, 40.0
-        for _ in range(60):
-            x = (low + high) / 2
-            low, high = (x, high) if 1 - (1 + x) * math.exp(-x) < p else (low, x)
-        found.append(low)
-    return found
-
-
-GAMMA = _gamma_quantiles()
+#: What holds the lower half of a hash.
+LOW = 0xFFFFFFFF
 
 
-def _table(values: list[float]) -> Column:
-    return F.split(F.lit(",".join(f"{x:.9g}" for x in values)), ",").cast("array<double>")
+def _uniform(bits: Column) -> Column:
+    """The lower 32 bits as a number between 0 and 1, neither included."""
+    return (bits.bitwiseAND(F.lit(LOW)) + 0.5) * 2.0**-32
 
 
-def _drawn(values: list[float], bits: Column) -> Column:
-    """A number by linear interpolation in the table: 7 bits choose the step, 12 the place in it."""
-    step, place = F.shiftrightunsigned(bits, 12).bitwiseAND(F.lit(STEPS - 1)).cast("int"), bits.bitwiseAND(F.lit(4095)) * (1.0 / 4096)
-    steps = [b - a for a, b in zip(values, values[1:], strict=False)]
-    return F.get(_table(values), step) + place * F.get(_table(steps), step)
+def _gamma(h: Column) -> Column:
+    """Gamma(2, 1) from the two halves of a hash: the sum of two exponential numbers."""
+    return -F.ln(_uniform(h) * _uniform(F.shiftrightunsigned(h, 32)))
 
 
 def sample(term: Column, log_weight: Column, k: Column) -> Column:
     """Rank and identity of a term's candidate for sample k in one integer: 40 bits of its value, 24 of a hash."""
-    h = F.xxhash64(term, k)
-    r = _drawn(GAMMA, h)
-    log_c = _drawn([math.log(x) for x in GAMMA], F.shiftrightunsigned(h, 19))
-    beta = F.shiftrightunsigned(h, 38) * float(2**-26)
+    h, g = F.xxhash64(term, k), F.xxhash64(term, k, F.lit(1))
+    r, log_c = _gamma(g), F.ln(_gamma(F.xxhash64(term, k, F.lit(2))))
+    beta = _uniform(h)
     t = F.floor(log_weight / r + beta)
     value = log_c - r * (t - beta + 1)
-    return F.shiftleft(F.floor(value * float(2**32)), 24).bitwiseOR(F.shiftrightunsigned(h, 7).bitwiseXOR(t * 0x9E3779B1).bitwiseAND(F.lit(0xFFFFFF)))
+    other = (t.bitwiseAND(F.lit(0xFFFFFF)) * 0x9E3779B1).bitwiseXOR(F.shiftrightunsigned(h, 32))
+    return F.shiftleft(F.floor(value * float(2**32)), 24).bitwiseOR(other.bitwiseAND(F.lit(0xFFFFFF)))
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: int = 32) -> DataFrame:

@@ -54,3 +54,17 @@ def test_successors(spark):
     keys = spark.createDataFrame([(i * i % 1009,) for i in range(2000)] + [(None,)], "k long")
     ranked = sorted({i * i % 1009 for i in range(2000)})
     assert {tuple(r) for r in successors(keys).collect()} == set(zip(ranked, ranked[1:] + ranked[:1], strict=True))
+
+
+def test_likeness_of_long_texts(spark):
+    rng, rows, true = random.Random(3), [], []
+    for pair in range(8):
+        known = [f"{pair}-{i}" for i in range(10_000)]
+        other = [w if rng.random() < 0.7 else f"x{w}" for w in known]
+        texts = [" ".join(w for i, w in enumerate(words) for _ in range(max(1, 1000 // (i + 1)))) for words in (known, other)]
+        rows += [(2 * pair + i, t) for i, t in enumerate(texts)]
+        true.append(jaccard(*texts))
+    made = fingerprints.signatures(spark.createDataFrame(rows, "k long, text string").repartition(8), ["k"], samples=128)
+    found = {r.k: r.signature for r in made.collect()}
+    near = [sum(a == b for a, b in zip(found[2 * i], found[2 * i + 1], strict=True)) / 128 for i in range(8)]
+    assert abs(sum(near) - sum(true)) / 8 < 0.04
