@@ -1,10 +1,12 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-The probability of a token is that of its class, given the two tokens before it, times its share in the class. Classes are the
-most frequent words, one each, the end of a text, and groups of words by their last bytes. The first factor is a softmax over
-sums of weights of hashed features: the class of the last and of the last but one token, the last token, a skip to the last but
-one, and both together. Counts cover all training texts. Weights are trained by rounds of distributed updates: tasks take
-gradient steps on their documents from common weights, and their changes are averaged, weighted by tokens.
+Every word has a class and a place in it, a slot: the most frequent words of a class have slots of their own, the others share
+slots by their last bytes. The probability of a token is that of its class given the two tokens before it, times that of its slot
+given the same and the class, times its share of the slot by the counts. Both of the first are softmaxes over sums of weights of
+hashed features: the slot of the last token, a skip to the slot of the last but one, the last token itself, and the last two. Counts cover all training texts. The weights
+are trained on every token of every training text by rounds of distributed updates: tasks take gradient steps on their documents
+from common weights, and their changes are averaged row by row, weighted by the squared gradients that each has met in the row.
+The number of rows grows with the root of the number of training tokens.
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ from xxhash import xxh64_intdigest
 
 from quern.llm.common import checkpoint, slices, utf8
 
-#: Classes: SINGLES frequent words, one for the end, and GROUPS by ending.
-SINGLES, GROUPS = 31, 64
-END, CLASSES = SINGLES, SINGLES + 1 + GROUPS
-#: Feature rows: two blocks of classes, then hashed last token, skip and pair.
-WORD, SKIP, PAIR = 4096, 2048, 2048
-ROWS = 2 * 128 + WORD + SKIP + PAIR
+#: Classes, slots of each, and how many of these are for single words; the last class holds the end of a text alone.
+CLASSES, SLOTS, OWN = 32, 32, 16
+END = (CLASSES - 1) * SLOTS
+#: Bits of the number of hashed rows for classes, and as many for slots: least and most (64 MB for both).
+LEAST_BITS, MOST_BITS = 12, 18
 #: Words whose counts every task holds (16 bytes each); the counts of all others are joined by a shuffle.
 HEAD = 250_000
 #: Words a task remembers; tokens of one numpy block.
-MEMO, BLOCK = 400_000, 2048
+MEMO, BLOCK = 400_000, 4096
+#: Odd numbers that features are multiplied with: four for classes, two for slots.
+FACTORS = [np.uint64(2 * (0x9E3779B97F4A7C15 * k % 2**63) + 1) for k in (1, 2, 3, 5, 7, 11)]
 
 
 def mark(word: bytes) -> int:
@@ -43,7 +46,13 @@ def mark(word: bytes) -> int:
 
 
 def group(word: bytes) -> int:
-    return SINGLES + 1 + xxh64_intdigest(word[-3:], 5) % GROUPS
+    """Class and shared slot of a word, by its last bytes."""
+    return xxh64_intdigest(word[-2:], 5) % (CLASSES - 1) * (SLOTS - OWN) + xxh64_intdigest(word[-4:], 6) % (SLOTS - OWN)
+
+
+def leaf(groups):
+    """The class and slot, in one number, of words that have none of their own."""
+    return groups // (SLOTS - OWN) * SLOTS + OWN + groups % (SLOTS - OWN)
 
 
 def trains(fold: int = 7, held: int = 2):
@@ -79,13 +88,24 @@ class Counts:
     ends: int
     marks: np.ndarray  # of the HEAD most frequent words, sorted
     logs: np.ndarray  # log10 of their counts and one
-    singles: dict[int, int]  # mark to class
-    mass: np.ndarray  # by class: sum of counts and ones, with one for all unknown words of a group
+    singles: dict[int, int]  # mark to the slot of its own
+    mass: np.ndarray  # by class and slot: sum of counts and ones, with one for all unknown words of a shared slot
+
+    @property
+    def bits(self) -> int:
+        """Rows of weights for classes, as many for slots, as a power of two: up to sixteen times the root of the tokens."""
+        return min(max(LEAST_BITS, int(math.log2(16 * math.sqrt(self.tokens + 1)))), MOST_BITS)
+
+    def priors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of the shares of classes, and of slots in their class."""
+        mass = self.mass.reshape(CLASSES, SLOTS)
+        whole = mass.sum(axis=1, keepdims=True)
+        return np.log(whole[:, 0] / whole.sum()).astype(np.float32), np.log(np.maximum(mass, 1e-9) / whole).astype(np.float32)
 
 
 def summed(words: DataFrame, ends: int) -> Counts:
-    """What all tasks need of the counts; its size is bounded by HEAD and CLASSES."""
-    by_class = words.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
+    """What all tasks need of the counts; its size is bounded by HEAD and the number of slots."""
+    by_group = words.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
     scale = F.floor(F.log2("n") * 8).cast("int")  # a few hundred steps at most
     steps_of = {r.scale: r["count"] for r in words.groupBy(scale.alias("scale")).count().collect()}
     least, room = max(steps_of, default=0) + 1, HEAD
@@ -93,19 +113,21 @@ def summed(words: DataFrame, ends: int) -> Counts:
         least -= 1
         room -= steps_of.get(least, 0)
     head = words.where(scale >= least).toPandas().sort_values(["n", "mark"], ascending=[False, True])[["mark", "cls", "n"]]
-    mass = np.zeros(CLASSES)
-    for r in by_class:
-        mass[r.cls] = r.n + r.kinds
-    mass[SINGLES + 1 :] += 1
-    singles = {}
-    for i, (word, cls, n) in enumerate(head.head(SINGLES).itertuples(index=False)):
-        singles[int(word)] = i
-        mass[cls] -= n + 1
-        mass[i] = n + 1
+    mass = np.zeros(CLASSES * SLOTS)
+    mass[leaf(np.arange((CLASSES - 1) * (SLOTS - OWN)))] = 1
+    for r in by_group:
+        mass[leaf(r.cls)] += r.n + r.kinds
+    singles, filled = {}, Counter()
+    for word, group_, n in head.groupby(head["cls"] // (SLOTS - OWN)).head(OWN).itertuples(index=False):
+        cls = int(group_) // (SLOTS - OWN)
+        singles[int(word)] = own = cls * SLOTS + filled[cls]
+        filled[cls] += 1
+        mass[leaf(int(group_))] -= n + 1
+        mass[own] = n + 1
     mass[END] = ends + 1
     order = np.argsort(head["mark"].to_numpy(np.int64))
     marks, n = head["mark"].to_numpy(np.int64)[order], head["n"].to_numpy(np.int64)[order]
-    return Counts(sum(r.n for r in by_class) + ends, sum(r.kinds for r in by_class) + (ends > 0), ends, marks, np.log10(n + 1.0), singles, np.maximum(mass, 1))
+    return Counts(sum(r.n for r in by_group) + ends, sum(r.kinds for r in by_group) + (ends > 0), ends, marks, np.log10(n + 1.0), singles, mass)
 
 
 class Lexicon(dict):
@@ -122,7 +144,7 @@ class Lexicon(dict):
         super().clear()
         self.update({b" ": 0, b"\n": 1})
         self.new: list[bytes] = []
-        self.marks, self.classes, self.logs = np.array([1, 2], np.int64), np.array([127, END], np.int32), np.array([0.0, np.log10(self.counts.ends + 1.0)])
+        self.marks, self.leaves, self.logs = np.array([1, 2], np.int64), np.array([END, END], np.int64), np.array([0.0, np.log10(self.counts.ends + 1.0)])
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -134,12 +156,12 @@ class Lexicon(dict):
         if not self.new:
             return
         marks = np.array([mark(w) for w in self.new], np.int64)
-        classes = np.array([self.counts.singles.get(m, g) for m, g in zip(marks.tolist(), map(group, self.new), strict=True)], np.int32)
+        leaves = np.array([self.counts.singles.get(m, g) for m, g in zip(marks.tolist(), leaf(np.array(list(map(group, self.new)))).tolist(), strict=True)], np.int64)
         logs = np.full(len(marks), -1.0)  # not in the head
         if len(self.counts.marks):
             at = np.searchsorted(self.counts.marks, marks).clip(max=len(self.counts.marks) - 1)
             logs = np.where(self.counts.marks[at] == marks, self.counts.logs[at], -1.0)
-        self.marks, self.classes, self.logs = np.concatenate([self.marks, marks]), np.concatenate([self.classes, classes]), np.concatenate([self.logs, logs])
+        self.marks, self.leaves, self.logs = np.concatenate([self.marks, marks]), np.concatenate([self.leaves, leaves]), np.concatenate([self.logs, logs])
         self.new = []
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -152,111 +174,102 @@ class Lexicon(dict):
         self.settle()
         return tokens, np.array(list(map(len, rows)))
 
-    def every(self, texts: list[bytes], step: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of each step-th token of the texts, and of the one and the two before it; where they start varies by text."""
-        now: list[bytes] = []
-        one: list[bytes] = []
-        two: list[bytes] = []
-        for i, text in enumerate(texts):
-            row = [b" ", b" ", *text.lower().split(), b"\n"]
-            at = (start + i) % step
-            part = row[at + 2 :: step]
-            now += part
-            one += row[at + 1 :: step][: len(part)]
-            two += row[at::step][: len(part)]
-        found = self.numbers(now), self.numbers(one), self.numbers(two)
-        self.settle()
-        return found
-
     def trim(self) -> None:
         if len(self) > MEMO:
             self.clear()
 
 
-def features(words: Lexicon, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
-    """The rows of weights that count for tokens after these: the last and the last but one."""
-    a, b = words.marks[one].view(np.uint64), words.marks[two].view(np.uint64)
-    both = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
-    return [
-        words.classes[one].astype(np.int64),
-        128 + words.classes[two].astype(np.int64),
-        256 + (a % np.uint64(WORD)).astype(np.int64),
-        256 + WORD + (b % np.uint64(SKIP)).astype(np.int64),
-        256 + WORD + SKIP + ((both >> np.uint64(20)) % np.uint64(PAIR)).astype(np.int64),
-    ]
+def rows_of(words: Lexicon, now: np.ndarray, one: np.ndarray, two: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The rows of weights that count for the classes of tokens after these, and for their slots given the class."""
+    a, b, size, shift = words.marks[one].view(np.uint64), words.marks[two].view(np.uint64), 1 << bits, np.uint64(64 - bits)
+    slot_a, slot_b, cls = ((words.leaves[x] // y + 1).astype(np.uint64) for x, y in ((one, 1), (two, 1), (now, SLOTS)))
+    both = (a ^ (a >> np.uint64(29))) * FACTORS[0] ^ b
+    row = lambda x, k: (x * FACTORS[k] >> shift).astype(np.int64)
+    inner = lambda x, k: size + row(x * np.uint64(CLASSES + 1) + cls, k)
+    return [row(slot_a, 0), row(slot_b, 1), row(a, 2), row(both, 3)], [inner(slot_a, 4), inner(slot_b, 5)]
 
 
-def class_logs(weights: np.ndarray, prior: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Natural logarithms of all class probabilities, token by class."""
-    z = weights[rows[0]]
+def logits(weights: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+    z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, axis=0)
     z += prior
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    if z.size and z.max() > 60:  # before exp would overflow
+        z -= z.max(axis=1, keepdims=True)
+    return z
 
 
-def chosen_logs(weights: np.ndarray, prior: np.ndarray, rows: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the probability of each token's own class."""
-    z = weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
-    z += prior
-    if z.max() > 60:  # before exp would overflow
-        z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), classes]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
-
-
-def steps(weights: np.ndarray, prior: np.ndarray, words: Lexicon, now: np.ndarray, one: np.ndarray, two: np.ndarray, squares: np.ndarray, rate: float) -> None:
-    """Gradient steps on tokens and the two before each, in blocks, with rates by row that fall with the squared gradients so far."""
-    for i in range(0, len(now), 2048):
-        part = slice(i, i + 2048)
-        rows = features(words, one[part], two[part])
-        off = np.exp(class_logs(weights, prior, rows))
-        off[np.arange(len(off)), words.classes[now[part]]] -= 1
-        for r in rows:
-            order = np.argsort(r, kind="stable")
-            which, starts = np.unique(r[order], return_index=True)
-            change = np.add.reduceat(off[order], starts, axis=0)
-            squares[which] += (change * change).mean(axis=1)
-            weights[which] -= (rate / np.sqrt(squares[which] + 1.0))[:, None] * change
-
-
-def train(docs: DataFrame, counts: Counts, rounds: int = 2, every: int = 8, rate: float = 0.15) -> np.ndarray:
-    """Weights from all of docs: each round takes one part of the documents by hash, and of each every `every`-th token.
-
-    A task sends on only its change of the weights (1.6 MB), in blocks that are summed by block and salt, then by block. Small
-    partitions share a task, so that what is sent stays small beside the texts.
+def chosen_logs(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the softmax at one column of each row; z is overwritten."""
+    own = z[np.arange(len(z)), chosen]
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
+
+
+def token_logs(weights: np.ndarray, priors: tuple[np.ndarray, np.ndarray], words: Lexicon, now: np.ndarray, one: np.ndarray, two: np.ndarray, bits: int) -> np.ndarray:
+    """Natural logarithm of the probability of each token's class and slot."""
+    (top, inner), (cls, slot) = rows_of(words, now, one, two, bits), np.divmod(words.leaves[now], SLOTS)
+    return chosen_logs(logits(weights, top, priors[0]), cls) + chosen_logs(logits(weights, inner, priors[1][cls]), slot)
+
+
+def step(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], z: np.ndarray, chosen: np.ndarray, rate: float) -> None:
+    """One gradient step; the rate of a row falls with the squared gradients that it has met."""
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    z[np.arange(len(z)), chosen] -= 1
+    size, flat, columns = np.einsum("ij,ij->i", z, z), weights.reshape(-1), np.arange(z.shape[1])
+    for r in rows:
+        np.add.at(squares, r, size)
+    for r in rows:
+        change = z * (-rate / np.sqrt(squares[r] + 1.0))[:, None]
+        np.add.at(flat, (r[:, None] * z.shape[1] + columns).ravel(), change.ravel())
+
+
+def learn(weights: np.ndarray, squares: np.ndarray, priors: tuple[np.ndarray, np.ndarray], words: Lexicon, tokens: np.ndarray, bits: int, rate: float) -> int:
+    """Gradient steps on all tokens of some texts, in blocks; returns how many there are."""
+    real = np.flatnonzero(tokens > 0)
+    for i in range(0, len(real), BLOCK):
+        at = real[i : i + BLOCK]
+        now, one, two = tokens[at], tokens[at - 1], tokens[at - 2]
+        (top, inner), (cls, slot) = rows_of(words, now, one, two, bits), np.divmod(words.leaves[now], SLOTS)
+        step(weights, squares, top, logits(weights, top, priors[0]), cls, rate)
+        step(weights, squares, inner, logits(weights, inner, priors[1][cls]), slot, rate)
+    return len(real)
+
+
+def train(docs: DataFrame, counts: Counts, rounds: int = 2, rate: float = 0.3) -> np.ndarray:
+    """Weights from every token of docs: each round takes one part of the documents by hash, so each token counts once.
+
+    A task sends on its change of the weights, in blocks that are summed by block and salt, then by block. What a task sends is
+    at most a third of the text that it reads, because partitions share tasks until each has so many tokens.
     """
-    prior = np.log(counts.mass / counts.mass.sum()).astype(np.float32)
-    weights, blocks = np.zeros((ROWS, CLASSES), np.float32), 16
-    sc = docs.sparkSession.sparkContext
+    priors, bits, blocks = counts.priors(), counts.bits, 16
+    weights, sc = np.zeros((2 << bits, SLOTS), np.float32), docs.sparkSession.sparkContext
     for turn in range(rounds):
         shared = sc.broadcast((weights, counts))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             common, known = shared.value
-            own, words, seen, squares = common.copy(), Lexicon(known), 0, np.zeros(ROWS, np.float32)
+            own, words, seen, squares = common.copy(), Lexicon(known), 0, np.zeros(len(common), np.float32)
             for batch in slices(batches, 64):
-                now, one, two = words.every(utf8(batch.column(0)), every, turn)
-                steps(own, prior, words, now, one, two, squares, rate)
-                seen += len(now)
+                seen += learn(own, squares, priors, words, words.read(utf8(batch.column(0)))[0], bits, rate)
                 words.trim()
             if seen:
-                change = np.array_split((own - common).astype(np.float16), blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([TaskContext.get().partitionId() % 8] * blocks, pa.int32()), pa.array([seen] * blocks, pa.int64()), pa.array([c.tobytes() for c in change], pa.binary())], ["block", "salt", "seen", "change"])
+                own -= common
+                change, met = (np.array_split(x, blocks) for x in (own.astype(np.float16), squares))
+                salt = TaskContext.get().partitionId() % 8
+                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([salt] * blocks, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (met, change))], ["block", "salt", "met", "change"])
 
         def add(table: pa.Table) -> pa.Table:
-            seen = table["seen"].to_pylist()
-            mean = sum(np.frombuffer(c.as_py(), np.float16).astype(np.float64) * (n / sum(seen)) for c, n in zip(table["change"], seen, strict=True))
-            return pa.table({"block": table["block"][:1], "salt": table["salt"][:1], "seen": [sum(seen)], "change": [mean.astype(np.float16).tobytes()]})
+            met = [np.frombuffer(x.as_py(), np.float32) for x in table["met"]]
+            total = sum(met)
+            mean = sum(np.frombuffer(c.as_py(), np.float16).reshape(-1, SLOTS) * (m / np.maximum(total, 1e-9))[:, None] for c, m in zip(table["change"], met, strict=True))
+            return pa.table({"block": table["block"][:1], "salt": table["salt"][:1], "met": [total.tobytes()], "change": [mean.astype(np.float16).tobytes()]})
 
-        kind = "block int, salt int, seen long, change binary"
-        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).select("text").coalesce(max(48, counts.ends // 20_000))
+        kind = "block int, salt int, met binary, change binary"
+        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).select("text").coalesce(max(12, counts.tokens // rounds // (64 << bits)))
         sums = part.mapInArrow(run, kind).groupBy("block", "salt").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind).orderBy("block").collect()
         if sums:
-            weights = weights + np.concatenate([np.frombuffer(r.change, np.float16) for r in sums]).reshape(ROWS, CLASSES).astype(np.float32)
+            weights = weights + np.concatenate([np.frombuffer(r.change, np.float16) for r in sums]).reshape(weights.shape).astype(np.float32)
         shared.unpersist()
     return weights
 
@@ -266,35 +279,36 @@ def scored(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
 
     Texts are taken as UTF-8 bytes, A-Z in lower case; tokens are the words between ASCII white space and one end, so a null or
     empty text has one token. Rows whose crc32(doc_id as text) mod fold is not `held` are learned from, repeated rows as often as
-    they come. Without training rows all counts are zero. Empty table: no rows.
+    they come. Without training rows all counts are zero. The weights depend on how training rows are dealt over tasks, in the way
+    that averages do. Empty table: no rows.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     learned = rows.where(trains(fold, held))
     words = checkpoint(count_words(learned))
     counts = summed(words, learned.count())
     weights = train(learned, counts)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, counts))
+    shared, priors, bits = docs.sparkSession.sparkContext.broadcast((weights, counts)), counts.priors(), counts.bits
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, known = shared.value
-        prior = np.log(known.mass / known.mass.sum()).astype(np.float32)
-        words, share, row = Lexicon(known), np.log10(known.mass), TaskContext.get().partitionId() << 40
+        words, share, row = Lexicon(known), np.log10(np.maximum(known.mass, 1)), TaskContext.get().partitionId() << 40
         for batch in slices(batches, 128):
             tokens, sizes = words.read(utf8(batch.column("text")))
             real = np.flatnonzero(tokens > 0)
             doc = np.repeat(np.arange(len(sizes)), sizes - 2)
-            logs, cls, one, two = words.logs[tokens[real]], words.classes[tokens[real]], tokens[real - 1], tokens[real - 2]
+            now, one, two = tokens[real], tokens[real - 1], tokens[real - 2]
+            logs = words.logs[now]
             model = np.empty(len(real))
             for i in range(0, len(real), BLOCK):
                 part = slice(i, i + BLOCK)
-                model[part] = chosen_logs(common, prior, features(words, one[part], two[part]), cls[part]) / math.log(10)
+                model[part] = token_logs(common, priors, words, now[part], one[part], two[part], bits) / math.log(10)
             n, in_head = batch.num_rows, logs >= 0
             head = np.bincount(doc, np.where(in_head, logs, 0), n)
-            factor = np.bincount(doc, model - share[cls], n)
-            seen = in_head & ((tokens[real] != 1) | (known.ends > 0))
+            factor = np.bincount(doc, model - share[words.leaves[now]], n)
+            seen = in_head & ((now != 1) | (known.ends > 0))
             rare = np.flatnonzero(~in_head)
-            pairs = np.stack([doc[rare], words.marks[tokens[real[rare]]]])
+            pairs = np.stack([doc[rare], words.marks[now[rare]]])
             pairs = pairs[:, np.lexsort(pairs[::-1])]
             new = np.flatnonzero(np.append(True, (np.diff(pairs) != 0).any(axis=0))[: pairs.shape[1]])
             times, pairs = np.diff(np.append(new, pairs.shape[1])), pairs[:, new]

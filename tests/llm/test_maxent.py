@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import maxent
 
@@ -52,22 +53,54 @@ def test_probabilities_sum_to_one(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").where("doc_id is not null")
     words = maxent.count_words(docs)
     counts = maxent.summed(words, docs.count())
-    weights = maxent.train(docs, counts, rounds=1, every=2)
+    weights, bits = maxent.train(docs, counts, rounds=1), counts.bits
     known = {r["mark"]: (r["cls"], r["n"]) for r in words.collect()}
     lexicon = maxent.Lexicon(counts)
-    tokens, _ = lexicon.read([b"theen ofen w3en w5de"])
-    prior = np.log(counts.mass / counts.mass.sum()).astype(np.float32)
-    p = np.exp(maxent.class_logs(weights, prior, maxent.features(lexicon, tokens[1:-1], tokens[:-2])))
-    own = maxent.chosen_logs(weights, prior, maxent.features(lexicon, tokens[1:-1], tokens[:-2]), lexicon.classes[tokens[2:]])
-    assert np.allclose(np.exp(own), p[np.arange(len(p)), lexicon.classes[tokens[2:]]], atol=1e-5)
-    inside = np.zeros(maxent.CLASSES)
-    for word, (cls, n) in known.items():
-        inside[counts.singles.get(word, cls)] += n + 1
+    one, two = (np.array([lexicon[w] for w in x.split()]) for x in (b"theen ofen w3en newen", b"theen w9de theen new"))
+    lexicon.settle()
+    total = 0
+    for leaf in range(maxent.CLASSES * maxent.SLOTS):
+        lexicon.leaves[0] = leaf
+        own = maxent.token_logs(weights, counts.priors(), lexicon, np.zeros(len(one), int), one, two, bits)
+        total = total + np.exp(own)
+    assert np.allclose(total, 1, atol=1e-3)
+    inside = np.zeros(maxent.CLASSES * maxent.SLOTS)
+    for word, (group, n) in known.items():
+        inside[counts.singles.get(word, maxent.leaf(group))] += n + 1
     inside[maxent.END] = counts.ends + 1
-    inside[maxent.SINGLES + 1 :] += 1  # the unknown word of each group
-    share = inside / counts.mass
-    share[inside == 0] = 1
-    assert np.allclose(p @ share, 1, atol=1e-4)
+    inside[maxent.leaf(np.arange((maxent.CLASSES - 1) * (maxent.SLOTS - maxent.OWN)))] += 1  # the unknown word of each shared slot
+    assert np.allclose(inside, counts.mass)
+
+
+def test_every_training_token_is_learned_once(spark, rows, monkeypatch):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counts = maxent.summed(maxent.count_words(docs), docs.count())
+    seen = spark.sparkContext.accumulator(0)
+    learn = maxent.learn
+
+    def counted(*parts):
+        n = learn(*parts)
+        seen.add(n)
+        return n
+
+    run = maxent.train.__globals__
+    monkeypatch.setitem(run, "learn", counted)
+    maxent.train(docs, counts)
+    assert seen.value == counts.tokens == sum(len((t or "").split()) + 1 for _, t in rows)
+
+
+def test_what_comes_before_tells_what_follows(spark):
+    rng = random.Random(5)
+    after = {f"w{i}": f"w{rng.randrange(300)}" for i in range(300)}
+    texts = []
+    for i in range(900):
+        words = [f"w{rng.randrange(300)}"]
+        for _ in range(60):
+            words.append(after[words[-1]] if rng.random() < 0.9 else f"w{rng.randrange(300)}")
+        texts.append((i, " ".join(words)))
+    held = maxent.scored(spark.createDataFrame(texts, "doc_id long, text string")).where("held_out").collect()
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert gain > 0.5  # in log10 for each token; the words alone tell nothing
 
 
 def test_empty_table(spark):
