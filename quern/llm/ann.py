@@ -1,9 +1,11 @@
 """Nearest neighbours by inner product, from randomly rotated one-bit codes.
 
 A vector is rotated at random into BITS dimensions and only the signs are kept, packed in bytes, with two numbers: its length and
-the inner product of its direction with the direction of its signs. From these the inner product with a rotated query is
-estimated without bias, with an error bound. A query first takes the exact products of the vectors estimated highest; then every
-vector whose estimate plus bound reaches the worst of the k best exact products so far is reranked by its exact product.
+the inner product of its direction with the direction of its signs. The rotated query is rounded at random to LEVELS bits for
+each component and laid out as as many bit planes, so that the inner product with packed signs is a sum of bit counts; with the
+two numbers it gives an estimate without bias, with an error bound. A query first takes the exact products of the vectors
+estimated highest; then every vector whose estimate plus bound reaches the worst of the k best exact products so far is reranked
+by its exact product.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bits for each vector; a multiple of 8, at least the number of its components.
+#: Bits for each vector; a multiple of 64, at least the number of its components.
 BITS = 128
+#: Bits of each component of a query.
+LEVELS = 4
 #: Standard deviations that the error bound spans.
-SPAN = 2.5
+SPAN = 2.0
 #: Rows of a block of queries and of a block of candidates; a task meets one of each.
 QUERIES, CANDIDATES = 2048, 16_384
 
@@ -57,29 +61,47 @@ def index(vectors: DataFrame, dim: int, key: str = "vec_id", vector: str = "embe
     return rows.dropDuplicates(["key"]).mapInArrow(run, f"key {kind}, vector array<double>, code binary, length double, fit double")
 
 
+def planes(turned: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated queries as bit planes (query, plane, word), with the least value and the width of a level of each."""
+    low = turned.min(axis=1)
+    width = np.maximum(turned.max(axis=1) - low, 1e-300) / (2**LEVELS - 1)
+    level = np.floor((turned - low[:, None]) / width[:, None] + np.random.default_rng(seed).random(turned.shape)).astype(np.uint8)
+    bits = np.stack([np.packbits(level >> j & 1, axis=1) for j in range(LEVELS)], axis=1)
+    return bits.view(np.uint64), low, width
+
+
+def estimates(signs: np.ndarray, ones: np.ndarray, plane: np.ndarray, low: float, width: float) -> np.ndarray:
+    """Products of one query, by its planes, with packed signs (row, word), as vectors of ones and minus ones."""
+    total = np.zeros(len(signs), np.int32)
+    for j, words in enumerate(plane):
+        held = np.bitwise_count(signs[:, 0] & words[0]).astype(np.uint16)
+        for word, column in zip(words[1:], signs.T[1:], strict=True):
+            held += np.bitwise_count(column & word)
+        total += held << np.uint16(j)
+    whole = sum(int(np.bitwise_count(w).sum()) << j for j, w in enumerate(plane))
+    return (2 * total - whole) * width + (2 * ones - signs.shape[1] * 64) * low
+
+
 def nearest(keys: np.ndarray, vectors: np.ndarray, packed: np.ndarray, lengths: np.ndarray, fits: np.ndarray, query_keys: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its k best of a block: rows by exact product, greatest first, ties to the smaller key."""
     bits = packed.shape[1] * 8
-    signs = np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
-    scale = (lengths / fits / np.sqrt(bits)).astype(np.float32)
-    bound = lengths * np.sqrt(np.maximum(1 - fits**2, 0)) / fits * SPAN / np.sqrt(bits - 1)
-    turned = (queries @ rotation(queries.shape[1], bits)).astype(np.float32)
-    for start in range(0, len(queries), 128):
-        guesses = turned[start : start + 128] @ signs.T * scale
-        for i, guess in enumerate(guesses, start):
-            query, size = queries[i], np.sqrt(queries[i] @ queries[i])
-            others = keys != query_keys[i]
-            guess[~others] = -np.inf
-            first = np.argpartition(-guess, min(4 * k, len(guess) - 1))[: 4 * k]
-            first = first[others[first]]
-            if len(first) >= k:
-                worst = np.partition((vectors[first] * query).sum(axis=1), len(first) - k)[len(first) - k]
-                first = np.flatnonzero((guess + bound * size >= worst) & others)
-                first = np.union1d(first, np.argpartition(-guess, min(4 * k, len(guess) - 1))[: 4 * k])
-                first = first[others[first]]
-            exact = (vectors[first] * query).sum(axis=1)
-            best = np.lexsort((keys[first], -exact))[:k]
-            yield i, first[best], exact[best]
+    signs = np.asfortranarray(np.ascontiguousarray(packed).view(np.uint64))
+    ones, scale = np.bitwise_count(signs).sum(axis=1, dtype=np.int32), lengths / fits / np.sqrt(bits)
+    spread = lengths * np.sqrt(np.maximum(1 - fits**2, 0)) / fits / np.sqrt(bits - 1)
+    asked, low, width = planes(queries @ rotation(queries.shape[1], bits))
+    for i, query in enumerate(queries):
+        guess = estimates(signs, ones, asked[i], low[i], width[i]) * scale
+        bound = SPAN * np.sqrt((spread * np.sqrt(query @ query)) ** 2 + (scale * width[i]) ** 2 * bits / 4)  # of the code, of the levels
+        others = keys != query_keys[i]
+        guess[~others] = -np.inf
+        first = np.argpartition(-guess, min(4 * k, len(guess) - 1))[: 4 * k]
+        first = first[others[first]]
+        if len(first) >= k:
+            worst = np.partition((vectors[first] * query).sum(axis=1), len(first) - k)[len(first) - k]
+            first = np.union1d(first, np.flatnonzero((guess + bound >= worst) & others))
+        exact = (vectors[first] * query).sum(axis=1)
+        best = np.lexsort((keys[first], -exact))[:k]
+        yield i, first[best], exact[best]
 
 
 def search(indexed: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

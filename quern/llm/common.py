@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where the setting is missing (tests on one machine) a local folder takes its place.
+    Only where the setting is missing on one machine (tests) a local folder takes its place; on a cluster that is an error.
     """
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if known is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = f"file://{tempfile.mkdtemp(prefix='quern-checkpoint-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
@@ -32,6 +36,25 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def extended(df: DataFrame, more: str, without: tuple[str, ...] = ()) -> StructType:
+    """The columns of df but some, and more, given as DDL."""
+    return StructType([f for f in df.schema.fields if f.name not in without] + StructType.fromDDL(more).fields)
+
+
+def dropped(folder: str) -> None:
+    """Delete a folder that fresh_dir named, with all that is in it."""
+    store, path = fs.FileSystem.from_uri(folder)
+    store.delete_dir(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and cut its lineage; a lost executor then costs a reread, not a recomputation."""
     shared_dir(df.sparkSession)

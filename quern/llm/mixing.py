@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpoint
+from quern.llm.common import checkpoint, unused
 
 #: Halvings of the interval that each pass over the sources settles, and passes.
 LEVELS, PASSES = 4, 8
@@ -135,6 +135,7 @@ def planned(docs: DataFrame, most_epochs: float = 2.0, seed: int = 1, **limits)
 
 def drawn(docs: DataFrame, most_epochs: float = 2.0, seed: int = 1) -> DataFrame:
     """docs as often as the schedule has them, with their columns; each comes at least once."""
-    plan = planned(docs, most_epochs, seed).groupBy(F.col("source").alias("_source"), F.col("doc_id").alias("_id")).agg(F.count("*").cast("int").alias("_times"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]) & docs["source"].eqNullSafe(plan["_source"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_turn")).drop("_turn")
+    source, id_, times, turn = (unused(docs, c) for c in ("_source", "_id", "_times", "_turn"))
+    plan = planned(docs, most_epochs, seed).groupBy(F.col("source").alias(source), F.col("doc_id").alias(id_)).agg(F.count("*").cast("int").alias(times))
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan[id_]) & docs["source"].eqNullSafe(plan[source]))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(turn)).drop(turn)

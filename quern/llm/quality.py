@@ -7,6 +7,7 @@ combined into one probability. A filter is a table of weights by place and byte
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from quern.llm.common import slices, utf8
+from quern.llm.common import extended, slices, unused, utf8
 
 #: Bytes under a filter, bytes of a step between chunks of four steps each.
 WIDTH, STEP, STEPS = 6, 64, 4
@@ -70,8 +72,11 @@ def score(net: Network, tables: list[np.ndarray], text: bytes) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(chunks: list[np.ndarray], labels: np.ndarray, filters: int = 16, epochs: int = 6, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
-    """Fit to documents, each an array of chunks of CHUNK + WIDTH - 1 bytes, and their labels 0 or 1, by Adam on the log loss."""
+def train(chunks: list[np.ndarray], labels: np.ndarray, filters: int = 16, epochs: int = 6, least_steps: int = 200, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
+    """Fit to documents, each an array of chunks of CHUNK + WIDTH - 1 bytes, and their labels 0 or 1, by Adam on the log loss.
+
+    Few documents are gone through more often than `epochs`, until there are at least_steps steps.
+    """
     rng = np.random.default_rng(seed)
     net = Network(
         rng.normal(0, 0.15, (WIDTH, 256, filters)).astype(np.float32),
@@ -82,7 +87,7 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, filters: int = 16, epoch
     parameters = [net.filters, net.bias, net.weights, net.combine]
     first, second = ([np.zeros_like(p) for p in parameters] for _ in range(2))
     places, turn = np.arange(WIDTH), 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, least_steps // -(-len(chunks) // batch))):
         order = rng.permutation(len(chunks))
         for at in range(0, len(order), batch):
             docs = order[at : at + batch]
@@ -114,16 +119,29 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, filters: int = 16, epoch
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_chunks: int = 16, folds: int = 5, held: int = 0) -> Network:
-    """A network for labels.quality, from at most most_rows labelled documents and most_chunks evenly spread chunks of each.
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_bytes: int = 10 << 20, folds: int = 5, held: int = 0) -> Network:
+    """A network for labels.quality, from whole texts of at most most_rows labelled documents and most_bytes bytes.
 
     Only rows whose crc32(doc_id as text) mod folds is not `held` are learned from; those with the least hashes are taken, so the
-    sample does not depend on how rows are stored. Null ids and labels are left out. Without any rows every text scores one half.
+    sample does not depend on how rows are stored. A document that does not fit into the bytes that are left is passed over, so
+    that the sample is bounded whatever the length of texts. Of rows that share a doc_id the longest text counts. Null ids and
+    labels are left out. Without any rows every text scores one half.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).where("_id is not null and quality in (0, 1)")
     known = known.where(F.crc32(F.col("_id").cast("string")) % folds != held).groupBy("_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(sample), "_id")
+    own = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    sizes = own.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.max(F.octet_length("_text")).alias("size"), F.max("quality").alias("quality")).collect()
+    sizes.sort(key=lambda r: (zlib.crc32(str(r._id).encode()), r._id))
+    chosen, room = [], most_bytes
+    for r in sizes:
+        if r.size <= room:
+            chosen.append(r)
+            room -= r.size
+    if not chosen:
+        return Network(np.zeros((WIDTH, 256, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32), np.zeros(4, np.float32))
+    wanted = docs.sparkSession.createDataFrame([(r._id, r.size, r.quality) for r in chosen], StructType([StructField("_id", docs.schema["doc_id"].dataType), StructField("_size", LongType()), StructField("quality", IntegerType())]))
+    texts = own.join(F.broadcast(wanted), "_id").where(F.octet_length("_text") == F.col("_size")).groupBy("_id").agg(F.min("_text").alias("_text"), F.first("quality").alias("quality"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -131,16 +149,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_chunks:
             for text in utf8(batch.column("_text")):
                 data = covered(text)
                 starts = np.arange(0, len(data) - CHUNK, STRIDE * STEP)
-                if len(starts) > most_chunks:
-                    starts = starts[np.linspace(0, len(starts) - 1, most_chunks).astype(int)]
                 rows.append(b"".join(data[i : i + CHUNK + WIDTH - 1].tobytes() for i in starts))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("quality"), pa.array(rows, pa.binary())], ["id", "quality", "chunks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(cut, f"id {kind}, quality int, chunks binary").collect()
     rows.sort(key=lambda r: (r.id, r.chunks))
-    if not rows:
-        return Network(np.zeros((WIDTH, 256, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32), np.zeros(4, np.float32))
     chunks = [np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK + WIDTH - 1) for r in rows]
     return train(chunks, np.array([r.quality for r in rows], np.float32))
 
@@ -148,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_chunks:
 def scored(docs: DataFrame, net: Network, text: str = "text", column: str = "score") -> DataFrame:
     """docs with each whole text's probability of good quality. Null texts count as empty; a column of that name is replaced."""
     kept = docs.drop(column)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), f"`{column}` double"])
+    schema = extended(kept, f"`{column}` double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = paired(net)
@@ -161,5 +175,5 @@ def scored(docs: DataFrame, net: Network, text: str = "text", column: str = "sco
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score at least the threshold, with the columns of docs."""
-    rated = scored(docs, fit(docs, labels), column="_quality")
-    return rated.where(F.col("_quality") >= threshold).select(*[f"`{c}`" for c in docs.columns])
+    column = unused(docs, "_quality")
+    return scored(docs, fit(docs, labels), column=column).where(F.col(column) >= threshold).drop(column)

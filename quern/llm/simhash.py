@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quern.llm import similar
-from quern.llm.common import checkpoint, slices, utf8
+from quern.llm.common import checkpoint, slices, unused, utf8
 from quern.llm.components import components
 
 #: Rows of the blocks in which a task compares two tiles; bytes of a sketch.
@@ -182,10 +182,11 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int, sketches: np
     return hung, roots[hung]
 
 
-def links(nodes: DataFrame, radius: int, least: float = 0.0, least_tile: int = 512, most_tile: int = 4_000_000, tiles_wanted: int = 24) -> DataFrame:
+def links(nodes: DataFrame, radius: int, least: float = 0.0, least_tile: int = 512, most_tile: int = 1 << 18, tiles_wanted: int = 24) -> DataFrame:
     """(u, v): a spanning forest, by id, of all links within the radius; nodes has id, fp and sketch, ids without repeats or nulls.
 
-    Each node goes to as many tasks as its tile has near tiles: about tiles_wanted, until tiles reach most_tile rows. Only the
+    Each node goes to as many tasks as its tile has near tiles: about tiles_wanted, until tiles reach most_tile rows; from there
+    on tiles grow in number and no task compares more than two tiles of that size. Only the
     number of fingerprints by quarter counts, at most 83,521 rows, comes to the driver. Sketches, unless empty, must be at least
     so much alike.
     """
@@ -248,15 +249,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """docs without near copies: of each group the row with the least doc_id stays, with all its columns.
 
-    Linked are texts whose sets of shingles have a Jaccard similarity of at least `least`, decided by the sets themselves (64-bit
+    Linked are rows whose texts' sets of shingles have a Jaccard similarity of at least `least`, decided by the sets themselves (64-bit
     hashes of shingles) and complete; fingerprints take no part, because at a similarity of 0.8 they differ in about 10 bits and
-    a sixth of such pairs in more than 12. Groups are what such links connect. Of rows that repeat both doc_id and text one
-    stays. Rows with a null doc_id take no part and stay. Empty table: no rows.
+    a sixth of such pairs in more than 12. Groups are what such links connect. Rows are told apart by doc_id and text: of rows
+    that repeat both one stays, and of rows that share a doc_id and are linked that with the least hash of its text. Null and
+    empty texts, and texts without words, are one group. Rows with a null doc_id take no part and stay. Empty table: no rows.
     """
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), "text")
+    id_, mark = unused(docs, "_id"), unused(docs, "_mark")
+    own = docs.where("doc_id is not null").withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    known = own.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.col(mark).alias("mark")).alias("key"), "text")
     sets, roots = similar.groups(known, lambda text: np.unique(shingles(text, words)), least)
     placed = sets.join(roots, sets["set"] == roots["node"], "left").select("key", F.coalesce("root", "set").alias("root"))
-    kept = placed.groupBy("root").agg(F.min("key").alias("_id")).select("_id")
-    own = docs.where("doc_id is not null")
-    left = own.join(kept, own["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.unionByName(docs.where("doc_id is null"))
+    kept = placed.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.id").alias(id_), F.col("key.mark").alias(f"{id_}_mark"))
+    left = own.join(kept, (own["doc_id"] == kept[id_]) & (own[mark] == kept[f"{id_}_mark"]), "left_semi").dropDuplicates(["doc_id", mark])
+    return left.drop(mark).unionByName(docs.where("doc_id is null"))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.common import slices, utf8
+from quern.llm.common import extended, slices, utf8
 from quern.llm.repeats import Rows, Units, merged, ranks, spanned, word_grams, word_units
 
 GRAM = 8
@@ -35,7 +35,7 @@ def aligned(rows: Rows, units: Units) -> np.ndarray:
     return table
 
 
-def extended(rows: Rows, units: Units, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+def matched(rows: Rows, units: Units, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
     """The first word and end, in each row, of its matches of a window's length with rows that stand earlier."""
     n, words, rank = len(rows.text), aligned(rows, units), ranks(rows)
     low, high = np.full(n, words.shape[1]), np.zeros(n, np.int64)
@@ -80,9 +80,9 @@ def removed(docs: DataFrame, window: int = 20, pairs: int = PAIRS) -> DataFrame:
     A word goes if a window of so many words that covers it also starts earlier. Words are parted by ASCII white space and
     compared as they are; windows are judged on the input and never cross documents.
     """
-    found = spanned(docs.drop("kept", "n_words", "n_removed"), kind(window), partial(extended, pairs=pairs))
+    found = spanned(docs.drop("kept", "n_words", "n_removed"), kind(window), partial(matched, pairs=pairs))
     names = [c for c in found.columns if c != "spans"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields if f.name != "spans"), "n_words long, n_removed long, kept binary"])
+    schema = extended(found, "n_words long, n_removed long, kept binary", ("spans",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

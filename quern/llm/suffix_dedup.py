@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import slices, utf8
+from quern.llm.common import extended, slices, utf8
 from quern.llm.repeats import Rows, Units, byte_grams, byte_units, merged, spanned
 
 GRAM = LETTER = 32
@@ -192,7 +192,7 @@ def removed(docs: DataFrame, window: int = 100, as_text: bool = False) -> DataFr
     """
     found = spanned(docs.drop("kept", "n_bytes", "n_removed", "n_spans"), kind(window), repeated)
     names = [c for c in found.columns if c != "spans"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields if f.name != "spans"), "n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")])
+    schema = extended(found, "n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"), ("spans",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -212,10 +212,11 @@ def removed(docs: DataFrame, window: int = 100, as_text: bool = False) -> DataFr
 
 
 def shortened(docs: DataFrame, window: int = 100) -> DataFrame:
-    """docs, with their columns, texts without what stood earlier; documents of which nothing is left go.
+    """docs, with all their columns whatever their names, texts without what stood earlier; documents of which nothing is left go.
 
     Where a removal cuts a character in two, the bytes of it that are left go too. n_chars, if there, tells the new length.
     """
-    left = removed(docs, window, as_text=True).where((F.length("kept") > 0) | (F.col("n_removed") == 0))
-    own = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return left.select(*[own[c].alias(c) if own.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    left = removed(whole, window, as_text=True).where((F.length("kept") > 0) | (F.col("n_removed") == 0))
+    own = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return left.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -77,9 +77,10 @@ class Files:
             return
         self.out.close()
         path = f"{self.base}/{self.name}"
-        if self.fs.get_file_info(path).type != fs.FileType.NotFound:  # of an earlier attempt: the same bytes
-            self.fs.delete_file(path)
-        self.fs.move(self.temporary, path)
+        if self.fs.get_file_info(path).type != fs.FileType.NotFound:  # of another attempt: whole, and the same bytes
+            self.fs.delete_file(self.temporary)
+        else:
+            self.fs.move(self.temporary, path)
         self.done.append((self.shard, self.part, self.name, self.records, self.size, self.sum.hexdigest()))
         self.out, self.part = None, self.part + 1
 
