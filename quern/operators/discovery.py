@@ -66,9 +66,12 @@ def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return both.select(F.coalesce(key, "_k").alias(key), change.alias("change")).where("change is not null")
 
 
-def in_interval(rows: DataFrame, intervals: DataFrame, key: str, at: str) -> DataFrame:
+def in_interval(rows: DataFrame, intervals: DataFrame, key: str, at: str, width: int = 86_400) -> DataFrame:
     """Rows matched with the intervals (key, first, last) of their key that hold them, bounds included.
 
-    The key makes it an equi-join; keys with many intervals are split by Spark's handling of skew.
+    Time is cut into bins of `width` seconds; an interval is laid out in each bin that it touches, so that key and bin make an
+    equi-join and a row meets only intervals near it. Take a width about as long as intervals are.
     """
-    return rows.join(intervals, key).where((F.col(at) >= F.col("first")) & (F.col(at) <= F.col("last")))
+    bin_of = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width)
+    binned = intervals.where("first <= last").withColumn("_bin", F.explode(F.sequence(bin_of("first"), bin_of("last"))))
+    return rows.withColumn("_bin", bin_of(at)).join(binned, [key, "_bin"]).where((F.col(at) >= F.col("first")) & (F.col(at) <= F.col("last"))).drop("_bin")

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.rounds import settled
+
 
 def packed(lines: list[str], budget: int, noise: re.Pattern, heading: re.Pattern) -> list[tuple[str, int]]:
     """Lines joined into packs of at most `budget` characters, each under the last heading before it; (text, lines) of each.
@@ -123,7 +125,7 @@ def tables(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, table_no int, row_no int, cells array<string>")
 
 
-def signature(text: str | None, grams: int = 5, most: int = 20_000, key: bytes = b"") -> int | None:
+def signature(text: str | None, grams: int = 5, most: int = 200_000, key: bytes = b"") -> int | None:
     """63 bits by majority of keyed hashes of character grams; long texts are sampled by the hashes themselves. Null without grams."""
     plain = " ".join(unicodedata.normalize("NFKC", text or "").split()).lower()
     total = len(plain) - grams + 1
@@ -153,33 +155,110 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
 
 
-def candidates(signed: DataFrame, doc_id: int, least: float, most: int) -> DataFrame:
-    """The documents most like one of them, by signature: greatest similarity and id first."""
-    own = signed.where(F.col("doc_id") == doc_id).select(F.col("signature").alias("_own")).limit(1)
-    told = signed.where(F.col("doc_id") != doc_id).join(F.broadcast(own), F.lit(True)).select("doc_id", F.round(similarity(F.col("signature"), F.col("_own")), 4).alias("similarity"))
-    return told.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), F.desc("doc_id")).limit(most)
+def near(signed: DataFrame, queries: DataFrame, least: float, block: int = 2048, part: int = 65_536) -> DataFrame:
+    """(query_id, doc_id, similarity) of all pairs of a row of queries and another of signed (doc_id, signature) that are so similar.
+
+    Both sides are dealt out in blocks of bounded size, and each pair of blocks is compared whole by exclusive-or and bit counts.
+    Null signatures are like nothing.
+    """
+    turns, parts = max(1, -(-queries.count() // block)), max(1, -(-signed.count() // part))
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    known = signed.where("signature is not null").select(every(turns).alias("q"), place(parts).alias("c"), F.lit(False).alias("asks"), "doc_id", "signature")
+    asked = queries.where("signature is not null").select(place(turns).alias("q"), every(parts).alias("c"), F.lit(True).alias("asks"), "doc_id", "signature")
+    most_bits = int((1 - least) * 64 + 1e-9)
+
+    def run(table: pa.Table) -> pa.Table:
+        asks, ids, marks = table["asks"].to_numpy(zero_copy_only=False), table["doc_id"].to_numpy(), table["signature"].to_numpy().view(np.uint64)
+        own, others, found = np.flatnonzero(asks), np.flatnonzero(~asks), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i in own:
+            bits = np.bitwise_count(marks[others] ^ marks[i])
+            hit = np.flatnonzero((bits <= most_bits) & (ids[others] != ids[i]))
+            found.append((np.full(len(hit), ids[i]), ids[others[hit]], 1 - bits[hit] / 64))
+        return pa.table(dict(zip(("query_id", "doc_id", "similarity"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    return known.union(asked).groupBy("q", "c").applyInArrow(run, "query_id long, doc_id long, similarity double")
+
+
+def alike(docs: DataFrame, queries: DataFrame, least: float = 0.8, most: int = 10) -> DataFrame:
+    """(query_id, doc_id, similarity, ratio, rank): for each document of queries those most like it, at most so many.
+
+    Candidates are told by signatures down to 0.05 below `least`, and each is looked at again whole: ratio is twice the lines that
+    both have, repeats included, over all their lines. Greatest ratio first, then the greater id. Null ids take no part.
+    """
+    known = settled(signatures(docs.where("doc_id is not null").dropDuplicates(["doc_id"])))
+    pairs = settled(near(known, known.join(queries.select("doc_id").distinct(), "doc_id", "left_semi"), max(0.0, least - 0.05)))
+    ids = pairs.select(F.col("query_id").alias("doc_id")).union(pairs.select("doc_id")).distinct()
+    lines = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("_l"))
+    counts = settled(lines.groupBy("doc_id", F.sha2("_l", 256).alias("_l")).agg(F.count("*").alias("_n")))
+    sizes = counts.groupBy("doc_id").agg(F.sum("_n").alias("_size"))
+    side = lambda name, n: counts.select(F.col("doc_id").alias(name), "_l", F.col("_n").alias(n))
+    both = pairs.join(side("query_id", "_a"), "query_id").join(side("doc_id", "_b"), ["doc_id", "_l"])
+    shared = both.groupBy("query_id", "doc_id").agg(F.sum(F.least("_a", "_b")).alias("_both"))
+    told = pairs.join(shared, ["query_id", "doc_id"]).join(sizes.withColumnRenamed("_size", "_x"), "doc_id").join(sizes.select(F.col("doc_id").alias("query_id"), F.col("_size").alias("_y")), "query_id")
+    rated = told.withColumn("ratio", F.round(2 * F.col("_both") / (F.col("_x") + F.col("_y")), 6)).where(F.col("ratio") >= least)
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("ratio"), F.desc("doc_id")))
+    return rated.withColumn("rank", place).where(F.col("rank") <= most).select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"), "ratio", "rank")
 
 
 def diverse(items: DataFrame, query: str, item: str, most: int, weight: float = 0.7) -> DataFrame:
-    """(query, item, rank): maximal marginal relevance within each query's shortlist (query, item, score, tokens).
+    """(query, item, rank): maximal marginal relevance among all of each query's items (query, item, score, tokens).
 
-    Greedy by weight * score - (1 - weight) * greatest Jaccard similarity to what is chosen. A shortlist is the best 1,000 items.
+    Greedy by weight * score - (1 - weight) * greatest Jaccard similarity to what is chosen; ties go to the greater score, then to
+    the smaller item. A choice of each query is one aggregation, and one join tells the others how like it they are, so a query of
+    any size is spread over tasks.
     """
-    place = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), item))
-    items = items.withColumn("_place", place).where("_place <= 1000").drop("_place")
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+    left = settled(items.select(query, item, "score", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).withColumn("_near", F.lit(0.0)))
+    found = None
+    for rank in range(most):
+        value = weight * F.col("score") - (1 - weight) * F.col("_near")
+        best = left.groupBy(query).agg(F.min_by(F.struct(F.col(item).alias("i"), F.col("tokens").alias("t")), F.struct(-value, -F.col("score"), F.col(item))).alias("_b"))
+        best = settled(best.select(F.col(query).alias("_q"), F.col("_b.i").alias("_i"), F.col("_b.t").alias("_t")))
+        chosen = best.select(F.col("_q").alias(query), F.col("_i").alias(item), F.lit(rank).alias("rank"))
+        found = chosen if found is None else found.union(chosen)
+        every = F.size(F.array_union("tokens", "_t"))
+        like = F.when(every > 0, F.size(F.array_intersect("tokens", "_t")) / every).otherwise(0.0)
+        if rank + 1 < most:
+            left = settled(left.join(best, F.col(query) == F.col("_q")).where(F.col(item) != F.col("_i")).withColumn("_near", F.greatest("_near", like)).drop("_q", "_i", "_t"))
+    return found
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (-r["score"], r[item]))
-        sets, chosen, near = [set(r["tokens"] or ()) for r in rows], [], [0.0] * len(rows)
-        left = list(range(len(rows)))
-        while left and len(chosen) < most:
-            best = max(left, key=lambda i: (weight * rows[i]["score"] - (1 - weight) * near[i], -i))
-            chosen.append(best)
-            left.remove(best)
-            for i in left:
-                every = len(sets[i] | sets[best])
-                near[i] = max(near[i], len(sets[i] & sets[best]) / every if every else 0.0)
-        return pa.table({query: [rows[i][query] for i in chosen], item: [rows[i][item] for i in chosen], "rank": pa.array(range(len(chosen)), pa.int32())})
-
-    return items.groupBy(query).applyInArrow(run, f"`{query}` {kinds[query]}, `{item}` {kinds[item]}, rank int")
+
+def row_packs(rows: DataFrame, table: str, order: str, group: str, text: str, budget: int) -> DataFrame:
+    """(table, pack, rows, content): rows of a table packed in order to at most `budget` characters each; a new group begins a pack.
+
+    A row goes into the pack by how many characters of its group stand before it, so a pack may be short of the budget by a row;
+    a longer row has a pack of its own.
+    """
+    by = W.partitionBy(table).orderBy(order)
+    marked = rows.withColumn("_new", (~F.coalesce(F.lag(group).over(by).eqNullSafe(F.col(group)), F.lit(False))).cast("int"))
+    runs = marked.withColumn("_run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    ends = F.sum(F.length(text) + 1).over(W.partitionBy(table, "_run").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    parts = runs.withColumn("_part", F.floor((ends - 1) / budget))
+    packs = parts.groupBy(table, "_run", "_part").agg(F.count("*").alias("rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n").alias("content"))
+    return packs.select(table, (F.row_number().over(W.partitionBy(table).orderBy("_run", "_part")) - 1).alias("pack"), "rows", "content")
+
+
+def key_columns(rows: DataFrame, columns: list[str], least: float = 0.8) -> DataFrame:
+    """(column_name, ratio, is_key): different values over rows of each column; from `least` on it may be a key."""
+    counts = rows.agg(F.count("*").alias("_n"), *[F.count_distinct(c).alias(c) for c in columns])
+    told = [F.struct(F.lit(c).alias("column_name"), F.round(F.col(c) / F.when(F.col("_n") > 0, F.col("_n")), 6).alias("ratio")) for c in columns]
+    return counts.select(F.explode(F.array(*told)).alias("x")).select("x.*").withColumn("is_key", F.col("ratio") >= least)
+
+
+def group_columns(rows: DataFrame, order: list[str], columns: list[str], by: str) -> DataFrame:
+    """(by, column_name, changes): of each table, columns whose value changes from row to row in at most half of its rows, with two values at least."""
+    inside = W.partitionBy(by).orderBy(*order)
+    flags = [((F.row_number().over(inside) > 1) & ~F.lag(c).over(inside).eqNullSafe(F.col(c))).cast("int").alias(f"_c{i}") for i, c in enumerate(columns)]
+    marked = rows.select(by, *[F.col(c) for c in columns], *flags)
+    sums = marked.groupBy(by).agg(F.count("*").alias("_n"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(columns))], *[F.count_distinct(c).alias(f"_d{i}") for i, c in enumerate(columns)])
+    told = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_c{i}").alias("changes"), F.col(f"_d{i}").alias("_d")) for i, c in enumerate(columns)])
+    found = sums.select(by, "_n", F.explode(told).alias("x")).select(by, "_n", "x.*")
+    return found.where((F.col("changes") * 2 <= F.col("_n")) & (F.col("_d") >= 2)).select(by, "column_name", "changes")
+
+
+def passage_tables(cells: DataFrame, key: str) -> DataFrame:
+    """(src, relation, dst) of rows as objects: each cell of a row (table, row, column, value) tells a relation of the row's key to its value."""
+    names = cells.where(F.col("column_name") == key).select("table_name", "row_no", F.col("value").alias("_name"))
+    own = cells.join(names, ["table_name", "row_no"], "left").where(F.col("column_name") != key)
+    name = F.coalesce("_name", F.substring(F.sha2(F.concat_ws("\x1f", "table_name", F.col("row_no").cast("string")), 256), 1, 16))
+    return own.where("value is not null and value <> ''").select(name.alias("src"), F.col("column_name").alias("relation"), F.col("value").alias("dst")).distinct()

@@ -8,12 +8,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns of personal data, in the dialect that Java, RE2 and Python share.
+#: Patterns of personal data, in the dialect that Java, RE2 and Python share. The first five are those of whole
+#: values, here found between other characters; the address is known by how places end.
 PATTERNS = {
+    "id_card": r"(^|[^0-9])[0-9]{17}[0-9Xx]($|[^0-9Xx])",
+    "mobile": r"(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])",
     "email": r"[^@\s]+@[^@\s]+\.[A-Za-z]{2,}",
+    "bank_card": r"(^|[^0-9])[0-9]{16,19}($|[^0-9])",
+    "address": r"(省|市|区|县|路|街|号|镇|村)",
     "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
     "phone": r"\+?[0-9][0-9 ()-]{7,}[0-9]",
 }
+#: What names of columns with personal data hold, in the order in which they are tried.
+NAMES = {
+    "id_card": ("id_card", "idcard", "identity_no"), "phone": ("phone", "mobile", "tel"), "email": ("email", "mail"),
+    "bank_card": ("bank_card", "card_no"), "address": ("address", "addr"), "name": ("name", "fullname"), "birthday": ("birth", "birthday", "dob"),
+}
+NAMES_NOT = ("username", "user_name", "login", "account_name")
+#: How secret a level is; others rank above all.
+LEVELS = ("public", "internal", "confidential", "secret")
 OPERATORS = {
     "mustBe": lambda x, a: x == a[0],
     "mustNotBe": lambda x, a: x != a[0],
@@ -97,3 +110,70 @@ def containment(child: DataFrame, child_column: str, parent: DataFrame, parent_c
     known = parent.select(F.col(parent_column).alias("w")).distinct()
     both = own.join(known, own.v == known.w, "left")
     return both.agg(F.count("v").alias("distinct_values"), F.count("w").alias("contained"), F.round(F.count("w") / F.when(F.count("v") != 0, F.count("v")), 6).alias("containment"))
+
+
+def named_kinds(columns: DataFrame) -> DataFrame:
+    """columns (column_name, ...) with `kind`, the personal data that a name hints at: the first kind of which a word stands in it.
+
+    Words are bounded by anything but letters and digits; names that end in _id and names of accounts hint at nothing.
+    """
+    low, found = F.lower("column_name"), None
+    for kind, words in NAMES.items():
+        hit = low.rlike(f"(^|[^a-z0-9])({'|'.join(words)})($|[^a-z0-9])")
+        found = F.when(hit, kind) if found is None else found.when(hit, kind)
+    return columns.withColumn("kind", F.when(~low.endswith("_id") & ~low.isin(*NAMES_NOT), found))
+
+
+def rank(level: Column) -> Column:
+    """A level as a number from 0; unknown ones rank above all, null below."""
+    found = F.when(level.isNull(), -1)
+    for i, name in enumerate(LEVELS):
+        found = found.when(level == name, i)
+    return found.otherwise(1_000_000)
+
+
+def inherited(rows: DataFrame, levels: list[str]) -> Column:
+    """The first level that is set among columns, the most particular first: asset, table, collection, tenant."""
+    return F.coalesce(*[F.col(c) for c in levels])
+
+
+def decided(columns: DataFrame, policies: DataFrame, clearance: str) -> DataFrame:
+    """(table_name, column_name, effect, policy, mask) for each of columns (table_name, column_name, level).
+
+    policies has id, table_name, column_pattern (a LIKE pattern, null for all), effect (deny, mask, allow), priority,
+    min_clearance and mask. Denials and masks hold for clearances below theirs, permissions from theirs on. Deny goes before
+    mask before allow, then the higher priority, then the smaller id. Without one the level decides: enough clearance reads,
+    confidential columns are masked, others denied. Policies are few beside columns and are broadcast by Spark if small.
+    """
+    own = F.lit(LEVELS.index(clearance))
+    below = own < rank(F.coalesce(F.col("p.min_clearance"), F.lit("public")))
+    order = F.when((F.col("p.effect") == "deny") & below, 0).when((F.col("p.effect") == "mask") & below, 1).when((F.col("p.effect") == "allow") & ~below, 2)
+    on = (F.col("c.table_name") == F.col("p.table_name")) & (F.col("p.column_pattern").isNull() | F.expr("c.column_name LIKE p.column_pattern"))
+    told = columns.alias("c").join(policies.alias("p"), on, "left").select("c.*", order.alias("_o"), (-F.col("p.priority")).alias("_q"), F.col("p.id").alias("_id"), F.col("p.effect").alias("_e"), F.col("p.mask").alias("_m"))
+    best = told.groupBy("table_name", "column_name").agg(F.first("level").alias("level"), F.min(F.when(F.col("_o").isNotNull(), F.struct("_o", "_q", "_id", "_e", "_m"))).alias("b"))
+    standard = F.when(F.col("level").isNull() | (own >= rank(F.col("level"))), "allow").when(F.col("level") == "confidential", "mask").otherwise("deny")
+    mask = F.when(F.col("b").isNotNull(), F.when(F.col("b._e") == "mask", F.coalesce("b._m", F.lit("null")))).when(standard == "mask", "null")
+    return best.select("table_name", "column_name", F.coalesce("b._e", standard).alias("effect"), F.col("b._id").alias("policy"), mask.alias("mask"))
+
+
+def readable(rows: DataFrame, decisions: list[tuple[str, str, str | None]]) -> DataFrame:
+    """rows as decisions (column, effect, mask) let them be read: denied columns go, masked ones are hidden."""
+    return masked(rows.drop(*[c for c, effect, _ in decisions if effect == "deny"]), {c: mask or "null" for c, effect, mask in decisions if effect == "mask"})
+
+
+def transitions(last: DataFrame, now: DataFrame) -> DataFrame:
+    """(rule, issue) of what a run of rules (rule, outcome) does to open issues (rule): opened, kept, closed; errors leave them be."""
+    both = now.join(last.select("rule", F.lit(True).alias("_open")), "rule", "full_outer")
+    issue = F.when(F.col("outcome") == "failed", F.when(F.col("_open"), "kept").otherwise("opened")).when((F.col("outcome") == "passed") & F.col("_open"), "closed").when(F.col("_open"), "kept")
+    return both.select("rule", issue.alias("issue")).where("issue is not null")
+
+
+def containments(pairs: list[tuple[DataFrame, str, DataFrame, str]], least: float = 0.8, least_values: int = 10) -> list[dict]:
+    """For pairs of columns their containment both ways and which is the foreign key: the side that is held; if both are, that with fewer different values."""
+    found = []
+    for one, a, two, b in pairs:
+        left, right = one.select(F.col(a).alias("v")).where("v is not null").distinct(), two.select(F.col(b).alias("w")).where("w is not null").distinct()
+        n, m, shared = left.join(right, F.col("v") == F.col("w"), "full_outer").agg(F.count("v"), F.count("w"), F.count_if(F.col("v").isNotNull() & F.col("w").isNotNull())).first()
+        ways = [k for k, size in (("left", n), ("right", m)) if min(n, m) >= least_values and shared / size >= least]
+        found.append({"left": a, "right": b, "foreign": min(ways, key={"left": n, "right": m}.get) if ways else None, "shared": shared})
+    return found

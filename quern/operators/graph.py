@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.rounds import settled
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -18,64 +21,161 @@ def degrees(edges: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, starts: DataFrame, depth: int, directed: bool = True) -> DataFrame:
     """(node, hops) of all nodes within `depth` steps of the starts (node), by the fewest steps.
 
-    Each step joins only the frontier with the edges; nodes met before are dropped, so a step costs what it adds. The plan has
-    depth joins and is cut by a checkpoint where a folder for them is set.
+    Each step joins only the frontier with the edges; nodes met before are dropped, so a step costs what it adds.
     """
     ways = edges.select("src", "dst").distinct() if directed else symmetric(edges)
     found = starts.select("node").distinct().withColumn("hops", F.lit(0))
     frontier = found
     for hop in range(1, depth + 1):
         following = frontier.join(ways, frontier["node"] == ways["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = following.join(found.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()
+        frontier = settled(following.join(found.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)))
         found = found.union(frontier)
     return found
 
 
-def closure(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """(ancestor, node) for each node and all it lies under, itself included; edges run from child to parent.
+def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(ancestor, node) for each node and all it lies under, itself included; edges run from child to parent, cycles are allowed.
 
-    Path lengths double with each round, so a hierarchy of depth d takes log2(d) rounds; a round that adds nothing ends it.
+    Path lengths double with each round, so a hierarchy of depth d takes log2(d) rounds, and one more that adds nothing. Not
+    settled by then: an error.
     """
     pairs = edges.select(F.col("src").alias("node"), F.col("dst").alias("ancestor")).where("node <> ancestor").distinct()
     nodes = pairs.select("node").union(pairs.select("ancestor")).distinct()
-    known = pairs.union(nodes.select("node", F.col("node").alias("ancestor")))
-    size, reach = known.count(), 1
-    while reach < depth:
+    known = settled(pairs.union(nodes.select("node", F.col("node").alias("ancestor"))))
+    size = known.count()
+    for _ in range(most_rounds):
         upper = known.select(F.col("node").alias("_middle"), F.col("ancestor").alias("_top"))
-        known = known.join(upper, known["ancestor"] == upper["_middle"]).select("node", F.col("_top").alias("ancestor")).distinct()
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            known = known.checkpoint()
-        reach *= 2
+        known = settled(known.join(upper, known["ancestor"] == upper["_middle"]).select("node", F.col("_top").alias("ancestor")).distinct())
         if (now := known.count()) == size:
-            break
+            return known.select("ancestor", "node")
         size = now
-    return known.select("ancestor", "node")
+    raise RuntimeError(f"the closure was not found in {most_rounds} rounds")
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """(node) of all nodes that lie on a cycle: what would make a hierarchy invalid."""
+    above = closure(edges).where("ancestor <> node")
+    back = above.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("node"))
+    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    return above.join(back, ["ancestor", "node"], "left_semi").select("node").union(loops).distinct()
 
 
-def paths(edges: DataFrame, start: str, target: str, hops: int, most: int) -> DataFrame:
-    """The best simple paths: score is the product of edge weights times 0.9 for each step but the first; ties by the path.
+def paths(edges: DataFrame, start: str, target: str, hops: int, most: int, per_hop: int | None = None) -> DataFrame:
+    """The best simple paths: the product of edge weights, times 0.5 for each lineage edge, 0.9 for each step but the first and
+    1.5 as the target is reached; ties go to fewer steps, then to the path's names.
 
-    edges has src, dst, weight and is followed both ways.
+    edges has src, dst, weight and, if it likes, is_lineage, and is followed both ways. per_hop keeps so many partial paths of each step.
     """
-    ways = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    now = ways.where(F.col("src") == start).select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"), F.col("weight").alias("score"))
+    known = edges if "is_lineage" in edges.columns else edges.withColumn("is_lineage", F.lit(False))
+    worth = F.col("weight") * F.when(F.col("is_lineage"), 0.5).otherwise(1.0)
+    ways = known.select("src", "dst", worth.alias("worth")).union(known.select("dst", "src", worth)).groupBy("src", "dst").agg(F.max("worth").alias("worth"))
+    now = ways.where(F.col("src") == start).select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"), F.col("worth").alias("score"))
     done = now.where(F.col("at") == target)
     for _ in range(1, hops):
-        longer = now.where(F.col("at") != target).join(ways, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        now = longer.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), (F.col("score") * F.col("weight") * 0.9).alias("score"))
+        now = now.where(F.col("at") != target)
+        if per_hop is not None:
+            now = now.orderBy(F.desc("score"), "path").limit(per_hop)
+        longer = now.join(ways, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        now = settled(longer.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), (F.col("score") * F.col("worth") * 0.9).alias("score")))
         done = done.union(now.where(F.col("at") == target))
-    told = done.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"), F.round("score", 6).alias("score"))
+    told = done.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"), F.round(F.col("score") * 1.5, 6).alias("score"))
     return told.orderBy(F.desc("score"), "hops", "path").limit(most)
 
 
-def propagated(edges: DataFrame, marks: DataFrame, rounds: int) -> DataFrame:
-    """(node, level): the greatest level of any node that reaches it along the edges; marks has node and level."""
-    now = marks.select("node", "level")
-    for _ in range(rounds):
-        passed = now.join(edges.select("src", "dst"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "level")
-        now = now.union(passed).groupBy("node").agg(F.max("level").alias("level"))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            now = now.checkpoint()
-    return now
+def propagated(edges: DataFrame, marks: DataFrame, pins: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
+    """(node, level): the greatest level of any node that reaches it along the edges; marks has node and level, and so have pins,
+    whose nodes keep the level they are given. Rounds go on until nothing rises; levels are few, so that ends soon.
+    """
+    ways = edges.select("src", "dst").distinct()
+    held = (lambda rows: rows.join(pins.select("node"), "node", "left_anti").union(pins.select("node", "level"))) if pins is not None else lambda rows: rows
+    now, before = settled(held(marks.groupBy("node").agg(F.max("level").alias("level")))), None
+    for _ in range(most_rounds):
+        passed = now.join(ways, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "level")
+        now = settled(held(now.union(passed).groupBy("node").agg(F.max("level").alias("level"))))
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("node", "level").cast("decimal(38,0)"))).first()
+        if mark == before:
+            return now
+        before = mark
+    raise RuntimeError(f"levels still rose after {most_rounds} rounds")
+
+
+def popular(edges: DataFrame, most: int) -> DataFrame:
+    """The nodes with the greatest degree, ties by name."""
+    return degrees(edges).orderBy(F.desc("degree"), "node").limit(most)
+
+
+def edge_degrees(edges: DataFrame) -> DataFrame:
+    """(src, dst, degree): of each edge the sum of its ends' degrees."""
+    d = degrees(edges)
+    one, two = d.select(F.col("node").alias("src"), F.col("degree").alias("_a")), d.select(F.col("node").alias("dst"), F.col("degree").alias("_b"))
+    return edges.select("src", "dst").distinct().join(one, "src").join(two, "dst").select("src", "dst", (F.col("_a") + F.col("_b")).alias("degree"))
+
+
+def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges that touch none of the nodes (node) that go."""
+    left = edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti")
+    return left.join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select(*edges.columns)
+
+
+def subgraph(edges: DataFrame, start: str | None, depth: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, hops, is_truncated) about a start, by steps and then by degree, at most so many, and the edges among them.
+
+    Without a start the nodes of greatest degree are taken. is_truncated tells whether the cap left any out.
+    """
+    d = degrees(edges)
+    if start is None:
+        ordered = d.select("node", F.lit(0).alias("hops"), "degree")
+    else:
+        seed = d.where(F.col("node") == start).select("node")
+        ordered = levels(edges, seed, depth, directed=False).join(d, "node")
+    first = settled(ordered.orderBy("hops", F.desc("degree"), "node").limit(most + 1))
+    place = F.row_number().over(W.orderBy("hops", F.desc("degree"), "node"))  # of at most `most` + 1 rows
+    nodes = first.withColumns({"_n": place, "is_truncated": F.count("*").over(W.partitionBy(F.lit(0))) > most}).where(F.col("_n") <= most)
+    kept = nodes.select("node")
+    ends = symmetric(edges).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    inside = ends.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return nodes.select("node", "hops", "is_truncated"), inside.select(F.concat_ws("-", "src", "dst").alias("id"), "src", "dst")
+
+
+def walked(edges: DataFrame, starts: DataFrame, direction: str, depth: int, least: float = 0.0) -> DataFrame:
+    """(src, dst, hop) of lineage edges (src, dst, confidence) that a walk up, down or both ways follows, each at its earliest hop.
+
+    Edges below the least confidence are no way. An edge to a node that was seen before is told but not walked on from.
+    """
+    sure = edges.where(F.col("confidence") >= least).select("src", "dst").distinct()
+    down, up = sure.select("src", "dst", F.col("src").alias("_from"), F.col("dst").alias("_to")), sure.select("src", "dst", F.col("dst").alias("_from"), F.col("src").alias("_to"))
+    ways = {"down": down, "up": up, "both": down.union(up)}[direction]
+    seen = frontier = settled(starts.select("node").distinct())
+    found = None
+    for hop in range(1, depth + 1):
+        step = settled(frontier.join(ways, frontier["node"] == ways["_from"]).select("src", "dst", "_to").distinct())
+        told = step.select("src", "dst", F.lit(hop).alias("hop")).distinct()
+        found = told if found is None else found.union(told)
+        frontier = settled(step.select(F.col("_to").alias("node")).distinct().join(seen, "node", "left_anti"))
+        seen = seen.union(frontier)
+    return found.groupBy("src", "dst").agg(F.min("hop").alias("hop"))
+
+
+def two_hop_pairs(edges: DataFrame, most_degree: int) -> DataFrame:
+    """(a, via, c) of nodes that are linked over one other but not themselves; hubs of a greater degree are no way, the first way by name counts."""
+    ways = symmetric(edges.where("src <> dst"))
+    hubs = degrees(edges).where(F.col("degree") > most_degree).select("node")
+    spokes = ways.join(hubs, ways["src"] == hubs["node"], "left_anti").select(F.col("src").alias("via"), F.col("dst").alias("end"))
+    pairs = spokes.select("via", F.col("end").alias("a")).join(spokes.select("via", F.col("end").alias("c")), "via").where("a < c")
+    direct = ways.select(F.col("src").alias("a"), F.col("dst").alias("c"))
+    return pairs.join(direct, ["a", "c"], "left_anti").groupBy("a", "c").agg(F.min("via").alias("via"))
+
+
+def table_levels(columns: DataFrame) -> DataFrame:
+    """(table_name, level) from columns (table_name, level, pinned): pins go before others, then the greatest level counts."""
+    return columns.groupBy("table_name").agg(F.coalesce(F.max("pinned"), F.max("level")).alias("level"))
+
+
+def label_search(labels: DataFrame, text: str, most: int) -> DataFrame:
+    """(label, score) of labels that hold a text whatever its case: 1000 if equal, 500 if they begin with it, else 100 less the
+    length, and 50 more where it begins a word.
+    """
+    low, wanted = F.lower("label"), text.lower().strip()
+    inside = 100 - F.length("label") + F.when(low.contains(f" {wanted}") | low.contains(f"_{wanted}"), 50).otherwise(0)
+    score = F.when(low == wanted, 1000).when(low.startswith(wanted), 500).otherwise(inside)
+    return labels.select("label").distinct().where(low.contains(wanted)).select("label", score.alias("score")).orderBy(F.desc("score"), "label").limit(most)

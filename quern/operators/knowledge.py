@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.rounds import components
+
 
 @dataclass(frozen=True)
 class Atom:
@@ -64,23 +66,15 @@ def chained(facts: DataFrame, layers: list[list[Rule]]) -> DataFrame:
     return derived.distinct()
 
 
-def merged(rows: DataFrame, thing: str, key: str, rounds: int = 20) -> DataFrame:
-    """(thing, winner): things that share keys, directly or over others, take the least of them.
+def merged(rows: DataFrame, thing: str, key: str) -> DataFrame:
+    """(thing, winner): things that share keys, directly or over any chain of others, take the least of them.
 
-    Each round passes the least name on through keys, pre-aggregated, until nothing changes; the change is one number per round.
+    Each thing is linked to the least thing of each of its keys, so a key of k things costs k links.
     """
     pairs = rows.select(F.col(thing).alias("thing"), F.col(key).alias("key")).where("thing is not null and key is not null").distinct()
-    now = pairs.select("thing", F.col("thing").alias("winner")).distinct()
-    for _ in range(rounds):
-        by_key = pairs.join(now, "thing").groupBy("key").agg(F.min("winner").alias("winner"))
-        after = pairs.join(by_key, "key").groupBy("thing").agg(F.min("winner").alias("winner"))
-        if rows.sparkSession.sparkContext.getCheckpointDir():
-            after = after.checkpoint()
-        same = after.join(now.withColumnRenamed("winner", "_old"), "thing").where("winner <> _old").limit(1).count() == 0
-        now = after
-        if same:
-            break
-    return now
+    least = pairs.groupBy("key").agg(F.min("thing").alias("first"))
+    roots = components(pairs.join(least, "key").select(F.col("thing").alias("src"), F.col("first").alias("dst")))
+    return pairs.select("thing").distinct().join(roots, F.col("thing") == F.col("node"), "left").select("thing", F.coalesce("root", "thing").alias("winner"))
 
 
 def compared(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that hold no content, as page numbers, roman numerals and rules are.
-NOISE = r"^\s*([0-9]{1,4}|[ivxlcdmIVXLCDM]+|[-—–]{2,4})\s*$"
-HEADING = r"^(#{1,6} |[0-9]+(\.[0-9]+)*[.)]? )"
+#: Lines of at most four characters that hold no content, as page numbers, roman numerals and rules do.
+NOISE = r"^\s*([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,4}|[-—–_=*·•.~]{1,4})?\s*$"
+#: How numbered headings begin, and what ends a sentence.
+HEADING = r"^\s*(#{1,6}\s|[0-9]+(\.[0-9]+)*[.)、]?\s|第[0-9一二三四五六七八九十百]+[章节条]|[一二三四五六七八九十]+、)"
+SENTENCE_END = "。！？；.!?;"
 
 
 def estimated_tokens(text: str | Column) -> Column:
-    """A token for every four characters, rounded up; null and empty texts have none."""
-    return F.ceil(F.length(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))) / 4).cast("int")
+    """A token for every character beyond ASCII, and for every four of a run of ASCII, rounded up; null and empty texts have none."""
+    known = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    runs = F.transform(F.regexp_extract_all(known, F.lit(r"([\x00-\x7F]+)"), F.lit(1)), lambda r: F.ceil(F.length(r) / 4))
+    return (F.length(F.regexp_replace(known, r"[\x00-\x7F]+", "")) + F.aggregate(runs, F.lit(0).cast("long"), lambda s, x: s + x)).cast("int")
 
 
 def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -24,13 +28,16 @@ def noise(line: str) -> Column:
     return F.col(line).rlike(NOISE)
 
 
-def heading(line: str, most: int = 60) -> Column:
-    return F.col(line).rlike(HEADING) & (F.length(line) <= most)
+def heading(line: str, most: int = 40) -> Column:
+    """Numbered lines of at most twice `most` characters, or 80, and others of at most `most` that do not end a sentence."""
+    bare = F.trim(line)
+    short = (F.length(bare) > 0) & (F.length(bare) <= most) & ~F.right(bare, F.lit(1)).isin(*SENTENCE_END)
+    return F.when(F.col(line).rlike(HEADING), F.length(bare) <= max(2 * most, 80)).otherwise(short)
 
 
-def repeated_noise(rows: DataFrame, least: int = 3, most_chars: int = 30) -> DataFrame:
+def repeated_noise(rows: DataFrame, least: int = 3, most_chars: int = 20) -> DataFrame:
     """(doc_id, line, times): short lines that a document repeats, as running heads do."""
-    short = rows.where((F.length(F.trim("line")) > 0) & (F.length("line") <= most_chars))
+    short = rows.withColumn("line", F.trim("line")).where((F.length("line") > 0) & (F.length("line") <= most_chars))
     return short.groupBy("doc_id", "line").agg(F.count("*").alias("times")).where(F.col("times") >= least)
 
 
@@ -53,3 +60,18 @@ def plain(html: str | Column) -> Column:
     """What is left of a page without scripts, styles and tags, white space closed up."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
     return F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " "))
+
+
+def known_links(rows: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
+    """rows (key, text) in which [[target]] stays a link only if the target is known (target); others become plain text."""
+    parts = rows.select(key, F.posexplode(F.split(text, r"(?=\[\[)|(?<=\]\])")).alias("_n", "_p"))
+    named = parts.withColumn("_t", F.nullif(F.regexp_extract("_p", r"^\[\[([^\]]+)\]\]$", 1), F.lit("")))
+    told = named.join(known.select("target").distinct(), F.col("_t") == F.col("target"), "left")
+    piece = F.when(F.col("_t").isNotNull() & F.col("target").isNull(), F.col("_t")).otherwise(F.col("_p"))
+    return told.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", piece.alias("p")))), lambda x: x["p"]), "").alias(text))
+
+
+def sanitized(message: Column, most: int = 500) -> Column:
+    """A message without names and passwords before a host and without values of tokens, keys and secrets, then cut."""
+    bare = F.regexp_replace(message, r"[^\s:/@]+:[^\s@]+@", "***:***@")
+    return F.substring(F.regexp_replace(bare, r"(?i)\b(token|api_key|apikey|password|secret)=\S+", "$1=***"), 1, most)

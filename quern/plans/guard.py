@@ -22,7 +22,7 @@ class Refused(ValueError):
 
 def bare(sql: str) -> str:
     """The statement without comments and with its literals emptied, in lower case."""
-    sql = re.sub(r"'(?:[^']|'')*'", "''", sql)
+    sql = re.sub(r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\"\"|\\.)*\"", "''", sql, flags=re.S)
     return re.sub(r"/\*.*?\*/|--[^\n]*", " ", sql, flags=re.S).strip().rstrip(";").strip().lower()
 
 
@@ -36,6 +36,22 @@ def read_only(sql: str) -> str:
     return sql.strip().rstrip(";")
 
 
+def relations(spark: SparkSession, sql: str) -> set[str]:
+    """The tables that a query reads, wherever it names them, as Spark's own parser sees them; names that a WITH defines are none.
+
+    Qualified names and paths come with their dots, so they are no known table. Table functions are refused.
+    """
+    try:
+        tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+    except Exception as e:
+        raise Refused("not_parsed", str(e).splitlines()[0][:80]) from None
+    if "UnresolvedTableValuedFunction" in tree:
+        raise Refused("table_function", "functions in place of tables are not allowed")
+    own = {name.strip().lower() for part in re.findall(r"CTE \[([^\]]*)\]", tree) for name in part.split(",")}
+    named = {".".join(x.strip() for x in part.split(",")).lower() for part in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree)}
+    return named - own
+
+
 class Workspace:
     """Tables under policies, and the queries that users may send over them.
 
@@ -53,9 +69,8 @@ class Workspace:
     def query(self, sql: str, limit: int | None = None, offset: int = 0) -> DataFrame:
         """The rows of a query, capped; unknown tables are refused before anything runs."""
         statement = read_only(sql)
-        names = set(re.findall(r"\b(?:from|join)\s+([a-z_][\w.]*)", bare(sql)))
-        own = set(re.findall(r"\b([a-z_]\w*)\s+as\s*\(", bare(sql)))
-        if unknown := names - own - set(self.tables):
+        names = relations(self.spark, statement)
+        if unknown := names - set(self.tables):
             raise Refused("unknown_table", ", ".join(sorted(unknown)))
         if not 0 <= offset <= MOST_OFFSET:
             raise Refused("bad_offset", str(offset))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern import queries_relational  # noqa: F401  registers its own
+from quern import queries_operations, queries_relational, queries_repository  # noqa: F401  register their own
 from quern.operators import governance, graph, monitor, retrieval, text
 from quern.plans import guard, metrics
 from quern.registry import ORACLE_SQL, QUERIES, Tables, query  # noqa: F401
@@ -145,13 +145,13 @@ query(
 
 @query(
     "monitor_trend_gapfill",
-    "WITH b AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket, event_type, count(*) AS total FROM events WHERE value > 95 GROUP BY 1, 2), "
-    "g AS (SELECT event_type, unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL 1 HOUR)) AS bucket FROM (SELECT DISTINCT event_type FROM b)) "
+    "WITH b AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS bucket, event_type, count(*) AS total FROM events GROUP BY 1, 2), "
+    "g AS (SELECT event_type, unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL 5 MINUTE)) AS bucket FROM (SELECT DISTINCT event_type FROM b)) "
     "SELECT g.bucket::TIMESTAMP AS bucket, g.event_type, coalesce(total, 0)::BIGINT AS total FROM g LEFT JOIN b USING (bucket, event_type)",
 )
 def monitor_trend_gapfill(t: Tables) -> DataFrame:
-    counts = monitor.trend(t("events").where("value > 95"), "ts", "hour", ["event_type"], "value").drop("sum_value")
-    return monitor.filled(counts, "1 hour", ["event_type"], {"total": 0})
+    counts = monitor.trend(t("events"), "ts", "5 minutes", ["event_type"], "value").drop("sum_value")
+    return monitor.filled(counts, "5 minutes", ["event_type"], {"total": 0})
 
 
 query(
@@ -266,9 +266,9 @@ query("governance_row_filter", "SELECT c_custkey, c_nationkey FROM customer WHER
 )
 query(
     "fk_containment",
-    "WITH o AS (SELECT DISTINCT o_custkey AS v FROM orders), k AS (SELECT DISTINCT c_custkey AS w FROM customer WHERE c_acctbal > 0) "
+    "WITH o AS (SELECT DISTINCT o_custkey AS v FROM orders), k AS (SELECT DISTINCT c_custkey AS w FROM customer) "
     "SELECT count(v) AS distinct_values, count(w) AS contained, round(count(w) / nullif(count(v), 0)::DOUBLE, 6) AS containment FROM o LEFT JOIN k ON v = w",
-)(lambda t: governance.containment(t("orders"), "o_custkey", t("customer").where("c_acctbal > 0"), "c_custkey"))
+)(lambda t: governance.containment(t("orders"), "o_custkey", t("customer"), "c_custkey"))
 
 
 def workspace(t: Tables) -> guard.Workspace:
@@ -316,7 +316,7 @@ query(
     "label_propagation",
     f"WITH RECURSIVE {_TREE}, m AS (SELECT 's' || s_suppkey AS node, CASE WHEN s_acctbal > 5000 THEN 2 ELSE 1 END AS level FROM supplier), "
     "w AS (SELECT node, level, 0 AS hops FROM m UNION SELECT dst, level, hops + 1 FROM w JOIN e ON node = src WHERE hops < 3) SELECT node, max(level) AS level FROM w GROUP BY 1",
-)(lambda t: graph.propagated(tree(t), t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.when(F.col("s_acctbal") > 5000, 2).otherwise(1).alias("level")), 3))
+)(lambda t: graph.propagated(tree(t), t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.when(F.col("s_acctbal") > 5000, 2).otherwise(1).alias("level"))))
 
 
 @query("path_search")
@@ -330,20 +330,25 @@ def path_search(t: Tables) -> DataFrame:
 
 # Text and retrieval
 
-query("estimate_tokens", "SELECT doc_id, ceil(length(coalesce(text, '')) / 4.0)::INT AS tokens FROM documents")(lambda t: t("documents").select("doc_id", text.estimated_tokens("text").alias("tokens")))
+TOKENS = r"(length(regexp_replace({0}, '[\x00-\x7F]+', '', 'g')) + coalesce(list_sum(list_transform(regexp_extract_all({0}, '[\x00-\x7F]+'), lambda r: (length(r) + 3) // 4)), 0))::INT"
+query("estimate_tokens", f"SELECT doc_id, {TOKENS.format("coalesce(text, '')")} AS tokens FROM documents")(lambda t: t("documents").select("doc_id", text.estimated_tokens("text").alias("tokens")))
+_HEADING = (
+    f"CASE WHEN regexp_matches(line, '{text.HEADING}') THEN length(trim(line)) <= 80 "
+    f"ELSE length(trim(line)) BETWEEN 1 AND 40 AND NOT contains('{text.SENTENCE_END}', right(trim(line), 1)) END"
+)
 query(
     "noise_blocks",
     "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) "
-    f"SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '{text.NOISE}')) AS noise, count(*) FILTER (WHERE regexp_matches(line, '{text.HEADING}') AND length(line) <= 60) AS headings FROM l GROUP BY 1",
+    f"SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '{text.NOISE}')) AS noise, count(*) FILTER (WHERE {_HEADING}) AS headings FROM l GROUP BY 1",
 )(lambda t: text.blocks(t("documents")).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(text.noise("line")).alias("noise"), F.count_if(text.heading("line")).alias("headings")))
 query(
     "repeated_lines",
-    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, line, count(*) AS times FROM l WHERE length(trim(line)) > 0 AND length(line) <= 30 GROUP BY 1, 2 HAVING count(*) >= 3",
+    "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) SELECT doc_id, line, count(*) AS times FROM l WHERE length(line) > 0 AND length(line) <= 20 GROUP BY 1, 2 HAVING count(*) >= 3",
 )(lambda t: text.repeated_noise(text.blocks(t("documents"))))
 query(
     "chunk_overlap",
     "WITH c AS (SELECT doc_id, text, unnest(range(greatest(1, ceil((length(text) - 100) / 900.0)::BIGINT))) AS chunk FROM documents WHERE length(text) > 0) "
-    "SELECT doc_id, chunk::INT AS chunk, sha256(substring(text, chunk * 900 + 1, 1000)) AS content_sha256, ceil(length(substring(text, chunk * 900 + 1, 1000)) / 4.0)::INT AS tokens FROM c",
+    "SELECT doc_id, chunk::INT AS chunk, sha256(substring(text, chunk * 900 + 1, 1000)) AS content_sha256, " + TOKENS.format("substring(text, chunk * 900 + 1, 1000)") + " AS tokens FROM c",
 )(lambda t: text.chunks(t("documents"), 1000, 100).select("doc_id", "chunk", F.sha2("content", 256).alias("content_sha256"), "tokens"))
 query("page_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages")(lambda t: text.links(t("pages")))
 

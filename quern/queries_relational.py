@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import scalar
-from quern.operators import discovery, documents, knowledge, retrieval, text
+from quern.operators import discovery, documents, graph, knowledge, retrieval, text
+from quern.operators.rounds import settled
 from quern.registry import Tables, query
 
 query(
     "join_overlap_distinct",
-    "WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders), b AS (SELECT DISTINCT c_custkey AS w FROM customer WHERE c_acctbal > 0) "
+    "WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders), b AS (SELECT DISTINCT c_custkey AS w FROM customer) "
     "SELECT count(*) FILTER (WHERE v IS NOT NULL AND w IS NOT NULL) AS shared, round(count(*) FILTER (WHERE v IS NOT NULL AND w IS NOT NULL) / nullif(least(count(v), count(w)), 0)::DOUBLE, 6) AS overlap FROM a FULL JOIN b ON v = w",
-)(lambda t: discovery.overlap(t("orders"), "o_custkey", t("customer").where("c_acctbal > 0"), "c_custkey"))
+)(lambda t: discovery.overlap(t("orders"), "o_custkey", t("customer"), "c_custkey"))
 query(
     "join_overlap_rows",
     "SELECT count(*) AS all_rows, count(o_custkey) AS matched FROM customer LEFT JOIN orders ON c_custkey = o_custkey",
@@ -70,12 +71,12 @@ query(
 )
 query(
     "usage_in_batches",
-    "WITH b AS (SELECT o_orderkey % 5 AS k, o_orderdate AS first, o_orderdate + INTERVAL 1 DAY AS last, o_orderkey AS batch FROM orders WHERE o_orderkey % 50 = 0), u AS (SELECT l_orderkey % 5 AS k, l_shipdate AS seen_at, l_quantity FROM lineitem) "
+    "WITH b AS (SELECT o_orderkey % 5 AS k, o_orderdate AS first, o_orderdate + INTERVAL 1 DAY AS last, o_orderkey AS batch FROM orders), u AS (SELECT l_orderkey % 5 AS k, l_shipdate AS seen_at, l_quantity FROM lineitem) "
     "SELECT batch, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM u JOIN b USING (k) WHERE seen_at BETWEEN first AND last GROUP BY 1",
 )(
     lambda t: discovery.in_interval(
         t("lineitem").select((F.col("l_orderkey") % 5).alias("k"), F.col("l_shipdate").alias("at"), "l_quantity"),
-        t("orders").where("o_orderkey % 50 = 0").select((F.col("o_orderkey") % 5).alias("k"), F.col("o_orderdate").alias("first"), F.expr("o_orderdate + interval 1 day").alias("last"), F.col("o_orderkey").alias("batch")),
+        t("orders").select((F.col("o_orderkey") % 5).alias("k"), F.col("o_orderdate").alias("first"), F.expr("o_orderdate + interval 1 day").alias("last"), F.col("o_orderkey").alias("batch")),
         "k", "at",
     ).groupBy("batch").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 )
@@ -89,8 +90,8 @@ query(
 )(lambda t: t("events").groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50")))
 query(
     "caller_sets",
-    "SELECT event_type, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users FROM events WHERE value > 99 GROUP BY 1",
-)(lambda t: t("events").where("value > 99").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set(F.col("user_id").cast("string"))), ",").alias("users")))
+    "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY 1",
+)(lambda t: t("events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds")))
 
 
 def facts(t: Tables) -> DataFrame:
@@ -120,9 +121,9 @@ query(
 )(lambda t: knowledge.chained(facts(t), [[LOCAL, REGIONAL], [SERVED]]))
 query(
     "components_merge",
-    "WITH RECURSIVE p AS (SELECT DISTINCT c_custkey AS a, c_nationkey AS k FROM customer WHERE c_custkey % 3 = 0), e AS (SELECT DISTINCT x.a, y.a AS b FROM p x JOIN p y USING (k)), "
-    "w AS (SELECT a, a AS b FROM p UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a) SELECT a AS thing, min(b) AS winner FROM w GROUP BY 1",
-)(lambda t: knowledge.merged(t("customer").where("c_custkey % 3 = 0"), "c_custkey", "c_nationkey"))
+    "WITH RECURSIVE p AS (SELECT DISTINCT c_custkey AS a, c_nationkey AS k FROM customer), e AS (SELECT p.a, m.b FROM p JOIN (SELECT k, min(a) AS b FROM p GROUP BY 1) m USING (k)), "
+    "n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a, b FROM n UNION SELECT w.a, n.b FROM w JOIN n ON w.b = n.a) SELECT a AS thing, min(b) AS winner FROM w GROUP BY 1",
+)(lambda t: knowledge.merged(t("customer"), "c_custkey", "c_nationkey"))
 query(
     "ab_compare",
     "WITH a AS (SELECT doc_id AS name, CASE quality WHEN 1 THEN 'pass' ELSE 'fail' END AS outcome FROM labels), b AS (SELECT doc_id AS name, CASE toxic WHEN 1 THEN 'fail' ELSE 'pass' END AS outcome FROM labels WHERE doc_id % 10 <> 0), "
@@ -147,17 +148,15 @@ query(
 )
 query(
     "label_search",
-    "SELECT p_brand, max(CASE WHEN lower(p_brand) = 'brand#12' THEN 1000 WHEN lower(p_brand) LIKE 'brand#12%' THEN 500 ELSE 100 - length(p_brand) END) AS score FROM part WHERE contains(lower(p_brand), 'brand#12') GROUP BY 1 ORDER BY score DESC, p_brand LIMIT 20",
+    "SELECT DISTINCT p_name AS label, CASE WHEN lower(p_name) = 'widget' THEN 1000 WHEN starts_with(lower(p_name), 'widget') THEN 500 ELSE 100 - length(p_name) + CASE WHEN contains(lower(p_name), ' widget') OR contains(lower(p_name), '_widget') THEN 50 ELSE 0 END END AS score FROM part WHERE contains(lower(p_name), 'widget') ORDER BY score DESC, label LIMIT 20",
 )(
-    lambda t: t("part").where(F.lower("p_brand").contains("brand#12"))
-    .groupBy("p_brand").agg(F.max(F.when(F.lower("p_brand") == "brand#12", 1000).when(F.lower("p_brand").startswith("brand#12"), 500).otherwise(100 - F.length("p_brand"))).alias("score"))
-    .orderBy(F.desc("score"), "p_brand").limit(20)
+    lambda t: graph.label_search(t("part").select(F.col("p_name").alias("label")), "widget", 20)
 )
 query(
     "stage_rollup",
-    "SELECT o_orderstatus, o_orderpriority, count(*) AS tasks, count(*) FILTER (WHERE l_returnflag = 'R') AS failed, round(avg(date_diff('second', o_orderdate, l_shipdate)), 4) AS mean_seconds FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1 GROUP BY 1, 2",
+    "SELECT o_orderstatus, o_orderpriority, count(*) AS tasks, count(*) FILTER (WHERE l_returnflag = 'R') AS failed, round(avg(date_diff('second', o_orderdate, l_shipdate)), 4) AS mean_seconds FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2",
 )(
-    lambda t: t("orders").join(t("lineitem").where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"))
+    lambda t: t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     .groupBy("o_orderstatus", "o_orderpriority")
     .agg(F.count("*").alias("tasks"), F.count_if(F.col("l_returnflag") == "R").alias("failed"), F.round(F.avg(F.expr("timestampdiff(SECOND, o_orderdate, l_shipdate)")), 4).alias("mean_seconds"))
 )
@@ -172,8 +171,10 @@ query(
 query("text_pack")(lambda t: documents.pack(t("documents"), 1000, text.NOISE, text.HEADING))
 query("html_tables")(lambda t: documents.tables(t("pages")))
 query("simhash_signatures")(lambda t: documents.signatures(t("documents")))
-query("similar_documents")(lambda t: documents.candidates(documents.signatures(t("documents")), 1, 0.6, 10))
-query("mmr_select")(lambda t: documents.diverse(t("conversations").select("conv_id", "turn", (1.0 / (1 + F.col("turn"))).alias("score"), retrieval.tokens("text").alias("tokens")), "conv_id", "turn", 3))
+query("similar_documents")(lambda t: documents.alike(t("documents").select("doc_id", "text"), t("documents").where("doc_id % 100 = 0"), 0.8, 10))
+query("simhash_pairs")(lambda t: documents.near(signed := settled(documents.signatures(t("documents"))), signed.where("doc_id % 100 = 0"), 0.85))
+query("mmr_select")(lambda t: documents.diverse(t("conversations").select("conv_id", "turn", retrieval.jaccard(retrieval.tokens("text"), retrieval.tokens(F.lit("what is the best way to do that"))).alias("score"), retrieval.tokens("text").alias("tokens")).fillna(0.0, ["score"]), "conv_id", "turn", 3))
+query("row_pack")(lambda t: documents.row_packs(t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.concat_ws(" | ", "l_partkey", "l_suppkey", "l_quantity").alias("line")), "l_orderkey", "l_linenumber", "l_returnflag", "line", 60))
 
 # Column functions
 
