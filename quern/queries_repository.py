@@ -152,13 +152,13 @@ query(
     "axiom_conflicts",
     f"WITH {_PARTS} SELECT 'functional' AS kind, s, 'made by' AS detail FROM f WHERE p = 'made by' GROUP BY s HAVING count(DISTINCT o) > 1 UNION ALL SELECT 'disjoint', s, 'ECONOMY,PROMO' FROM f WHERE p = 'is a' GROUP BY s HAVING bool_or(o = 'ECONOMY') AND bool_or(o = 'PROMO')",
 )(lambda t: repository.axiom_conflicts(part_facts(t), ["made by"], [("ECONOMY", "PROMO")]))
-_LINKS = "l AS (SELECT DISTINCT l_orderkey % 400 AS src, l_partkey % 450 AS dst FROM lineitem), p AS (SELECT range AS page FROM range(0, 420))"
+_LINKS = "l AS (SELECT DISTINCT l_orderkey % 400 AS src, (l_partkey * 2) % 450 AS dst FROM lineitem), p AS (SELECT range AS page FROM range(0, 420))"
 for _name, _side, _sql in (
     ("links_broken", 0, f"WITH {_LINKS} SELECT src, dst FROM l WHERE dst NOT IN (SELECT page FROM p)"),
     ("pages_orphaned", 1, f"WITH {_LINKS} SELECT page FROM p WHERE page NOT IN (SELECT dst FROM l WHERE src <> dst)"),
 ):
     query(_name, _sql)(
-        lambda t, side=_side: repository.broken_links(t("lineitem").select((F.col("l_orderkey") % 400).alias("src"), (F.col("l_partkey") % 450).alias("dst")).distinct(), t("region").sparkSession.range(420).select(F.col("id").alias("page")))[side]
+        lambda t, side=_side: repository.broken_links(t("lineitem").select((F.col("l_orderkey") % 400).alias("src"), (F.col("l_partkey") * 2 % 450).alias("dst")).distinct(), t("region").sparkSession.range(420).select(F.col("id").alias("page")))[side]
     )
 
 # Graphs
@@ -192,8 +192,8 @@ query(
 )(lambda t: graph.walked(web(t), t("part").where("p_partkey = 1").select(F.concat(F.lit("p"), "p_partkey").alias("node")), "both", 2, 0.5))
 query(
     "two_hop_pairs",
-    f"WITH {_WEB}, {_BOTH}, s AS (SELECT DISTINCT src, dst FROM b WHERE src NOT IN (SELECT node FROM d WHERE degree > 8)) SELECT x.dst AS a, y.dst AS c, min(x.src) AS via FROM s x JOIN s y ON x.src = y.src AND x.dst < y.dst WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.src = x.dst AND b.dst = y.dst) GROUP BY 1, 2",
-)(lambda t: graph.two_hop_pairs(web(t), 8))
+    f"WITH {_WEB}, {_BOTH}, s AS (SELECT DISTINCT src, dst FROM b WHERE src NOT IN (SELECT node FROM d WHERE degree > 30)) SELECT x.dst AS a, y.dst AS c, min(x.src) AS via FROM s x JOIN s y ON x.src = y.src AND x.dst < y.dst WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.src = x.dst AND b.dst = y.dst) GROUP BY 1, 2",
+)(lambda t: graph.two_hop_pairs(web(t), 30))
 query("table_levels", "SELECT 't' || c_nationkey AS table_name, coalesce(max(CASE WHEN c_custkey % 20 = 0 THEN c_custkey % 3 END), max(c_custkey % 4)) AS level FROM customer GROUP BY 1")(
     lambda t: graph.table_levels(t("customer").select(F.concat(F.lit("t"), "c_nationkey").alias("table_name"), (F.col("c_custkey") % 4).alias("level"), F.when(F.col("c_custkey") % 20 == 0, F.col("c_custkey") % 3).alias("pinned")))
 )
