@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, fingerprints, maxent, mixing, quality, simhash, substring_dedup, suffix_dedup, warc
+from quern.llm import ann, bpe, fingerprints, maxent, mixing, periodic, quality, simhash, substring_dedup, suffix_dedup, warc
 from quern.llm.common import checkpoint, fresh_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -75,6 +75,33 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), fold=7, held=2)
 
 
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text), a tenth of them with words that repeat to the end, as the contract of op13 has it."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.withColumn("words", F.when(h % 10 == 0, words)).withColumn("n", F.size("words")).withColumn("g", F.floor(h / 10))
+    chosen = chosen.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    chosen = chosen.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    place = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + F.pmod(i - F.col("a"), F.col("p"))))
+    return chosen.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.transform("words", place), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detected(made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.get(F.array_sort("runs", lambda a, b: F.when(a.length != b.length, F.signum(b.length - a.length)).when(a.start != b.start, F.signum(a.start - b.start)).otherwise(F.signum(a.period - b.period)).cast("int")), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -86,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
     "op10_maxent": op10_maxent,
+    "op13_periodic": op13_periodic,
 }
 
 ORACLE_SQL: dict[str, str] = {
