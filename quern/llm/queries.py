@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, fingerprints, maxent, mixing, periodic, quality, simhash, substring_dedup, suffix_dedup, warc
+from quern.llm import ann, bpe, fingerprints, lexical, maxent, mixing, periodic, quality, simhash, substring_dedup, suffix_dedup, warc
 from quern.llm.common import checkpoint, fresh_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -75,6 +75,11 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), fold=7, held=2)
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lexical.index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical.search(spark, made, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
 def made_periodic(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text), a tenth of them with words that repeat to the end, as the contract of op13 has it."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
     "op10_maxent": op10_maxent,
+    "op12_lexical": op12_lexical,
     "op13_periodic": op13_periodic,
 }
 
@@ -144,4 +150,22 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM q""",
+    "op12_lexical": r"""
+WITH w AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+d AS (SELECT row, doc_id, len(terms)::BIGINT AS n, terms FROM w WHERE len(terms) > 0),
+s AS (SELECT count(*)::BIGINT AS documents, sum(n)::BIGINT AS total FROM d),
+t AS (SELECT row, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM d) GROUP BY row, term),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(documents) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term),
+q AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term),
+r AS (
+  SELECT item_id, row, any_value(doc_id) AS doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * documents) // total))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN t USING (term), s GROUP BY item_id, row),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10""",
 }
