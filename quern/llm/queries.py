@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, fingerprints, lexical, maxent, mixing, periodic, quality, simhash, substring_dedup, suffix_dedup, warc
+from quern.llm import ann, bpe, fingerprints, lexical, maxent, mixing, periodic, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from quern.llm.common import checkpoint, fresh_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -75,6 +75,17 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), fold=7, held=2)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), folds=4, held=2)
+    return toxicity.scored(docs, lexicon).select(
+        "doc_id",
+        (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lexical.index(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return lexical.search(spark, made, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
@@ -118,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
     "op10_maxent": op10_maxent,
+    "op11_toxicity": op11_toxicity,
     "op12_lexical": op12_lexical,
     "op13_periodic": op13_periodic,
 }
