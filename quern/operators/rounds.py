@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """rows written to the folder that spark.checkpoint.dir names, without their lineage.
-
-    A local folder takes its place on one machine alone; on a cluster a missing setting is an error.
-    """
-    sc, spark = rows.sparkSession.sparkContext, rows.sparkSession
-    if sc.getCheckpointDir() is None:
-        known = spark.conf.get("spark.checkpoint.dir", None)
-        if known is None and not sc.master.startswith("local[") and sc.master != "local":
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A local one takes its place on one machine alone; on a cluster a missing setting is an error."""
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if known is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(known or f"file://{tempfile.mkdtemp(prefix='quern-rounds-')}")
+        known = f"file://{tempfile.mkdtemp(prefix='quern-rounds-')}"
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(known)
+    return known
+
+
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """A name for a folder of its own in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid4().hex}"
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """rows written to the shared folder, without their lineage."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 
