@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
-from quern.llm import simhash
+from quern.llm import simhash, similar
 from quern.llm.components import components
 
 
@@ -141,3 +142,27 @@ def test_links_at_the_limit_as_brute_force(spark):
                 group = [new if g == old else g for g in group]
     kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert pairs > 30 and sorted(kept) == sorted(set(group))
+
+
+@pytest.mark.parametrize("cell,small,tile", [(3, 4, 5), (2, 1, 2), (32, 64, 512)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, cell, small, tile):
+    """Copies of one text with edits each of their own: some pairs are alike enough, most are not, and all share many shingles."""
+    for name, value in (("CELL", cell), ("SMALL", small), ("TILE", tile)):
+        monkeypatch.setattr(similar, name, value)
+    rng, rows = random.Random(31), []
+    for base in range(2):
+        words = [f"b{base}w{j}" for j in range(140)]
+        for _ in range(70):
+            copy = list(words)
+            for at in rng.sample(range(140), rng.randrange(1, 5)):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    group, pairs = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                pairs += 1
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert 100 < pairs < 4000 and len(set(group)) > 10 and sorted(kept) == sorted(set(group))
