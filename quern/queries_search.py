@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import fulltext, matching
+from quern.operators import fulltext, matching, vectors
 from quern.registry import Tables, query
 
 #: The documents that the queries below search in: the first line of a text is its title.
@@ -91,3 +91,22 @@ def terms_rewritten(t: Tables) -> DataFrame:
     terms = t("benchmark").select(F.col("item_id").alias("group"), F.array_join(words, " ").alias("term"), F.concat(F.lit("["), F.col("item_id").cast("string"), F.lit("]")).alias("canonical"))
     found = matching.rewritten(t("documents").select("doc_id", "text"), terms)
     return found.where(F.size("matched") > 0).select("doc_id", F.size("matched").alias("terms"), F.sha2("rewritten", 256).alias("rewritten_sha256"))
+
+
+def _nearest_sql(k: int, least: float, same: str = "") -> str:
+    return (
+        "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score "
+        f"FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id{same}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p WHERE score >= {least}) "
+        f"SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"
+    )
+
+
+def _nearest(t: Tables, **how) -> DataFrame:
+    """Each embedding's nearest others, by an index of cells over all of them."""
+    rows = t("embeddings").select("vec_id", "embedding", "label")
+    return vectors.search(vectors.build(rows, 64, ["label"]), rows, rows.select(F.col("vec_id").alias("query_id"), "embedding", "label"), but_itself=True, **how)
+
+
+query("vectors_by_cell", _nearest_sql(10, -1.0))(lambda t: _nearest(t, k=10))
+query("vectors_above", _nearest_sql(40, 0.3))(lambda t: _nearest(t, k=40, least=0.3))
+query("vectors_filtered", _nearest_sql(5, -1.0, " AND a.label = b.label"))(lambda t: _nearest(t, k=5, by="label"))
