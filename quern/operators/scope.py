@@ -24,7 +24,7 @@ LEVELS = ("public", "internal", "confidential", "secret")
 def parts(name: Column) -> Column:
     """A table's name as its parts, in lower case and without quotes; empty if there is none behind the last dot."""
     bare = F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[\[\]`\"]", ""))
-    return F.when(bare.endswith("."), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(bare, r"\."), F.trim), lambda p: p != ""))
+    return F.when(bare.endswith("."), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(bare, r"\."), lambda p: F.trim(p)), lambda p: p != ""))
 
 
 def same_name(pairs: DataFrame, a: str, b: str) -> Column:

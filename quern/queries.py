@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern import queries_assets, queries_operations, queries_relational, queries_repository, queries_search, queries_tables  # noqa: F401  register their own
+from quern import queries_assets, queries_increments, queries_operations, queries_relational, queries_repository, queries_search, queries_tables  # noqa: F401  register their own
 from quern.operators import governance, graph, monitor, retrieval, text
 from quern.plans import guard, metrics
 from quern.registry import ORACLE_SQL, QUERIES, Tables, query  # noqa: F401

@@ -6,10 +6,10 @@ from quern.operators import scope
 
 
 def test_names(spark):
-    names = spark.createDataFrame([("orders",), ("Sales.Orders",), ("[archive].orders",), ("dbo.",), ("",), ("orders",)], "name string")
-    tables = spark.createDataFrame([("sales.orders",), ("archive.orders",), ("db.sales.orders",), ("other",)], "table_name string")
+    names = spark.createDataFrame([("orders",), ("Sales.Orders",), ("[archive].orders",), ("dbo.",), ("",), ("orders",), ("N20",)], "name string")
+    tables = spark.createDataFrame([("sales.orders",), ("archive.orders",), ("db.sales.orders",), ("other",), ("a.n20",), ("a.n2",), ("a.n21",)], "table_name string")
     found = {(r.name, r.table_name) for r in scope.resolved(names, tables).collect()}
-    assert found == {("orders", "sales.orders"), ("orders", "archive.orders"), ("orders", "db.sales.orders"), ("Sales.Orders", "sales.orders"), ("Sales.Orders", "db.sales.orders"), ("[archive].orders", "archive.orders")}
+    assert found == {("orders", "sales.orders"), ("orders", "archive.orders"), ("orders", "db.sales.orders"), ("Sales.Orders", "sales.orders"), ("Sales.Orders", "db.sales.orders"), ("[archive].orders", "archive.orders"), ("N20", "a.n20")}
 
 
 def test_reach(spark):
