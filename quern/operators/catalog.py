@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,8 +57,12 @@ def resolved_keys(candidates: DataFrame) -> DataFrame:
 
 
 def with_declared(known: DataFrame, declared: DataFrame, tables: DataFrame) -> DataFrame:
-    """known joins (table_name, column_name, parent) with declared ones that they lack; a declared name that several tables end in is not guessed."""
-    ends = declared.join(tables, F.col("full_name").endswith(F.col("parent_name")))
+    """known joins (table_name, column_name, parent) with declared ones that they lack; a declared name that several tables end in is not guessed.
+
+    Names meet by what stands behind the last dot.
+    """
+    last = lambda c: F.regexp_extract(c, r"[^.]*$", 0)
+    ends = declared.withColumn("_last", last("parent_name")).join(tables.withColumn("_last", last("full_name")), "_last").where(F.col("full_name").endswith(F.col("parent_name"))).drop("_last")
     sure = ends.groupBy("table_name", "column_name").agg(F.count_distinct("full_name").alias("_n"), F.min("full_name").alias("parent")).where("_n = 1").drop("_n")
     return known.union(sure.join(known, ["table_name", "column_name"], "left_anti").select("table_name", "column_name", "parent"))
 
@@ -103,14 +109,42 @@ def roll_up(assets: DataFrame, by: str, kind: str, kinds: list[str], owner: str,
     return counts.join(named, by, "left")
 
 
+def _grams(text: Column) -> Column:
+    """Each stretch of one to three letters of a text."""
+
+    def of(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - k + 1))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(k)))
+
+    return F.array_distinct(F.filter(F.flatten(F.array(of(1), of(2), of(3))), lambda g: g != ""))
+
+
+def held_in(short: DataFrame, a: str, long: DataFrame, b: str) -> DataFrame:
+    """Pairs of rows where the text a of one stands in the text b of the other: they meet by the first three letters of a, which b must have somewhere.
+
+    Columns of both must differ by name. Blank texts stand in nothing.
+    """
+    left = short.where(F.col(a) != "").withColumn("_key", F.substring(a, 1, 3))
+    right = long.withColumn("_key", F.explode(_grams(F.col(b))))
+    return left.join(right, "_key").where(F.contains(F.col(b), F.col(a))).drop("_key")
+
+
 def bound(terms: DataFrame, columns: DataFrame) -> DataFrame:
     """(term, column_name, score): terms (term, alias) bound to columns: 1 for the same name, 0.8 if one holds the other, 0.7 by the alias; 0 is left out.
 
-    Both sides are catalogues; names meet by their first three letters for the exact and aliased and by containment for the rest.
+    Names are compared in lower case and meet by equal keys alone: the whole name, the alias, or the first letters of the shorter one
+    within the longer. Blank names are bound to nothing.
     """
-    t, c = F.lower("term"), F.lower("column_name")
-    score = F.when(t == c, 1.0).when(c.contains(t) | t.contains(c), 0.8).when(F.lower("alias") == c, 0.7)
-    return terms.join(F.broadcast(columns.select("column_name").distinct()), score.isNotNull()).select("term", "column_name", score.alias("score"))
+    t = terms.select("term", "alias", F.lower("term").alias("_t")).distinct()
+    c = columns.select("column_name", F.lower("column_name").alias("_c")).distinct()
+    one = t.select("term", "_t").distinct()
+    found = [
+        one.join(c, F.col("_t") == F.col("_c")).where("_t <> ''").select("term", "column_name", F.lit(1.0).alias("score")),
+        held_in(one, "_t", c, "_c").select("term", "column_name", F.lit(0.8).alias("score")),
+        held_in(c, "_c", one, "_t").select("term", "column_name", F.lit(0.8).alias("score")),
+        t.join(c, F.lower("alias") == F.col("_c")).where("_c <> ''").select("term", "column_name", F.lit(0.7).alias("score")),
+    ]
+    return reduce(DataFrame.union, found).groupBy("term", "column_name").agg(F.max("score").alias("score"))
 
 
 def values_like(rows: DataFrame, column: str, text: str, most: int) -> DataFrame:

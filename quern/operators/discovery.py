@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.catalog import held_in
+
 
 def overlap(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     """Shared different values over those of the smaller side, null without any."""
@@ -24,14 +26,15 @@ def suffix_candidates(columns: DataFrame, suffixes: tuple[str, ...] = ("key", "i
     """(table_name, column_name, parent, fit) for columns (table_name, column_name) whose names hint at a parent table.
 
     What stands before the suffix is compared with the names of other tables: 0 if equal, 1 if one starts with the other, 2 if one
-    holds the other; at most five per column. Both sides are catalogs, small beside the data they describe.
+    holds the other; at most five per column. Names meet by the first letters of the shorter one within the longer.
     """
     stem = F.regexp_replace(F.lower("column_name"), f"^[a-z]_|_?({'|'.join(suffixes)})$", "")
     hinted = columns.where(F.lower("column_name").rlike(f"({'|'.join(suffixes)})$")).select("table_name", "column_name", stem.alias("_stem")).where("length(_stem) >= 3")
     parents = columns.select(F.col("table_name").alias("parent")).distinct()
-    on = F.col("parent").contains(F.col("_stem")) | F.col("_stem").contains(F.col("parent"))
     fit = F.when(F.col("parent") == F.col("_stem"), 0).when(F.col("parent").startswith(F.col("_stem")) | F.col("_stem").startswith(F.col("parent")), 1).otherwise(2)
-    found = hinted.join(F.broadcast(parents), on & (F.col("parent") != F.col("table_name"))).withColumn("fit", fit)
+    kept = ["table_name", "column_name", "_stem", "parent"]
+    met = held_in(hinted, "_stem", parents, "parent").select(*kept).union(held_in(parents, "parent", hinted, "_stem").select(*kept)).distinct()
+    found = met.where(F.col("parent") != F.col("table_name")).withColumn("fit", fit)
     place = F.row_number().over(W.partitionBy("table_name", "column_name").orderBy("fit", "parent"))
     return found.withColumn("_n", place).where("_n <= 5").select("table_name", "column_name", "parent", "fit")
 

@@ -52,12 +52,38 @@ def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"the closure was not found in {most_rounds} rounds")
 
 
-def cyclic(edges: DataFrame) -> DataFrame:
-    """(node) of all nodes that lie on a cycle: what would make a hierarchy invalid."""
-    above = closure(edges).where("ancestor <> node")
-    back = above.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("node"))
-    loops = edges.where("src = dst").select(F.col("src").alias("node"))
-    return above.join(back, ["ancestor", "node"], "left_semi").select("node").union(loops).distinct()
+def cyclic(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(node) of all nodes that lie on a cycle: what would make a hierarchy invalid. edges is (src, dst) with no nulls.
+
+    Nodes without edges into or out of them are peeled off until none is left. In what stays, the greatest node that reaches each node
+    is passed along; those that reach it back in turn share a cycle with it, and are taken out; and so on. Each round costs joins with
+    the edges that are left; no pairs of nodes are kept.
+    """
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    left, found, before = settled(edges.where("src <> dst").select("src", "dst").distinct()), settled(loops), None
+    for _ in range(most_rounds):
+        n = left.count()
+        if n == 0:
+            return found.distinct()
+        if n != before:  # peel
+            before = n
+            left = settled(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            continue
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        tops = propagated(left, nodes.withColumn("level", F.col("node")))  # the greatest node that reaches each
+        inside = left.join(tops.select(F.col("node").alias("src"), F.col("level").alias("_a")), "src").join(tops.select(F.col("node").alias("dst"), F.col("level").alias("_b")), "dst").where("_a = _b")
+        inside = settled(inside.select("src", "dst", F.col("_a").alias("top")))
+        back = settled(inside.where("dst = top").select(F.col("src").alias("node"), "top").distinct())
+        front = back
+        while not front.isEmpty():
+            step = inside.join(front.select(F.col("node").alias("dst"), "top"), ["dst", "top"]).select(F.col("src").alias("node"), "top").distinct()
+            front = settled(step.join(back, ["node", "top"], "left_anti"))
+            back = settled(back.union(front))
+        found = settled(found.union(back.select("node")).distinct())
+        gone = back.select("node").union(tops.where("node = level").select("node")).distinct()
+        left = settled(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        before = None
+    raise RuntimeError(f"cycles were not settled in {most_rounds} rounds")
 
 
 def paths(edges: DataFrame, start: str, target: str, hops: int, most: int, per_hop: int | None = None) -> DataFrame:

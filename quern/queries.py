@@ -374,10 +374,18 @@ query(
 )(lambda t: retrieval.bm25(t("documents"), _TERMS, 20))
 
 
-@query("rrf_fuse")
+@query(
+    "rrf_fuse",
+    f"WITH {_WORDS}, {_TF}, s AS (SELECT count(*) AS docs, avg(n) AS mean, " + ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS d{i}" for i in range(len(_TERMS))) + " FROM c), "
+    f"b AS (SELECT doc_id AS id, round({_BM25}, 6) AS score FROM c, s), q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1), v AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score FROM embeddings, q), "
+    "r AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id) - 1) AS part FROM v WHERE score > 0 UNION ALL SELECT id, 0.6 / (60 + row_number() OVER (ORDER BY score DESC, id) - 1) FROM b WHERE score > 0) "
+    "SELECT id, round(sum(part), 8) AS score FROM r GROUP BY 1 ORDER BY score DESC, id LIMIT 20",
+)
 def rrf_fuse(t: Tables) -> DataFrame:
-    near = retrieval.above(t("embeddings"), _vector(t), 0.0, 100).select(F.col("vec_id").alias("id"), "score")
-    words = retrieval.bm25(t("documents"), _TERMS, 100).select(F.col("doc_id").alias("id"), "score")
+    """Both signals whole: every embedding by its likeness to the first, every document by its words."""
+    asked = F.array(*[F.lit(x) for x in _vector(t)])
+    near = t("embeddings").select(F.col("vec_id").alias("id"), F.round(retrieval.cosine(F.col("embedding"), asked), 6).alias("score"))
+    words = retrieval.scored_terms(t("documents"), _TERMS).select(F.col("doc_id").alias("id"), "score")
     return retrieval.fused([(near, 1.0), (words, 0.6)], "id", 20)
 
 

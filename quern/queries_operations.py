@@ -98,7 +98,7 @@ def classified(t: Tables) -> DataFrame:
 
 
 def policies(t: Tables) -> DataFrame:
-    return t("nation").where("n_nationkey < 12").select(
+    return t("nation").select(
         F.concat(F.lit("p"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("id"), F.concat(F.lit("t"), F.col("n_nationkey") % 9).alias("table_name"),
         F.when(F.col("n_nationkey") % 2 == 0, F.lit("%1")).alias("column_pattern"), F.expr("CASE n_nationkey % 3 WHEN 0 THEN 'deny' WHEN 1 THEN 'mask' ELSE 'allow' END").alias("effect"),
         (F.col("n_nationkey") % 4).alias("priority"), F.expr("CASE n_nationkey % 2 WHEN 0 THEN 'secret' ELSE 'internal' END").alias("min_clearance"), F.expr("CASE WHEN n_nationkey % 3 = 1 THEN 'partial' END").alias("mask"),
@@ -108,7 +108,7 @@ def policies(t: Tables) -> DataFrame:
 query(
     "policy_decision",
     f"WITH c AS (SELECT 't' || c_nationkey AS table_name, lower(c_name) AS column_name, {_LEVEL} AS level FROM customer), "
-    "p AS (SELECT 'p' || lpad(n_nationkey::VARCHAR, 2, '0') AS id, 't' || n_nationkey % 9 AS table_name, CASE WHEN n_nationkey % 2 = 0 THEN '%1' END AS pat, n_nationkey % 3 AS e, n_nationkey % 4 AS priority, CASE n_nationkey % 2 WHEN 0 THEN 3 ELSE 1 END AS least FROM nation WHERE n_nationkey < 12), "
+    "p AS (SELECT 'p' || lpad(n_nationkey::VARCHAR, 2, '0') AS id, 't' || n_nationkey % 9 AS table_name, CASE WHEN n_nationkey % 2 = 0 THEN '%1' END AS pat, n_nationkey % 3 AS e, n_nationkey % 4 AS priority, CASE n_nationkey % 2 WHEN 0 THEN 3 ELSE 1 END AS least FROM nation), "
     "m AS (SELECT c.table_name, column_name, id, e, priority FROM c JOIN p ON c.table_name = p.table_name AND (pat IS NULL OR column_name LIKE pat) WHERE (e < 2 AND 1 < least) OR (e = 2 AND 1 >= least)), "
     "b AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY e, priority DESC, id) AS n FROM m) "
     "SELECT c.table_name, c.column_name, CASE WHEN e IS NOT NULL THEN ['deny', 'mask', 'allow'][e + 1] WHEN level IS NULL OR level IN ('public', 'internal') THEN 'allow' WHEN level = 'confidential' THEN 'mask' ELSE 'deny' END AS effect, id AS policy, "
@@ -121,11 +121,12 @@ query(
     lambda t: t("customer").select("c_custkey", F.expr(_LEVEL).alias("_a"), F.when(F.col("c_nationkey") % 3 == 0, "internal").alias("_b"), F.when(F.col("c_nationkey") % 2 == 0, "odd").alias("_c"))
     .select("c_custkey", governance.inherited(t("customer"), ["_a", "_b", "_c"]).alias("level")).withColumn("rank", governance.rank(F.col("level")))
 )
-_NAMES = "lower(c_mktsegment) || CASE c_custkey % 6 WHEN 0 THEN '_phone' WHEN 1 THEN ' email' WHEN 2 THEN '_phone_id' WHEN 3 THEN 'phone' WHEN 4 THEN ' card_no address' ELSE ' full name' END"
+_NAMES = "lower(c_mktsegment) || CASE c_custkey % 6 WHEN 0 THEN '_phone' WHEN 1 THEN ' email' WHEN 2 THEN '_phone_id' WHEN 3 THEN 'phone' WHEN 4 THEN ' card_no address' WHEN 5 THEN CASE c_nationkey % 3 WHEN 0 THEN '_full_name' WHEN 1 THEN '护照' ELSE '-username-surname' END END"
 query(
     "pii_names",
-    f"WITH c AS (SELECT DISTINCT {_NAMES} AS column_name FROM customer) SELECT column_name, CASE WHEN column_name LIKE '% email' THEN 'email' WHEN column_name LIKE '% card_no address' THEN 'bank_card' WHEN column_name LIKE '% full name' THEN 'name' WHEN column_name LIKE '%~_phone' ESCAPE '~' THEN 'phone' END AS kind FROM c",
-)(lambda t: governance.named_kinds(t("customer").select(F.expr(_NAMES).alias("column_name")).distinct()))
+    f"WITH c AS (SELECT DISTINCT {_NAMES} AS column_name FROM customer), k AS (SELECT column_name, CASE WHEN column_name LIKE '% email' THEN 'email' WHEN column_name LIKE '% card_no address' THEN 'bank_card' WHEN column_name LIKE '%~_full~_name' ESCAPE '~' THEN 'name' "
+    "WHEN column_name LIKE '%~_phone' ESCAPE '~' THEN 'phone' WHEN column_name LIKE '%护照' THEN 'passport' END AS kind FROM c) SELECT column_name, kind, CASE WHEN kind IN ('bank_card', 'passport') THEN 'secret' WHEN kind IS NOT NULL THEN 'confidential' END AS level, 'PII,' || upper(kind) AS tags FROM k",
+)(lambda t: governance.named_kinds(t("customer").select(F.expr(_NAMES).alias("column_name")).distinct()).withColumn("tags", F.array_join("tags", ",")))
 query(
     "issue_transitions",
     "WITH o AS (SELECT p_partkey AS rule FROM part WHERE p_size % 2 = 0), n AS (SELECT p_partkey AS rule, CASE p_size % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'passed' ELSE 'error' END AS outcome FROM part WHERE p_partkey % 10 > 0), "
@@ -190,12 +191,12 @@ query(
 )(lambda t: catalog.star_edges(t("part").select(F.concat(F.lit("t"), "p_size").alias("table_name"), F.explode(F.array(F.lower("p_type"), F.lit("name"))).alias("column_name"))))
 query(
     "declared_keys",
-    "WITH k AS (SELECT 't' || p_size AS table_name, 'c' || p_partkey % 9 AS column_name, min('x') AS parent FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2), d AS (SELECT DISTINCT 't' || p_size AS table_name, 'c' || p_partkey % 9 AS column_name, lower(p_type) AS parent_name FROM part), "
+    "WITH k AS (SELECT 't' || p_size AS table_name, 'c' || p_partkey % 9 AS column_name, min('x') AS parent FROM part WHERE p_type = 'PROMO' GROUP BY 1, 2), d AS (SELECT DISTINCT 't' || p_size AS table_name, 'c' || p_partkey % 9 AS column_name, lower(p_type) AS parent_name FROM part), "
     "f AS (SELECT DISTINCT 's' || p_size % 2 || '.' || lower(p_type) AS full_name FROM part WHERE p_type <> 'ECONOMY' UNION SELECT 's0.economy'), u AS (SELECT table_name, column_name, min(full_name) AS parent FROM d JOIN f ON ends_with(full_name, parent_name) GROUP BY 1, 2 HAVING count(DISTINCT full_name) = 1) "
     "SELECT * FROM k UNION ALL SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.table_name = u.table_name AND k.column_name = u.column_name)",
 )(
     lambda t: catalog.with_declared(
-        t("part").where("p_partkey % 3 = 0").select(F.concat(F.lit("t"), "p_size").alias("table_name"), F.concat(F.lit("c"), F.col("p_partkey") % 9).alias("column_name"), F.lit("x").alias("parent")).distinct(),
+        t("part").where("p_type = 'PROMO'").select(F.concat(F.lit("t"), "p_size").alias("table_name"), F.concat(F.lit("c"), F.col("p_partkey") % 9).alias("column_name"), F.lit("x").alias("parent")).distinct(),
         t("part").select(F.concat(F.lit("t"), "p_size").alias("table_name"), F.concat(F.lit("c"), F.col("p_partkey") % 9).alias("column_name"), F.lower("p_type").alias("parent_name")).distinct(),
         t("part").select(F.when(F.col("p_type") == "ECONOMY", "s0.economy").otherwise(F.concat(F.lit("s"), F.col("p_size") % 2, F.lit("."), F.lower("p_type"))).alias("full_name")).distinct(),
     )
@@ -207,10 +208,10 @@ def lineage(t: Tables) -> DataFrame:
 
 
 def known_columns(t: Tables) -> DataFrame:
-    return t("nation").where("n_nationkey < 6").select(F.concat(F.lit("t"), "n_nationkey").alias("table_name"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("c"), i))).alias("column_name"))
+    return t("nation").select(F.concat(F.lit("t"), "n_nationkey").alias("table_name"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("c"), i))).alias("column_name"))
 
 
-_KNOWN = "k AS (SELECT 't' || n_nationkey AS t, 'c' || r_regionkey AS c FROM nation, region WHERE n_nationkey < 6)"
+_KNOWN = "k AS (SELECT 't' || n_nationkey AS t, 'c' || r_regionkey AS c FROM nation, region)"
 query(
     "lineage_coverage",
     f"WITH {_JOINS} {_KNOWN}, d AS (SELECT st AS t, sc AS c FROM j UNION SELECT dt, dc FROM j) SELECT k.t AS table_name, count(*) AS columns, count(d.t) AS covered, round(count(d.t) / count(*)::DOUBLE, 6) AS share FROM k LEFT JOIN d USING (t, c) GROUP BY 1",
@@ -243,7 +244,7 @@ query(
 query(
     "terms_bound",
     "WITH t AS (SELECT DISTINCT lower(p_type) AS term, lower(p_brand) AS alias FROM part), c AS (SELECT DISTINCT lower(p_type) AS column_name FROM part UNION SELECT DISTINCT lower(p_type) || '_code' FROM part UNION SELECT DISTINCT lower(p_brand) FROM part) "
-    "SELECT term, column_name, CASE WHEN term = column_name THEN 1.0 WHEN contains(column_name, term) OR contains(term, column_name) THEN 0.8 WHEN alias = column_name THEN 0.7 END::DOUBLE AS score FROM t, c WHERE contains(column_name, term) OR contains(term, column_name) OR alias = column_name",
+    "SELECT term, column_name, max(CASE WHEN term = column_name THEN 1.0 WHEN contains(column_name, term) OR contains(term, column_name) THEN 0.8 WHEN alias = column_name THEN 0.7 END)::DOUBLE AS score FROM t, c WHERE contains(column_name, term) OR contains(term, column_name) OR alias = column_name GROUP BY 1, 2",
 )(
     lambda t: catalog.bound(
         t("part").select(F.lower("p_type").alias("term"), F.lower("p_brand").alias("alias")).distinct(),

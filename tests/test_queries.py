@@ -44,5 +44,5 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql_but_the_iterative_ones():
-    rest = {"path_search", "rrf_fuse", "suffix_fk_candidates", "text_pack", "html_tables", "simhash_signatures", "similar_documents", "mmr_select", "simhash_pairs", "row_pack", "retrieve_candidates", "words_grounded", "terms_rewritten"}
+    rest = {"path_search", "text_pack", "html_tables", "simhash_signatures", "similar_documents", "mmr_select", "simhash_pairs", "row_pack", "retrieve_candidates", "words_grounded", "terms_rewritten"}
     assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == rest
