@@ -4,8 +4,8 @@ Every word has a class and a place in it, a slot: the most frequent words of a c
 slots by their last bytes. The probability of a token is that of its class given the two tokens before it, times that of its slot
 given the same and the class, times its share of the slot by the counts. Both of the first are softmaxes over sums of weights of
 hashed features: the slot of the last token, a skip to the slot of the last but one, the last token itself, and the last two. Counts cover all training texts. The weights
-are trained on every token of every training text by rounds of distributed updates: tasks take gradient steps on their documents
-from common weights, and their changes are averaged row by row, weighted by the squared gradients that each has met in the row.
+are trained on every token of every training text by rounds of distributed updates: blocks of documents, dealt by hash, take gradient
+steps from common weights, and their changes are averaged row by row, weighted by the squared gradients that each has met in the row.
 The number of rows grows with the root of the number of training tokens.
 """
 
@@ -35,6 +35,8 @@ LEAST_BITS, MOST_BITS = 12, 18
 HEAD = 250_000
 #: Words a task remembers; tokens of one numpy block.
 MEMO, BLOCK = 400_000, 4096
+#: Documents that are learned from together; tokens of a block of documents at least, blocks that small corpora have at most, and changes averaged at once.
+GROUP, LEAST_TOKENS, MANY, FAN = 64, 800_000, 12, 16
 #: Odd numbers that features are multiplied with: four for classes, two for slots.
 FACTORS = [np.uint64(2 * (0x9E3779B97F4A7C15 * k % 2**63) + 1) for k in (1, 2, 3, 5, 7, 11)]
 
@@ -236,40 +238,68 @@ def learn(weights: np.ndarray, squares: np.ndarray, priors: tuple[np.ndarray, np
     return len(real)
 
 
-def train(docs: DataFrame, counts: Counts, rounds: int = 2, rate: float = 0.3) -> np.ndarray:
-    """Weights from every token of docs: each round takes one part of the documents by hash, so each token counts once.
+def blocks_of(counts: Counts, rounds: int) -> int:
+    """How many blocks of documents a round has: a block has LEAST_TOKENS, and from MANY blocks on enough that what it sends is a third of its text at most."""
+    per_round = counts.tokens // rounds
+    return max(1, min(MANY, per_round // LEAST_TOKENS), per_round // (64 << counts.bits))
 
-    A task sends on its change of the weights, in blocks that are summed by block and salt, then by block. What a task sends is
-    at most a third of the text that it reads, because partitions share tasks until each has so many tokens.
+
+def train(docs: DataFrame, counts: Counts, rounds: int = 3, rate: float = 0.4) -> np.ndarray:
+    """Weights from every token of docs (doc_id, text): each round takes one part of the documents by hash, so each token counts once.
+
+    The documents of a round are dealt into blocks by a hash, whatever their partitions were. A block's documents are gone through
+    in the order of another hash, in groups of GROUP, from the common weights; the block then tells its change of the weights, in
+    pieces, and the changes of FAN blocks at a time are averaged, then those of FAN averages, and so on. So the weights do not depend
+    on how rows are stored or dealt over tasks, and no task adds up more than FAN changes.
     """
-    priors, bits, blocks = counts.priors(), counts.bits, 16
+    priors, bits, pieces, n = counts.priors(), counts.bits, 16, blocks_of(counts, rounds)
     weights, sc = np.zeros((2 << bits, SLOTS), np.float32), docs.sparkSession.sparkContext
+    mark = F.xxhash64("doc_id", "text", F.lit(17))
+    dealt = docs.select(mark.alias("mark"), "text").select("text", "mark", F.pmod("mark", F.lit(rounds)).alias("turn"), F.pmod(F.xxhash64("mark"), F.lit(n)).cast("int").alias("block"))
+    kind = "piece int, block int, met binary, change binary"
     for turn in range(rounds):
         shared = sc.broadcast((weights, counts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             common, known = shared.value
-            own, words, seen, squares = common.copy(), Lexicon(known), 0, np.zeros(len(common), np.float32)
-            for batch in slices(batches, 64):
-                seen += learn(own, squares, priors, words, words.read(utf8(batch.column(0)))[0], bits, rate)
-                words.trim()
-            if seen:
-                own -= common
-                change, met = (np.array_split(x, blocks) for x in (own.astype(np.float16), squares))
-                salt = TaskContext.get().partitionId() % 8
-                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([salt] * blocks, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (met, change))], ["block", "salt", "met", "change"])
+            words = Lexicon(known)
+
+            def out(block: int) -> pa.RecordBatch:
+                change, met = (np.array_split(x, pieces) for x in ((own - common).astype(np.float16), squares))
+                return pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([block] * pieces, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (met, change))], ["piece", "block", "met", "change"])
+
+            now, waiting, own, squares = None, [], common, np.zeros(0)
+            for batch in slices(batches, GROUP):
+                for block, text in zip(batch.column("block").to_pylist(), utf8(batch.column("text")), strict=True):
+                    if block != now or len(waiting) == GROUP:
+                        if waiting:
+                            learn(own, squares, priors, words, words.read(waiting)[0], bits, rate)
+                            words.trim()
+                            waiting = []
+                        if block != now:
+                            if now is not None:
+                                yield out(now)
+                            now, own, squares = block, common.copy(), np.zeros(len(common), np.float32)
+                    waiting.append(text)
+            if now is not None:
+                learn(own, squares, priors, words, words.read(waiting)[0], bits, rate)
+                yield out(now)
 
         def add(table: pa.Table) -> pa.Table:
+            table = table.sort_by("block")
             met = [np.frombuffer(x.as_py(), np.float32) for x in table["met"]]
             total = sum(met)
             mean = sum(np.frombuffer(c.as_py(), np.float16).reshape(-1, SLOTS) * (m / np.maximum(total, 1e-9))[:, None] for c, m in zip(table["change"], met, strict=True))
-            return pa.table({"block": table["block"][:1], "salt": table["salt"][:1], "met": [total.tobytes()], "change": [mean.astype(np.float16).tobytes()]})
-
-        kind = "block int, salt int, met binary, change binary"
-        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).select("text").coalesce(max(12, counts.tokens // rounds // (64 << bits)))
-        sums = part.mapInArrow(run, kind).groupBy("block", "salt").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind).orderBy("block").collect()
-        if sums:
-            weights = weights + np.concatenate([np.frombuffer(r.change, np.float16) for r in sums]).reshape(weights.shape).astype(np.float32)
+            group = pa.array([table["block"][0].as_py() // FAN], pa.int32())
+            return pa.table({"piece": table["piece"][:1], "block": group, "met": [total.tobytes()], "change": [mean.astype(np.float16).tobytes()]})
+
+        part = dealt.where(F.col("turn") == turn).select("text", "mark", "block").repartitionById(n, F.col("block")).sortWithinPartitions("block", "mark", "text")
+        sums, left = part.select("text", "block").mapInArrow(run, kind), n
+        while left > 1:
+            sums, left = sums.groupBy("piece", F.floor(F.col("block") / FAN).alias("_group")).applyInArrow(lambda key, table: add(table), kind), -(-left // FAN)
+        found = sums.orderBy("piece").collect()
+        if found:
+            weights = weights + np.concatenate([np.frombuffer(r.change, np.float16) for r in found]).reshape(weights.shape).astype(np.float32)
         shared.unpersist()
     return weights
 
@@ -279,8 +309,8 @@ def scored(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
 
     Texts are taken as UTF-8 bytes, A-Z in lower case; tokens are the words between ASCII white space and one end, so a null or
     empty text has one token. Rows whose crc32(doc_id as text) mod fold is not `held` are learned from, repeated rows as often as
-    they come. Without training rows all counts are zero. The weights depend on how training rows are dealt over tasks, in the way
-    that averages do. Empty table: no rows.
+    they come. Without training rows all counts are zero. The scores do not depend on how rows are stored or dealt over tasks. Texts of
+    any length are read whole. Empty table: no rows.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     learned = rows.where(trains(fold, held))

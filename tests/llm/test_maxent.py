@@ -105,3 +105,15 @@ def test_what_comes_before_tells_what_follows(spark):
 
 def test_empty_table(spark):
     assert maxent.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "LEAST_TOKENS", 1500)  # several blocks, and averages of averages
+    monkeypatch.setattr(maxent, "FAN", 3)
+    rng = random.Random(7)
+    texts = [(i, " ".join(f"w{min(rng.randrange(200), rng.randrange(200))}" for _ in range(rng.randrange(0, 90)))) for i in range(400)] + [(500 + i, "the same text again") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    told = [{r.doc_id: r.score for r in maxent.scored(rows).collect()} for rows in (docs.coalesce(1), docs.repartition(8), docs.orderBy(F.rand(3)).repartition(64))]
+    assert all(abs(told[0][k] - t[k]) <= 1e-3 for t in told[1:] for k in told[0]) and told[0].keys() == told[1].keys() == told[2].keys()
+    counts = maxent.summed(maxent.count_words(docs.select("doc_id", "text")), docs.count())
+    assert maxent.blocks_of(counts, 2) > 4
