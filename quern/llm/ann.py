@@ -43,10 +43,11 @@ def codes(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def index(vectors: DataFrame, dim: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, vector, code, length, fit) of every vector that can take part: one row for each different key that is not null.
 
-    Vectors that are null, zero, of another length than dim, or hold null, infinite or NaN components take no part.
+    Keys are whole numbers of any width, as long integers from here on. Vectors that are null, zero, of another length than dim, or
+    hold null, infinite or NaN components take no part; of rows that share a key the least vector does. Empty table: no rows.
     """
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")).where(
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where(
         F.col("key").isNotNull() & (F.size("vector") == dim) & F.forall("vector", good) & F.exists("vector", lambda x: x != 0)
     )
 
@@ -57,8 +58,7 @@ def index(vectors: DataFrame, dim: int, key: str = "vec_id", vector: str = "embe
             packed, lengths, fits = codes(data, turn)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(lengths), pa.array(fits)], ["key", "vector", "code", "length", "fit"])
 
-    kind = vectors.schema[key].dataType.simpleString()
-    return rows.dropDuplicates(["key"]).mapInArrow(run, f"key {kind}, vector array<double>, code binary, length double, fit double")
+    return rows.groupBy("key").agg(F.min("vector").alias("vector")).mapInArrow(run, "key long, vector array<double>, code binary, length double, fit double")
 
 
 def planes(turned: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

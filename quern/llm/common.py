@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -49,10 +48,10 @@ def extended(df: DataFrame, more: str, without: tuple[str, ...] = ()) -> StructT
     return StructType([f for f in df.schema.fields if f.name not in without] + StructType.fromDDL(more).fields)
 
 
-def dropped(folder: str) -> None:
-    """Delete a folder that fresh_dir named, with all that is in it."""
-    store, path = fs.FileSystem.from_uri(folder)
-    store.delete_dir(path)
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that fresh_dir named, with all that is in it, where nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

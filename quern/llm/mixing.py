@@ -92,7 +92,7 @@ def schedule(units: DataFrame, mixed: Mix, seed: int = 1, bucket_rows: int = 409
         F.col("tokens").alias("_all"),
         F.col("budget"),
         F.ceil(F.col("budget") / F.col("tokens")).cast("int").alias("epochs"),
-        F.least(F.lit(4096), F.greatest(F.lit(1), F.ceil(F.col("documents") / bucket_rows))).cast("int").alias("buckets"),
+        F.greatest(F.lit(1), F.ceil(F.col("documents") / bucket_rows)).cast("int").alias("buckets"),
     )
     spent = mixed.weights.agg(F.sum("budget")).first()[0] or 0
     blocks = max(1, -(-spent // block_tokens))

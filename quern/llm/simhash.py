@@ -3,8 +3,7 @@
 Different fingerprints are laid out in tiles by the bit counts of their four 16-bit quarters. Two fingerprints within the radius
 differ in these counts by no more than the radius in sum, so pairs of tiles whose counts lie further apart are skipped; the others
 are compared whole by exclusive-or and bit counts. A task sends on a spanning forest of the links it finds, not the links
-themselves, so a group of k near copies costs at most k rows for each pair of tiles. Where links have to be confirmed, tiles carry
-sketches of the shingle sets, and candidates are compared by them before they count.
+themselves, so a group of k near copies costs at most k rows for each pair of tiles.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ from quern.llm import similar
 from quern.llm.common import checkpoint, slices, unused, utf8
 from quern.llm.components import components
 
-#: Rows of the blocks in which a task compares two tiles; bytes of a sketch.
-BLOCK, BINS = 1024, 256
+#: Rows of the blocks in which a task compares two tiles.
+BLOCK = 1024
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -51,43 +50,19 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(set_bits * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """The different shingles in BINS bytes: dealt over bins by hash, each bin keeps a byte of its least; zero marks an empty one.
-
-    The share of equal bytes among bins that either text fills estimates the Jaccard similarity, up to about 0.025.
-    """
-    found = np.zeros(BINS, np.uint8)
-    mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes >> np.uint64(29))
-    order = np.sort((mixed % np.uint64(BINS)) << np.uint64(48) | mixed >> np.uint64(16))
-    bins = (order >> np.uint64(48)).astype(np.int64)
-    first = np.flatnonzero(np.diff(bins, prepend=-1))
-    found[bins[first]] = order[first] % np.uint64(255) + np.uint64(1)
-    return found.tobytes()
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of sketches, row by row; two empty ones are alike."""
-    either = ((a | b) > 0).sum(axis=1)
-    return np.where(either, ((a == b) & (a > 0)).sum(axis=1) / np.maximum(either, 1), 1.0)
-
-
-def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text", sketches: bool = False) -> DataFrame:
-    """(key, fp, sketch): the fingerprint as a signed 64-bit integer, and, if asked for, the sketch, else empty.
+def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fp): the fingerprint as a signed 64-bit integer.
 
     Null and empty texts have fingerprint zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            prints, kept = [], []
-            for text in utf8(batch.column(1)):
-                hashes = shingles(text, words)
-                prints.append(fingerprint(hashes))
-                kept.append(sketch(hashes) if sketches else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(kept, pa.binary())], ["key", "fp", "sketch"])
+            prints = [fingerprint(shingles(text, words)) for text in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long, sketch binary")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
 
 
 def quarters(fp: str = "fp") -> list:
@@ -143,11 +118,8 @@ class Forest:
             np.minimum.at(self.up, a, b)
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int, sketches: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Links, as numbers of rows, that connect whatever lies within the radius: among left, or, with right, between the two.
-
-    With sketches, of left and then right, only pairs count that are estimated to be at least so much alike.
-    """
+def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as numbers of rows, that connect whatever lies within the radius: among left, or, with right, between the two."""
 
     def blocks(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q = np.bitwise_count(np.ascontiguousarray(fp).view(np.uint16).reshape(-1, 4)).astype(np.int64)
@@ -166,29 +138,18 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int, sketches: np
             continue
         a, b = one[i * BLOCK : (i + 1) * BLOCK], two[j * BLOCK : (j + 1) * BLOCK] + shift
         x, y = np.nonzero(np.bitwise_count(every[a][:, None] ^ every[b][None]) <= radius)
-        x, y = a[x], b[y]
-        if sketches is None:
-            trees.link(x, y)
-            continue
-        for k in range(0, len(x), 16_384):
-            u, v = x[k : k + 16_384], y[k : k + 16_384]
-            up = trees.roots()
-            apart = up[u] != up[v]
-            u, v = u[apart], v[apart]
-            good = alike(sketches[u], sketches[v]) >= least
-            trees.link(u[good], v[good])
+        trees.link(a[x], b[y])
     roots = trees.roots()
     hung = np.flatnonzero(roots != np.arange(len(every)))
     return hung, roots[hung]
 
 
-def links(nodes: DataFrame, radius: int, least: float = 0.0, least_tile: int = 512, most_tile: int = 1 << 18, tiles_wanted: int = 24) -> DataFrame:
-    """(u, v): a spanning forest, by id, of all links within the radius; nodes has id, fp and sketch, ids without repeats or nulls.
+def links(nodes: DataFrame, radius: int, least_tile: int = 512, most_tile: int = 1 << 18, tiles_wanted: int = 24) -> DataFrame:
+    """(u, v): a spanning forest, by id, of all links within the radius; nodes has id and fp, ids without repeats or nulls.
 
     Each node goes to as many tasks as its tile has near tiles: about tiles_wanted, until tiles reach most_tile rows; from there
     on tiles grow in number and no task compares more than two tiles of that size. Only the
-    number of fingerprints by quarter counts, at most 83,521 rows, comes to the driver. Sketches, unless empty, must be at least
-    so much alike.
+    number of fingerprints by quarter counts, at most 83,521 rows, comes to the driver.
     """
     spark = nodes.sparkSession
     counts = np.array([tuple(r) for r in nodes.groupBy(*quarters()).count().orderBy("q0", "q1", "q2", "q3").collect()], np.int64).reshape(-1, 5)
@@ -202,14 +163,14 @@ def links(nodes: DataFrame, radius: int, least: float = 0.0, least_tile: int = 5
     pairs = pd.DataFrame({"tile": np.concatenate([a, b[a != b]]), "a": np.concatenate([a, a[a != b]]), "b": np.concatenate([b, b[a != b]])})
     by_tile = pairs.groupby("tile")[["a", "b"]].agg(list).reset_index()
     tiled = (
-        nodes.select("id", "fp", "sketch", *quarters())
+        nodes.select("id", "fp", *quarters())
         .join(F.broadcast(spark.createDataFrame(layout)), ["q0", "q1", "q2", "q3"])
-        .select("id", "fp", "sketch", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("tile"))
+        .select("id", "fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("tile"))
     )
     placed = (
         tiled.join(F.broadcast(spark.createDataFrame(by_tile)), "tile")
-        .select("id", "fp", "sketch", "tile", F.explode(F.arrays_zip("a", "b")).alias("p"))
-        .select("id", "fp", "sketch", "p.a", "p.b", (F.col("tile") == F.col("p.a")).alias("is_a"))
+        .select("id", "fp", "tile", F.explode(F.arrays_zip("a", "b")).alias("p"))
+        .select("id", "fp", "p.a", "p.b", (F.col("tile") == F.col("p.a")).alias("is_a"))
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -217,11 +178,9 @@ def links(nodes: DataFrame, radius: int, least: float = 0.0, least_tile: int = 5
         same = table.num_rows > 0 and table["a"][0] == table["b"][0]
         order = np.argsort(~is_a, kind="stable")
         ids, fp = table["id"].to_numpy()[order], table["fp"].to_numpy()[order].view(np.uint64)
-        known = b"".join(table["sketch"].take(order).to_pylist())
-        held = np.frombuffer(known, np.uint8).reshape(len(ids), -1) if known else None
         n = int(is_a.sum())
         if same or 0 < n < len(ids):
-            u, v = forest(fp if same else fp[:n], None if same else fp[n:], radius, held, least)
+            u, v = forest(fp if same else fp[:n], None if same else fp[n:], radius)
         else:
             u = v = np.zeros(0, np.int64)
         return pa.table({"u": ids[u], "v": ids[v]})
@@ -237,9 +196,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
     copies cost one row. Rows with a null key keep their fingerprint; their component is the least key that is not null, if any.
     Repeated rows are all returned. Empty table: no rows.
     """
-    prints = checkpoint(fingerprints(docs, words, key, text).drop("sketch"))
+    prints = checkpoint(fingerprints(docs, words, key, text))
     nodes = checkpoint(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = components(links(nodes.select(F.col("fp").alias("id"), "fp", F.lit(b"").alias("sketch")), radius))
+    roots = components(links(nodes.select(F.col("fp").alias("id"), "fp"), radius))
     marked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = marked.groupBy("root").agg(F.min("least").alias("component"))
     by_print = marked.join(names, "root").select("fp", "component")
@@ -253,8 +212,11 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     hashes of shingles) and complete; fingerprints take no part, because at a similarity of 0.8 they differ in about 10 bits and
     a sixth of such pairs in more than 12. Groups are what such links connect. Rows are told apart by doc_id and text: of rows
     that repeat both one stays, and of rows that share a doc_id and are linked that with the least hash of its text. Null and
-    empty texts, and texts without words, are one group. Rows with a null doc_id take no part and stay. Empty table: no rows.
+    empty texts, and texts without words, are one group. Rows with a null doc_id take no part and stay. Texts of any length are taken
+    whole. doc_id must be a whole number. Empty table: no rows.
     """
+    if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError("keep_one tells documents apart by whole numbers in doc_id")
     id_, mark = unused(docs, "_id"), unused(docs, "_mark")
     own = docs.where("doc_id is not null").withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
     known = own.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.col(mark).alias("mark")).alias("key"), "text")

@@ -52,3 +52,14 @@ def test_few_candidates_and_empty_table(spark):
     rows = ann.search(indexed, indexed.where("key = 0"), 20).collect()
     assert sorted((r.rank, r.vec_id) for r in rows) == [(1, 1), (2, 2), (3, 3)]
     assert ann.search(ann.index(few.limit(0), 2), indexed, 20).count() == 0
+
+
+def test_ids_of_other_widths_and_repeated_ones(spark):
+    rng = np.random.default_rng(2)
+    data = [[float(x) for x in v] for v in rng.normal(size=(30, 64))]
+    rows = [(i, v) for i, v in enumerate(data)] + [(3, data[9]), (3, data[3])]
+    indexed = ann.index(spark.createDataFrame(rows, "vec_id int, embedding array<double>").repartition(3), dim=64)
+    found = {(r.query_id, r["rank"]): r.vec_id for r in ann.search(indexed, indexed.where("key = 7"), k=29).collect()}
+    kept = dict(enumerate(data)) | {3: min(data[3], data[9])}
+    expected = sorted((-float(np.dot(v, data[7])), i) for i, v in kept.items() if i != 7)
+    assert [found[7, r + 1] for r in range(29)] == [i for _, i in expected]

@@ -86,18 +86,6 @@ def jaccard(a, b):
     return len(one & two) / len(one | two) if one | two else 1.0
 
 
-def test_sketches_estimate_similarity():
-    rng = random.Random(8)
-    for n in (40, 400, 4000):
-        words = [str(rng.randrange(10**6)) for _ in range(n)]
-        for changes in (0, n // 200, n // 50, n // 10):
-            copy = list(words)
-            for i in rng.sample(range(n), changes):
-                copy[i] = "x"
-            a, b = (np.frombuffer(simhash.sketch(simhash.shingles(" ".join(w).encode(), 5)), np.uint8)[None] for w in (words, copy))
-            assert abs(simhash.alike(a, b)[0] - jaccard(" ".join(words), " ".join(copy))) < (0.25 if n < 100 else 0.1)
-
-
 def test_keep_one_of_each_group(spark):
     rng = random.Random(4)
     rows = []
