@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from uuid import uuid4
@@ -60,6 +61,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Let the driver collect what it no longer refers to; Spark then removes the shuffle files of steps that are written and done with."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: What frees the caches that operators keep in this Python worker from task to task, by operator.
 CACHES: dict[str, Callable[[], None]] = {}
 

@@ -15,11 +15,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 from xxhash import xxh64_intdigest
 
 from quern.llm import similar
 from quern.llm.common import checkpoint, slices, unused, utf8
 from quern.llm.components import components
+from quern.llm.repeats import bitmap
 
 #: Rows of the blocks in which a task compares two tiles.
 BLOCK = 1024
@@ -221,7 +223,19 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     own = docs.where("doc_id is not null").withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
     known = own.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.col(mark).alias("mark")).alias("key"), "text")
     sets, roots = similar.groups(known, lambda text: np.unique(shingles(text, words)), least)
-    placed = sets.join(roots, sets["set"] == roots["node"], "left").select("key", F.coalesce("root", "set").alias("root"))
-    kept = placed.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.id").alias(id_), F.col("key.mark").alias(f"{id_}_mark"))
-    left = own.join(kept, (own["doc_id"] == kept[id_]) & (own[mark] == kept[f"{id_}_mark"]), "left_semi").dropDuplicates(["doc_id", mark])
+    kept = sets.join(roots, sets["set"] == roots["node"], "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("key").alias("key"))
+    counted = checkpoint(known.groupBy("key").agg(F.count("*").alias("n")).join(kept.select("key", F.lit(True).alias("stays")), "key", "left"))
+    gone, twice = counted.where("stays is null").select("key"), counted.where("stays and n > 1").select("key")
+    looked = docs.sparkSession.sparkContext.broadcast(bitmap(gone.union(twice).select(F.xxhash64("key").alias("h"))))
+
+    @F.pandas_udf(BooleanType())
+    def may_go(h: pd.Series) -> pd.Series:
+        return pd.Series(looked.value.has(h.to_numpy()))
+
+    key = F.struct(F.col("doc_id").cast("long").alias("id"), F.col(mark).alias("mark"))
+    asked = own.withColumn(id_, may_go(F.xxhash64(key)))  # most rows stay where they are; only those that may go are shuffled
+    keys = gone.select(F.col("key.id").alias(f"{id_}_id"), F.col("key.mark").alias(f"{id_}_mark"))
+    rest = asked.where(F.col(id_)).drop(id_)
+    rest = rest.join(keys, (rest["doc_id"] == keys[f"{id_}_id"]) & (rest[mark] == keys[f"{id_}_mark"]), "left_anti").dropDuplicates(["doc_id", mark])
+    left = asked.where(~F.col(id_)).drop(id_).unionByName(rest)
     return left.drop(mark).unionByName(docs.where("doc_id is null"))
