@@ -246,13 +246,25 @@ def key_columns(rows: DataFrame, columns: list[str], least: float = 0.8) -> Data
 
 
 def group_columns(rows: DataFrame, order: list[str], columns: list[str], by: str) -> DataFrame:
-    """(by, column_name, changes): of each table, columns whose value changes from row to row in at most half of its rows, with two values at least."""
-    inside = W.partitionBy(by).orderBy(*order)
+    """(by, column_name, changes): of each table, columns whose value changes from row to row in at most half of its rows, with two values at least.
+
+    The rows of a table are dealt out in ranges of their order, so a table of any size is spread over tasks: changes are counted
+    inside of ranges, and the last row of each range is compared with the first of the next. Rows that tie in order have no order.
+    """
+    ranged = settled(rows.select(by, *order, *[c for c in columns if c not in order]).repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()))
+    inside = W.partitionBy("_part", by).orderBy(*order)
     flags = [((F.row_number().over(inside) > 1) & ~F.lag(c).over(inside).eqNullSafe(F.col(c))).cast("int").alias(f"_c{i}") for i, c in enumerate(columns)]
-    marked = rows.select(by, *[F.col(c) for c in columns], *flags)
-    sums = marked.groupBy(by).agg(F.count("*").alias("_n"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(columns))], *[F.count_distinct(c).alias(f"_d{i}") for i, c in enumerate(columns)])
-    told = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_c{i}").alias("changes"), F.col(f"_d{i}").alias("_d")) for i, c in enumerate(columns)])
-    found = sums.select(by, "_n", F.explode(told).alias("x")).select(by, "_n", "x.*")
+    here = ranged.select(by, *flags).groupBy(by).agg(F.count("*").alias("_n"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(columns))])
+    row, at = F.struct(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)]), F.struct(*order)
+    ends = ranged.groupBy(by, "_part").agg(F.min_by(row, at).alias("_first"), F.max_by(row, at).alias("_last"))  # a row for each table and range
+    before = F.lag("_last").over(W.partitionBy(by).orderBy("_part"))
+    borders = ends.select(by, before.isNotNull().alias("_b"), before.alias("_l"), "_first").where("_b")
+    borders = borders.groupBy(by).agg(*[F.count_if(~F.col(f"_l._v{i}").eqNullSafe(F.col(f"_first._v{i}"))).alias(f"_b{i}") for i in range(len(columns))])
+    told = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns]
+    values = ranged.select(by, F.explode(F.array(*told)).alias("x")).select(by, "x.*").where("v is not null").distinct().groupBy(by, "column_name").agg(F.count("*").alias("_d"))
+    sums = here.join(borders, by, "left")
+    changes = F.array(*[F.struct(F.lit(c).alias("column_name"), (F.col(f"_c{i}") + F.coalesce(F.col(f"_b{i}"), F.lit(0))).alias("changes")) for i, c in enumerate(columns)])
+    found = sums.select(by, "_n", F.explode(changes).alias("x")).select(by, "_n", "x.*").join(values, [by, "column_name"])
     return found.where((F.col("changes") * 2 <= F.col("_n")) & (F.col("_d") >= 2)).select(by, "column_name", "changes")
 
 

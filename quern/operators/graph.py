@@ -108,6 +108,40 @@ def paths(edges: DataFrame, start: str, target: str, hops: int, most: int, per_h
     return told.orderBy(F.desc("score"), "hops", "path").limit(most)
 
 
+def ranked_paths(edges: DataFrame, start: str, hints: list[str], hops: int = 3, per_hop: int = 200, most: int = 5, fewest: int = 1) -> DataFrame:
+    """(place, path, hops, transfers, hits, score, truncated) of the best paths from a table to any other, over joins and lineage.
+
+    edges has src, src_column, dst, dst_column, kind (join or lineage), confidence and origin, and is followed both ways; lineage
+    without columns leads nowhere. A path's score is the product of its confidences, times 0.5 for each lineage step and 0.9 for each
+    step but the first, and times 1.5 if it ends at one of the hints, which bind nothing. No table comes twice on a path. Of the paths
+    of so many steps the best per_hop are followed, ties go by the whole sequence of steps; paths of fewer than `fewest` steps are not
+    told. truncated: a step had more paths than were followed, or more paths were found than are told.
+    """
+    known = edges.where("kind <> 'lineage' or (coalesce(src_column, '') <> '' and coalesce(dst_column, '') <> '')")
+    worth = F.col("confidence") * F.when(F.col("kind") == "lineage", 0.5).otherwise(1.0)
+    step = lambda a, b, turned: F.struct("kind", F.col(a).alias("enter"), F.col(f"{a}_column").alias("enter_column"), F.col(b).alias("leave"), F.col(f"{b}_column").alias("leave_column"), F.lit(turned).alias("turned"), "origin")
+    ways = known.select(F.col("src").alias("at"), step("src", "dst", False).alias("step"), worth.alias("worth")).union(known.select("dst", step("dst", "src", True), worth)).where("at <> step.leave")
+    hit = F.array_contains(F.lit(list(hints)).cast("array<string>"), F.col("at"))
+    front, found, cut = None, None, F.lit(False)
+    for turn in range(hops):
+        if front is None:
+            longer = ways.where(F.col("at") == start).select(F.array("step").alias("steps"), F.array(F.lit(start), "step.leave").alias("path"), F.col("step.leave").alias("at"), F.col("worth").alias("score"))
+        else:
+            met = front.join(ways, "at").where(~F.array_contains("path", F.col("step.leave")))
+            longer = met.select(F.concat("steps", F.array("step")).alias("steps"), F.concat("path", F.array("step.leave")).alias("path"), F.col("step.leave").alias("at"), (F.col("score") * F.col("worth") * 0.9).alias("score"))
+        order = [F.desc(F.col("score") * F.when(hit, 1.5).otherwise(1.0)), F.col("steps")]
+        best = settled(longer.orderBy(*order).limit(per_hop + 1))  # one more tells whether there are more
+        cut = cut | F.lit(best.count() > per_hop)
+        front = settled(best.orderBy(*order).limit(per_hop))
+        found = front if found is None else found.union(front)
+    told = found.where(F.size("steps") >= fewest).select("path", "steps", hit.alias("hits"), F.round(F.col("score") * F.when(hit, 1.5).otherwise(1.0), 6).alias("score"))
+    told = settled(told)
+    cut = cut | F.lit(told.count() > most)
+    place = F.row_number().over(W.orderBy(F.desc("score"), "steps"))  # at most hops times per_hop rows
+    transfers = F.size(F.filter("steps", lambda x: x["kind"] == "lineage"))
+    return told.withColumn("place", place).where(F.col("place") <= most).select("place", F.array_join("path", ">").alias("path"), F.size("steps").alias("hops"), transfers.alias("transfers"), "hits", "score", cut.alias("truncated"))
+
+
 def propagated(edges: DataFrame, marks: DataFrame, pins: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
     """(node, level): the greatest level of any node that reaches it along the edges; marks has node and level, and so have pins,
     whose nodes keep the level they are given. Rounds go on until nothing rises; levels are few, so that ends soon.

@@ -321,11 +321,14 @@ query(
 
 @query("path_search")
 def path_search(t: Tables) -> DataFrame:
+    """The best paths from the first nation of a region over suppliers (joins) and customers' segments (lineage)."""
+    edge = lambda rows, a, b, kind, confidence: rows.select(F.col(a).alias("src"), F.lit("k").alias("src_column"), F.col(b).alias("dst"), F.lit("k").alias("dst_column"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit("declared").alias("origin")).distinct()
     rows = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    up = rows.select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"), F.lit(1.0).alias("weight"))
-    across = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("src"), F.col("n_name").alias("dst"), F.lit(0.8).alias("weight"))
+    edges = edge(rows, "n_name", "r_name", "join", 1.0)
+    edges = edges.union(edge(t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")), "s_name", "n_name", "join", 0.8))
+    edges = edges.union(edge(t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")), "c_mktsegment", "n_name", "lineage", 0.9))
     names = [r.n_name for r in t("nation").where("n_regionkey = 1").orderBy("n_nationkey").select("n_name").limit(2).collect()]
-    return graph.paths(up.union(across), names[0], names[1], 3, 5)
+    return graph.ranked_paths(edges, names[0], names[1:], 3, 200, 12, 2)
 
 
 # Text and retrieval

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import identity, increments, judging, scope
+from quern.operators import identity, increments, judging, nested, scope
 from quern.registry import Tables, query
 from quern.streaming import sink
 
@@ -218,3 +218,28 @@ def sink_totals(t: Tables) -> DataFrame:
     for number in (0, 1, 2, 1, 3, 0):
         made.write(rows.where(F.col("event_id") % 4 == number), number)
     return made.totals(rows.sparkSession).select("day", F.round("tokens", 2).alias("tokens"), "calls")
+
+
+@query(
+    "lines_unnested",
+    "SELECT l_orderkey, l_partkey AS part, p_brand, l_quantity AS quantity, nullif(l_returnflag, 'N') AS flag FROM lineitem JOIN part ON l_partkey = p_partkey",
+)
+def lines_unnested(t: Tables) -> DataFrame:
+    """The lines of each order as JSON, taken apart again and joined with their parts."""
+    flag = F.when(F.col("l_returnflag") == "N", " ").otherwise(F.col("l_returnflag"))
+    lines = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), flag.alias("flag"), "l_linenumber", "l_extendedprice")
+    whole = nested.built(lines, "l_orderkey", ["part", "quantity", "flag"], ["l_linenumber", "part", "l_extendedprice"])
+    flat = nested.unnested(whole, "items", "part bigint, quantity double, flag string")
+    return flat.join(t("part").select(F.col("p_partkey").alias("part"), "p_brand"), "part").select("l_orderkey", "part", "p_brand", "quantity", "flag")
+
+
+@query(
+    "objects_salvaged",
+    "WITH l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem) "
+    "SELECT l_orderkey, (n - 1)::INT AS position, '{\"part\":' || l_partkey || '}' AS object FROM l WHERE n < c",
+)
+def objects_salvaged(t: Tables) -> DataFrame:
+    """The lines of each order as JSON that was cut off inside of the last object."""
+    lines = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("part"), "l_linenumber", "l_extendedprice")
+    whole = nested.built(lines, "l_orderkey", ["part"], ["l_linenumber", "part", "l_extendedprice"])
+    return nested.salvaged(whole.select("l_orderkey", F.expr("left(items, length(items) - 2)").alias("items")), "items").select("l_orderkey", "position", "object")
