@@ -55,3 +55,15 @@ def split_name(name: Column) -> Column:
 def due(created: Column, days: Column, now: Column) -> Column:
     """Whether something has outlived its days; none or zero days never end."""
     return F.when((days > 0), created.cast("timestamp") + F.make_interval(days=days.cast("int")) <= now.cast("timestamp")).otherwise(F.lit(False))
+
+
+def norm_number(text: Column) -> Column:
+    """A value as scalars are compared: null is empty, numbers in one form (10, 10.0 and 1e1 are equal), anything else trimmed as it is."""
+    bare = F.trim(F.coalesce(text.cast("string"), F.lit("")))
+    whole = F.regexp_replace(F.regexp_replace(bare.cast("string"), r"^\+", ""), r"^(-?)0+(?=[0-9])", "$1")
+    plain = F.when(F.contains(whole, F.lit(".")), F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, r"^(-?)\.", "$10."), r"0+$", ""), r"\.$", "")).otherwise(whole)
+    plain = F.when(plain == "-0", "0").otherwise(plain)
+    power = bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]{1,2}$")
+    as_decimal = bare.try_cast("decimal(38,18)").cast("string")
+    tidy = F.regexp_replace(F.regexp_replace(as_decimal, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), plain).when(power, F.coalesce(F.when(tidy == "-0", "0").otherwise(tidy), bare)).otherwise(bare)

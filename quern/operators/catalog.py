@@ -100,6 +100,16 @@ def orphan_edges(edges: DataFrame, columns: DataFrame) -> DataFrame:
     return edges.join(both, edges.columns, "left_anti")
 
 
+def with_stale(edges: DataFrame, now: str, days: int = 30) -> DataFrame:
+    """edges (origin, last_seen_at, ...) with `stale`: whether a machine's edge was not seen for more than so many days; what people say does not age.
+
+    0 days: nothing is stale. An edge without a time, or with one that cannot be read, is not stale either.
+    """
+    seen = F.try_to_timestamp(F.col("last_seen_at").cast("string"))
+    late = (F.col("origin") == "platform") & (seen < F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
+    return edges.withColumn("stale", F.coalesce(late, F.lit(False)) if days > 0 else F.lit(False))
+
+
 def roll_up(assets: DataFrame, by: str, kind: str, kinds: list[str], owner: str, most: int) -> DataFrame:
     """(by, assets, one column for each kind, owners): counts by domain, and its owners with most assets, then by name."""
     counts = assets.groupBy(by).agg(F.count("*").alias("assets"), *[F.count_if(F.col(kind) == k).alias(f"n_{k.lower()}") for k in kinds])

@@ -20,6 +20,19 @@ def unmanaged(rows: DataFrame, managed: DataFrame, key: str, order: list[Column]
     return rows.join(managed.select(key).distinct(), key, "left_anti").orderBy(*order).limit(most)
 
 
+def without_signature(docs: DataFrame, signatures: DataFrame, most: int) -> DataFrame:
+    """Ready documents (id, status, is_deleted, created_at) that were never tried for a signature (document_id), oldest first, at most so many."""
+    ready = docs.where("status = 'ready' and is_deleted = 0")
+    return ready.join(signatures.select(F.col("document_id").alias("id")).distinct(), "id", "left_anti").orderBy("created_at", "id").limit(most)
+
+
+def tried_again(docs: DataFrame, signatures: DataFrame, now: str, seconds: int, most: int) -> DataFrame:
+    """Ready documents whose signature (document_id, simhash, updated_at) was tried, gave none, and is older than so many seconds, oldest first."""
+    old = signatures.where(F.col("simhash").isNull() & (F.col("updated_at") < F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(seconds))))
+    ready = docs.where("status = 'ready' and is_deleted = 0")
+    return ready.join(old.select(F.col("document_id").alias("id"), "updated_at"), "id").orderBy("updated_at", "id").select(*docs.columns).limit(most)
+
+
 def in_scope(links: DataFrame, scope: DataFrame, record: str, source: str) -> DataFrame:
     """(record) of records all of whose sources are in scope; links is (record, source)."""
     marked = links.join(scope.select(source).distinct().withColumn("_in", F.lit(True)), source, "left")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import identity, increments, judging, nested, scope
+from quern.functions import scalar
+from quern.operators import catalog, identity, increments, judging, nested, repository, scope
 from quern.registry import Tables, query
 from quern.streaming import sink
 
@@ -243,3 +244,27 @@ def objects_salvaged(t: Tables) -> DataFrame:
     lines = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("part"), "l_linenumber", "l_extendedprice")
     whole = nested.built(lines, "l_orderkey", ["part"], ["l_linenumber", "part", "l_extendedprice"])
     return nested.salvaged(whole.select("l_orderkey", F.expr("left(items, length(items) - 2)").alias("items")), "items").select("l_orderkey", "position", "object")
+
+
+query(
+    "edges_stale",
+    "SELECT o_orderkey, (o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '2001-01-01' - INTERVAL 400 DAY) AS stale FROM orders",
+)(
+    lambda t: catalog.with_stale(t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "platform").otherwise("manual").alias("origin"), F.col("o_orderdate").cast("string").alias("last_seen_at")), "2001-01-01 00:00:00", 400).select("o_orderkey", "stale")
+)
+query(
+    "documents_without_signature",
+    "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY o_orderdate, o_orderkey LIMIT 100",
+)(
+    lambda t: repository.without_signature(
+        t("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("new").alias("status"), F.lit(0).alias("is_deleted"), F.col("o_orderdate").alias("created_at")),
+        t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("document_id")), 100,
+    ).select("id")
+)
+query(
+    "scalars_equal",
+    "SELECT count(*) AS n, count(DISTINCT l_quantity::INT) AS different, 0 AS apart FROM lineitem",
+)(
+    lambda t: t("lineitem").select(scalar.norm_number(F.col("l_quantity").cast("string")).alias("a"), scalar.norm_number(F.concat(F.lit("+0"), F.col("l_quantity").cast("int").cast("string"), F.lit(".000"))).alias("b"))
+    .agg(F.count("*").alias("n"), F.count_distinct("a").alias("different"), F.count_if(F.col("a") != F.col("b")).cast("int").alias("apart"))
+)

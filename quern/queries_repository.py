@@ -152,13 +152,13 @@ query(
     "axiom_conflicts",
     f"WITH {_PARTS} SELECT 'functional' AS kind, s, 'made by' AS detail FROM f WHERE p = 'made by' GROUP BY s HAVING count(DISTINCT o) > 1 UNION ALL SELECT 'disjoint', s, 'ECONOMY,PROMO' FROM f WHERE p = 'is a' GROUP BY s HAVING bool_or(o = 'ECONOMY') AND bool_or(o = 'PROMO')",
 )(lambda t: repository.axiom_conflicts(part_facts(t), ["made by"], [("ECONOMY", "PROMO")]))
-_LINKS = "l AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R'), p AS (SELECT p_partkey AS page FROM part WHERE p_size > 3)"
+_LINKS = "l AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 4), p AS (SELECT p_partkey AS page FROM part WHERE p_size > 3)"
 for _name, _side, _sql in (
     ("links_broken", 0, f"WITH {_LINKS} SELECT src, dst FROM l WHERE dst NOT IN (SELECT page FROM p)"),
     ("pages_orphaned", 1, f"WITH {_LINKS} SELECT page FROM p WHERE page NOT IN (SELECT dst FROM l WHERE src <> dst)"),
 ):
     query(_name, _sql)(
-        lambda t, side=_side: repository.broken_links(t("lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct(), t("part").where("p_size > 3").select(F.col("p_partkey").alias("page")))[side]
+        lambda t, side=_side: repository.broken_links(t("lineitem").where("l_returnflag = 'R' and l_quantity < 4").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct(), t("part").where("p_size > 3").select(F.col("p_partkey").alias("page")))[side]
     )
 
 # Graphs

@@ -64,3 +64,28 @@ def test_group_columns_over_ranges(spark):
             if 2 * changes <= len(own) and len({r[k] for r in own} - {None}) >= 2:
                 expected[t, name] = changes
     assert found == expected and found
+
+
+def test_numbers_in_one_form(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import scalar
+
+    groups = [["10", "10.0", "+10.00", "010", "1e1", " 10 "], ["0", "-0", "0.000", "+0", "0e5"], ["-1.5", "-01.50", "-15e-1"], [".5", "0.5", "00.50"], ["001x"], ["abc", " abc "], ["", None], ["1.2.3"], ["100"], ["12345678901234567890123"]]
+    rows = spark.createDataFrame([(i, v) for i, g in enumerate(groups) for v in g], "i int, v string").select("i", scalar.norm_number(F.col("v")).alias("n"))
+    told = {}
+    for r in rows.collect():
+        told.setdefault(r.i, set()).add(r.n)
+    assert all(len(s) == 1 for s in told.values()) and len({s for g in told.values() for s in g}) == len(groups)
+
+
+def test_stale_edges_and_signatures(spark):
+    from quern.operators import catalog, repository
+
+    edges = spark.createDataFrame([(1, "platform", "2024-01-01"), (2, "manual", "2020-01-01"), (3, "platform", None), (4, "platform", "soon"), (5, "platform", "2024-03-01T00:00:00")], "id int, origin string, last_seen_at string")
+    assert {r.id: r.stale for r in catalog.with_stale(edges, "2024-03-02").collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+    assert not catalog.with_stale(edges, "2024-03-02", 0).where("stale").count()
+    docs = spark.createDataFrame([(1, "ready", 0, "2024-01-02"), (2, "ready", 0, "2024-01-01"), (3, "new", 0, "2024-01-01"), (4, "ready", 1, "2024-01-01"), (5, "ready", 0, "2024-01-03")], "id int, status string, is_deleted int, created_at string")
+    signed = spark.createDataFrame([(5, None, "2024-01-01"), (1, 7, "2024-01-01")], "document_id int, simhash long, updated_at string").withColumn("updated_at", __import__("pyspark").sql.functions.to_timestamp("updated_at"))
+    assert [r.id for r in repository.without_signature(docs, signed, 9).collect()] == [2]
+    assert [r.id for r in repository.tried_again(docs, signed, "2024-01-02 00:00:01", 86_400, 9).collect()] == [5] and not repository.tried_again(docs, signed, "2024-01-01 10:00:00", 86_400, 9).count()
