@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import checkpoint
 
+#: Edges of a file that a round writes.
+EDGES = 200_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang each larger neighbour of a node under the least of the node and its neighbours."""
@@ -33,8 +36,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     u, v = edges.columns
     now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct()
     now, before = checkpoint(now), None
+    files = max(8, -(-now.count() // EDGES))  # no round has more edges than the first
     for _ in range(most_rounds):
-        now = checkpoint(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct())
+        now = checkpoint(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct().coalesce(files))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
