@@ -168,7 +168,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     """docs with the token ids of each text in the column `ids` and, if `decoded` names one, their bytes decoded again.
 
     Null texts count as empty and have no ids. Columns of docs with these names are replaced; all others stay.
-    path must be readable on every executor; each worker loads the vocabulary once.
+    path must be readable on every executor; each worker loads the vocabulary once. Texts of any length are encoded whole, in memory
+    of a few times the text's own size; repeated rows are all encoded. Empty table: no rows.
     """
     kept = docs.drop(*(x for x in (ids, decoded) if x and x != text))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name not in (ids, decoded)]
@@ -189,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """tokens with the bytes that the ids of each row stand for; null ids give empty bytes."""
+    """tokens with the bytes that the ids of each row stand for; null and empty ids give empty bytes, whatever their number. Empty table: no rows."""
     kept = tokens.drop(decoded)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), f"`{decoded}` binary"])
 

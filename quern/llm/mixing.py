@@ -134,7 +134,11 @@ def planned(docs: DataFrame, most_epochs: float = 2.0, seed: int = 1, **limits)
 
 
 def drawn(docs: DataFrame, most_epochs: float = 2.0, seed: int = 1) -> DataFrame:
-    """docs as often as the schedule has them, with their columns; each comes at least once."""
+    """docs as often as the schedule has them, with their columns; each comes at least once.
+
+    Rows that share source and doc_id are drawn together, each of them as often. Null and empty texts weigh one token; null sources
+    and ids are values of their own; a very long text is one unit and never cut. Empty table: no rows.
+    """
     source, id_, times, turn = (unused(docs, c) for c in ("_source", "_id", "_times", "_turn"))
     plan = planned(docs, most_epochs, seed).groupBy(F.col("source").alias(source), F.col("doc_id").alias(id_)).agg(F.count("*").cast("int").alias(times))
     joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan[id_]) & docs["source"].eqNullSafe(plan[source]))

@@ -174,6 +174,11 @@ def scored(docs: DataFrame, net: Network, text: str = "text", column: str = "sco
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score at least the threshold, with the columns of docs."""
+    """The rows of docs that score at least the threshold, with the columns of docs.
+
+    Each row is judged by its whole text, however long, and for itself: repeated rows stay or go together, rows of one doc_id each by
+    their own text. Null and empty texts score alike. A null doc_id is no reason to go. Without labels every row scores one half and
+    stays. Empty table: no rows.
+    """
     column = unused(docs, "_quality")
     return scored(docs, fit(docs, labels), column=column).where(F.col(column) >= threshold).drop(column)

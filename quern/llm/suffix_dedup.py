@@ -215,6 +215,8 @@ def shortened(docs: DataFrame, window: int = 100) -> DataFrame:
     """docs, with all their columns whatever their names, texts without what stood earlier; documents of which nothing is left go.
 
     Where a removal cuts a character in two, the bytes of it that are left go too. n_chars, if there, tells the new length.
+    Null texts become empty ones and stay; of rows that repeat the first keeps its text and the others go, if it is long enough.
+    Texts of any length are read whole. Empty table: no rows.
     """
     whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     left = removed(whole, window, as_text=True).where((F.length("kept") > 0) | (F.col("n_removed") == 0))
