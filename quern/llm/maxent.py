@@ -218,12 +218,17 @@ def step(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], z: np
     np.exp(z, out=z)
     z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
     z[np.arange(len(z)), chosen] -= 1
-    size, flat, columns = np.einsum("ij,ij->i", z, z), weights.reshape(-1), np.arange(z.shape[1])
-    for r in rows:
-        np.add.at(squares, r, size)
-    for r in rows:
-        change = z * (-rate / np.sqrt(squares[r] + 1.0))[:, None]
-        np.add.at(flat, (r[:, None] * z.shape[1] + columns).ravel(), change.ravel())
+    size = np.einsum("ij,ij->i", z, z)
+    sorted_ = []
+    for r in rows:  # what falls to one row of weights is added up first
+        order = np.argsort(r, kind="stable")
+        own = r[order]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        sorted_.append((order, starts, own[starts]))
+        squares[own[starts]] += np.add.reduceat(size[order], starts)
+    for r, (order, starts, own) in zip(rows, sorted_, strict=True):
+        change = (z * (-rate / np.sqrt(squares[r] + np.float32(1))).astype(np.float32)[:, None]).take(order, axis=0)
+        weights[own] += np.add.reduceat(change, starts, axis=0)
 
 
 def learn(weights: np.ndarray, squares: np.ndarray, priors: tuple[np.ndarray, np.ndarray], words: Lexicon, tokens: np.ndarray, bits: int, rate: float) -> int:
