@@ -25,7 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, on shingles of five words, the document with the least id.
+    """Of each group of near copies, by SimHash over shingles of five words and the sets themselves, the document with the least id.
 
     Null and empty texts are one group; rows with a null id stay; of rows that repeat id and text one stays. Empty table: no rows.
     """

@@ -205,12 +205,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
     return prints.join(by_print, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
     """docs without near copies: of each group the row with the least doc_id stays, with all its columns.
 
-    Linked are rows whose texts' sets of shingles have a Jaccard similarity of at least `least`, decided by the sets themselves (64-bit
-    hashes of shingles) and complete; fingerprints take no part, because at a similarity of 0.8 they differ in about 10 bits and
-    a sixth of such pairs in more than 12. Groups are what such links connect. Rows are told apart by doc_id and text: of rows
+    Linked are rows whose texts' sets of shingles have a Jaccard similarity of at least `least`, by the sets themselves (64-bit hashes
+    of shingles) and complete. SimHash fingerprints of the sets come first: those within `radius` bits are laid out and linked as in
+    near_duplicates(), each such link is decided by the sets, and only what they leave unconnected is looked for by the complete way
+    of similar.groups(), as at a similarity of 0.8 fingerprints differ in about 10 bits. Groups are what such links connect. Rows are told apart by doc_id and text: of rows
     that repeat both one stays, and of rows that share a doc_id and are linked that with the least hash of its text. Null and
     empty texts, and texts without words, are one group. Rows with a null doc_id take no part and stay. Texts of any length are taken
     whole. doc_id must be a whole number. Empty table: no rows.
@@ -220,7 +221,7 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     id_, mark = unused(docs, "_id"), unused(docs, "_mark")
     own = docs.where("doc_id is not null").withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
     known = own.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.col(mark).alias("mark")).alias("key"), "text")
-    sets, roots = similar.groups(known, lambda text: np.unique(shingles(text, words)), least)
+    sets, roots = similar.groups(known, lambda text: np.unique(shingles(text, words)), least, fingerprint, lambda nodes: links(nodes, radius))
     placed = sets.join(roots, sets["set"] == roots["node"], "left").select("key", F.coalesce("root", "set").alias("root"))
     kept = placed.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.id").alias(id_), F.col("key.mark").alias(f"{id_}_mark"))
     left = own.join(kept, (own["doc_id"] == kept[id_]) & (own[mark] == kept[f"{id_}_mark"]), "left_semi").dropDuplicates(["doc_id", mark])

@@ -1,6 +1,7 @@
 """Links between texts whose sets of shingles have at least some Jaccard similarity, complete and exact.
 
-Candidates come from a prefix filter: of two sets that are so much alike, the first few shingles of each in any common order have
+Candidates come from SimHash first: sets whose fingerprints lie within a radius, decided by the sets themselves. What these do not
+connect comes from a prefix filter, as fingerprints of sets at the limit lie too far apart: of two sets that are so much alike, the first few shingles of each in any common order have
 one in common. The order puts shingles that a sample of the texts has found often last; it decides how many candidates there are,
 not which links are found. A candidate is dropped if parities of the sets prove that too many shingles differ, and else decided by
 the sets themselves. Only links that connect something new are looked for. Each set is first compared with the least set of its
@@ -194,11 +195,25 @@ def tiled(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return placed.groupBy("h", "a", "b").applyInArrow(run, "u long, v long").distinct()
 
 
-def groups(docs: DataFrame, cut, least: float) -> tuple[DataFrame, DataFrame]:
+def by_fingerprint(sets: DataFrame, close) -> DataFrame:
+    """(u, v), u < v, of sets (set, fp) that fingerprints propose: those close() connects, and of equal ones each with the least."""
+    nodes = checkpoint(sets.groupBy("fp").agg(F.min("set").alias("id")))
+    same = sets.join(nodes, "fp").where("set <> id").select(F.col("id").alias("u"), F.col("set").alias("v"))
+    return checkpoint(close(nodes.select("id", "fp")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(same).distinct())
+
+
+def apart_in(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (u, v) that roots (node, root) do not connect."""
+    now = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"_{x}"))
+    return pairs.join(now("u"), "u", "left").join(now("v"), "v", "left").where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
+
+
+def groups(docs: DataFrame, cut, least: float, fingerprint, close) -> tuple[DataFrame, DataFrame]:
     """(set, key) of each different set in docs (key struct<id, mark: long>, text), with its least key, and (node, root) of all that are linked.
 
-    cut makes the sorted different hashes of a text; sets of a similarity of at least `least` are linked, equal ones are one from
-    the start. What is shuffled are (1 - least) of all shingles, and the texts that have candidates.
+    cut makes the sorted different hashes of a text, fingerprint 64 bits of them, and close the links (u, v) of nodes (id, fp) within
+    its radius; sets of a similarity of at least `least` are linked, equal ones are one from the start. What is shuffled are
+    (1 - least) of all shingles, and the texts that have candidates.
     """
     texts = docs.select("key", "text")
     shared = docs.sparkSession.sparkContext.broadcast(frequent(texts, cut))
@@ -213,15 +228,16 @@ def groups(docs: DataFrame, cut, least: float) -> tuple[DataFrame, DataFrame]:
                 own = name(hashes)
                 first = own not in met
                 met.add(own)
-                found.append((own, len(hashes), parity(hashes) if first else None, prefix(hashes, marks, counts, least).view(np.int64) if first else None))
+                bits = fingerprint(hashes) if first else None
+                found.append((own, len(hashes), parity(hashes) if first else None, prefix(hashes, marks, counts, least).view(np.int64) if first else None, bits if bits is None else bits - (bits >> 63 << 64)))
             if len(met) > 1_000_000:
                 met.clear()
-            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "set", "n", "parity", "prefix"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "set", "n", "parity", "prefix", "fp"])
 
-    rows = checkpoint(texts.mapInArrow(run, "key struct<id: long, mark: long>, set long, n long, parity binary, prefix array<long>"))
+    rows = checkpoint(texts.mapInArrow(run, "key struct<id: long, mark: long>, set long, n long, parity binary, prefix array<long>, fp long"))
     shared.destroy()
-    firstly = [F.min("key").alias("key"), F.max("n").alias("n"), F.max("parity").alias("parity"), F.max("prefix").alias("prefix")]
+    firstly = [F.min("key").alias("key"), F.max("n").alias("n"), F.max("parity").alias("parity"), F.max("prefix").alias("prefix"), F.max("fp").alias("fp")]
     whole = checkpoint(rows.groupBy("set").agg(*firstly))
     sets, once = whole.drop("prefix"), whole.select("set", "n", "prefix")
     again = once.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -243,8 +259,13 @@ def groups(docs: DataFrame, cut, least: float) -> tuple[DataFrame, DataFrame]:
     lists = checkpoint(posts.join(firsts, "h"))
     good = can_be(F.col("first.n"), F.col("first.at"), F.col("n"), F.col("at"), least)
     tried = lists.where(good & (F.col("first.set") != F.col("set"))).select(F.col("first.set").alias("u"), F.col("set").alias("v")).distinct()
+    proposed = by_fingerprint(sets.select("set", "fp"), close)
+    released(docs.sparkSession)
+    links = confirmed(held(proposed, sets, least), sets, texts, cut, least)
+    tried = checkpoint(apart_in(tried, components(links)).join(proposed, ["u", "v"], "left_anti"))
     released(docs.sparkSession)
-    links = confirmed(held(tried, sets, least), sets, texts, cut, least)
+    links = links.union(confirmed(held(tried, sets, least), sets, texts, cut, least))
+    tried = checkpoint(tried.union(proposed))
     roots = components(links)
     placed = lists.join(roots, lists["set"] == roots["node"], "left").select("h", "set", "n", "at", F.coalesce("root", "set").alias("root"))
     for turn in range(TURNS + 1):

@@ -154,3 +154,16 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, cell, small, tile):
                 group = [new if g == old else g for g in group]
     kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     assert 100 < pairs < 4000 and len(set(group)) > 10 and sorted(kept) == sorted(set(group))
+
+
+def test_keep_one_asks_fingerprints_first(spark, monkeypatch):
+    """Near copies within the radius are proposed by fingerprints and decided by sets; what lies further apart is found all the same."""
+    rng, rows = random.Random(5), []
+    for i in range(20):
+        words = [f"w{rng.randrange(9000)}" for _ in range(400)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words[:-1], "end"])), (3 * i + 2, " ".join(words[:355] + ["x"] * 10))]
+    asked, proposed, of = [], [], similar.by_fingerprint
+    monkeypatch.setattr(simhash, "links", lambda nodes, radius, plain=simhash.links: asked.append(radius) or plain(nodes, radius))
+    monkeypatch.setattr(similar, "by_fingerprint", lambda sets, close: proposed.append(of(sets, close)) or proposed[0])
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert asked == [4] and proposed[0].count() >= 15 and sorted(kept) == [3 * i for i in range(20)]
