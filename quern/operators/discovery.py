@@ -78,3 +78,15 @@ def in_interval(rows: DataFrame, intervals: DataFrame, key: str, at: str, width:
     bin_of = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width)
     binned = intervals.where("first <= last").withColumn("_bin", F.explode(F.sequence(bin_of("first"), bin_of("last"))))
     return rows.withColumn("_bin", bin_of(at)).join(binned, [key, "_bin"]).where((F.col(at) >= F.col("first")) & (F.col(at) <= F.col("last"))).drop("_bin")
+
+
+def totals_in_interval(rows: DataFrame, intervals: DataFrame, key: str, at: str, name: str, value: str, width: int = 86_400) -> DataFrame:
+    """(name, n, total): how many rows (key, at, value) the intervals (key, first, last, name) of each name hold, and the sum of their values.
+
+    Rows of one key and time are added up before they meet intervals, and equal intervals meet them once, so the join grows with
+    the different times and intervals, not with rows times intervals. A name without rows is left out; null values add nothing.
+    """
+    points = rows.groupBy(key, at).agg(F.count("*").alias("_n"), F.sum(value).alias("_total"))
+    spans = intervals.select(key, "first", "last").distinct()
+    met = in_interval(points, spans, key, at, width).groupBy(key, "first", "last").agg(F.sum("_n").alias("_n"), F.sum("_total").alias("_total"))
+    return intervals.join(met, [key, "first", "last"]).groupBy(name).agg(F.sum("_n").alias("n"), F.sum("_total").alias("total"))

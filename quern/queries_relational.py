@@ -82,11 +82,11 @@ query(
     "WITH b AS (SELECT o_orderkey % 5 AS k, o_orderdate AS first, o_orderdate + INTERVAL 1 DAY AS last, o_orderkey AS batch FROM orders), u AS (SELECT l_orderkey % 5 AS k, l_shipdate AS seen_at, l_quantity FROM lineitem) "
     "SELECT batch, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM u JOIN b USING (k) WHERE seen_at BETWEEN first AND last GROUP BY 1",
 )(
-    lambda t: discovery.in_interval(
+    lambda t: discovery.totals_in_interval(
         t("lineitem").select((F.col("l_orderkey") % 5).alias("k"), F.col("l_shipdate").alias("at"), "l_quantity"),
         t("orders").select((F.col("o_orderkey") % 5).alias("k"), F.col("o_orderdate").alias("first"), F.expr("o_orderdate + interval 1 day").alias("last"), F.col("o_orderkey").alias("batch")),
-        "k", "at",
-    ).groupBy("batch").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+        "k", "at", "batch", "l_quantity",
+    ).select("batch", "n", F.round("total", 2).alias("quantity"))
 )
 query(
     "unlinkable_count",
