@@ -139,14 +139,81 @@ def signature(text: str | None, grams: int = 5, most: int = 200_000, key: bytes
     return int(np.packbits(bits * 2 > len(lanes), bitorder="little").view(np.uint64)[0]) & ((1 << 63) - 1)
 
 
+#: Different grams that a task remembers at most, and characters of texts whose grams are hashed together.
+GRAMS, TOGETHER = 200_000, 1 << 20
+
+
+def signatures_of(texts: list[str | None], known: dict[str, bytes], grams: int = 5, most: int = 200_000) -> list[int | None]:
+    """signature() of each text, each different gram of all of them hashed once; known remembers digests from call to call.
+
+    Grams are told apart by the numbers of their characters in the alphabet of the texts, which must fit into 64 bits together;
+    texts of larger alphabets are taken one by one.
+    """
+    plain = [" ".join(unicodedata.normalize("NFKC", t or "").split()).lower() for t in texts]
+    sizes = [len(p) - grams + 1 for p in plain]
+    codes = [np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32) for p, n in zip(plain, sizes, strict=True) if n > 0]
+    if not codes:
+        return [None] * len(texts)
+    alphabet, numbers = np.unique(np.concatenate(codes), return_inverse=True)
+    if len(alphabet) > 1 << (63 // grams):
+        return [signature(t, grams, most) for t in texts]
+    width = max(1, int(len(alphabet) - 1).bit_length())
+    marks = np.zeros(len(numbers) - grams + 1, np.uint64)
+    for i in range(grams):
+        marks = (marks << np.uint64(width)) | numbers[i : len(numbers) - grams + 1 + i].astype(np.uint64)
+    starts = np.cumsum([0, *map(len, codes)])[:-1]
+    inside = np.concatenate([np.arange(s, s + len(c) - grams + 1) for s, c in zip(starts, codes, strict=True)])
+    different, at, which = np.unique(marks[inside], return_index=True, return_inverse=True)
+    whole = "".join(p for p, n in zip(plain, sizes, strict=True) if n > 0)
+    if len(known) > GRAMS:
+        known.clear()
+    digests = []
+    for place in inside[at].tolist():
+        gram = whole[place : place + grams]
+        digest = known.get(gram)
+        if digest is None:
+            digest = known[gram] = hashlib.blake2b(gram.encode(), digest_size=16).digest()
+        digests.append(digest)
+    gates, lanes = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2).T
+    bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+    found, end = [], 0
+    for n in sizes:
+        own = which[end : end + max(0, n)]
+        end += max(0, n)
+        if n > most:
+            own = own[gates[own] < np.uint64(most * (1 << 64) // n)]
+        if not len(own):
+            found.append(None)
+            continue
+        sums = np.add.reduceat(bits[own], np.arange(0, len(own), 255), axis=0)  # eight counters in each number, of at most 255
+        set_bits = sums.view(np.uint8).sum(axis=0, dtype=np.int64)
+        found.append(int(np.packbits(set_bits * 2 > len(own), bitorder="little").view(np.uint64)[0]) & ((1 << 63) - 1))
+    return found
+
+
+def together(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs (start, end) of neighbours whose sizes add up to at most so much, or of one that is larger."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if sizes:
+        yield start, len(sizes)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, signature) of docs (doc_id, text)."""
+    """(doc_id, signature) of docs (doc_id, text). Each different gram of neighbouring texts is hashed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bytes] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([signature(t) for t in part.column(1).to_pylist()], pa.int64())], ["doc_id", "signature"])
+                texts = part.column(1).to_pylist()
+                made = [x for a, b in together([len(t or "") for t in texts], TOGETHER) for x in signatures_of(texts[a:b], known)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.int64())], ["doc_id", "signature"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, signature long")
 
@@ -155,7 +222,7 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
 
 
-def near(signed: DataFrame, queries: DataFrame, least: float, block: int = 2048, part: int = 65_536) -> DataFrame:
+def near(signed: DataFrame, queries: DataFrame, least: float, block: int = 16_384, part: int = 65_536) -> DataFrame:
     """(query_id, doc_id, similarity) of all pairs of a row of queries and another of signed (doc_id, signature) that are so similar.
 
     Both sides are dealt out in blocks of bounded size, and each pair of blocks is compared whole by exclusive-or and bit counts.
@@ -180,25 +247,61 @@ def near(signed: DataFrame, queries: DataFrame, least: float, block: int = 2048,
     return known.union(asked).groupBy("q", "c").applyInArrow(run, "query_id long, doc_id long, similarity double")
 
 
+def sharing(counts: DataFrame, sizes: DataFrame, asked: DataFrame, least: float) -> DataFrame:
+    """(a, b) of documents whose lines may agree to a share of `least`: a of asked (doc_id), b of all, both of counts (doc_id, _l, _n).
+
+    A line counts as often as a document repeats it. Of x lines of a at least least / (2 - least) must be in b, so b has one of the
+    first x less that number and one, in any order; the rarest lines are taken, so that lines of many texts bring few together.
+    """
+    share = least / (2 - least)
+    times = lambda rows: rows.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_k"), "_l").select("doc_id", F.xxhash64("_l", "_k").alias("_t"))
+    every = settled(times(counts).join(sizes, "doc_id"))
+    own = every.join(asked, "doc_id", "left_semi")
+    often = every.join(own.select("_t").distinct(), "_t", "left_semi").groupBy("_t").agg(F.count("*").alias("_often"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("_often", "_t"))
+    first = own.join(often, "_t").withColumn("_p", place).where(F.col("_p") <= F.col("_size") - F.ceil(share * F.col("_size") - 1e-9) + 1)
+    first = first.select(F.col("doc_id").alias("a"), "_t", F.col("_size").alias("_x"), "_p")
+    fits = (F.col("_size") >= share * F.col("_x") - 1e-6) & (F.col("_x") >= share * F.col("_size") - 1e-6)
+    return first.join(every.withColumnRenamed("doc_id", "b"), "_t").where(fits).select("a", "b").distinct()
+
+
 def alike(docs: DataFrame, queries: DataFrame, least: float = 0.8, most: int = 10) -> DataFrame:
     """(query_id, doc_id, similarity, ratio, rank): for each document of queries those most like it, at most so many.
 
-    Candidates are told by signatures down to 0.05 below `least`, and each is looked at again whole: ratio is twice the lines that
-    both have, repeats included, over all their lines. Greatest ratio first, then the greater id. Null ids take no part.
+    Two documents are compared if their signatures lie within 0.05 below `least` and their lines let the ratio reach it: ratio is
+    twice the lines that both have, repeats included, over all their lines. Greatest ratio first, then the greater id. Equal texts
+    are compared as one, and of those only as many ids as can be among the answers are looked at. Null ids take no part.
     """
-    known = settled(signatures(docs.where("doc_id is not null").dropDuplicates(["doc_id"])))
-    pairs = settled(near(known, known.join(queries.select("doc_id").distinct(), "doc_id", "left_semi"), max(0.0, least - 0.05)))
-    ids = pairs.select(F.col("query_id").alias("doc_id")).union(pairs.select("doc_id")).distinct()
-    lines = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("_l"))
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    text = F.coalesce("text", F.lit(""))
+    ids = settled(own.select("doc_id", F.sha2(text, 256).alias("_h")))
+    classes = settled(ids.groupBy("_h").agg(F.min("doc_id").alias("_c")))
+    named = settled(ids.join(classes, "_h").select("doc_id", "_c"))
+    single = settled(own.join(named.where("doc_id = _c").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"))
+    known = settled(signatures(single).where("signature is not null"))
+    asking = settled(named.join(queries.select("doc_id").distinct(), "doc_id", "left_semi"))
+    asked = asking.select(F.col("_c").alias("doc_id")).distinct()
+    lines = single.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("_l"))
     counts = settled(lines.groupBy("doc_id", F.sha2("_l", 256).alias("_l")).agg(F.count("*").alias("_n")))
-    sizes = counts.groupBy("doc_id").agg(F.sum("_n").alias("_size"))
+    sizes = settled(counts.groupBy("doc_id").agg(F.sum("_n").alias("_size")))
+    marked = lambda name: known.select(F.col("doc_id").alias(name), F.col("signature").alias(f"_s{name}"))
+    close = F.bit_count(F.col("_sa").bitwiseXOR(F.col("_sb")))
+    pairs = sharing(counts, sizes, asked, least).join(marked("a"), "a").join(marked("b"), "b")
+    pairs = settled(pairs.where(close <= int((1 - max(0.0, least - 0.05)) * 64 + 1e-9)).select("a", "b", (1 - close / F.lit(64.0)).alias("similarity")))
     side = lambda name, n: counts.select(F.col("doc_id").alias(name), "_l", F.col("_n").alias(n))
-    both = pairs.join(side("query_id", "_a"), "query_id").join(side("doc_id", "_b"), ["doc_id", "_l"])
-    shared = both.groupBy("query_id", "doc_id").agg(F.sum(F.least("_a", "_b")).alias("_both"))
-    told = pairs.join(shared, ["query_id", "doc_id"]).join(sizes.withColumnRenamed("_size", "_x"), "doc_id").join(sizes.select(F.col("doc_id").alias("query_id"), F.col("_size").alias("_y")), "query_id")
-    rated = told.withColumn("ratio", F.round(2 * F.col("_both") / (F.col("_x") + F.col("_y")), 6)).where(F.col("ratio") >= least)
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("ratio"), F.desc("doc_id")))
-    return rated.withColumn("rank", place).where(F.col("rank") <= most).select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"), "ratio", "rank")
+    both = pairs.where("a <> b").join(side("a", "_a"), "a").join(side("b", "_b"), ["b", "_l"])
+    shared = both.groupBy("a", "b").agg(F.sum(F.least("_a", "_b")).alias("_both"))
+    told = pairs.join(shared, ["a", "b"], "left").join(sizes.select(F.col("doc_id").alias("b"), F.col("_size").alias("_x")), "b").join(sizes.select(F.col("doc_id").alias("a"), F.col("_size").alias("_y")), "a")
+    ratio = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.round(2 * F.col("_both") / (F.col("_x") + F.col("_y")), 6))
+    rated = told.withColumn("ratio", ratio).where(F.col("ratio") >= least).select("a", "b", "similarity", "ratio")
+    turn = F.row_number().over(W.partitionBy("_c").orderBy(F.desc("doc_id")))
+    last = named.withColumn("_turn", turn).where(F.col("_turn") <= most + 1).select(F.col("_c").alias("b"), "doc_id")
+    place = lambda by: F.row_number().over(W.partitionBy(by).orderBy(F.desc("ratio"), F.desc("doc_id")))
+    best = settled(rated.join(last, "b").withColumn("_place", place("a")).where(F.col("_place") <= most + 1))  # one more, as the query itself may be among them
+    answers = best.join(asking.select(F.col("doc_id").alias("query_id"), F.col("_c").alias("a")), "a").where("query_id <> doc_id")
+    return answers.withColumn("rank", place("query_id")).where(F.col("rank") <= most).select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"), "ratio", "rank")
 
 
 def diverse(items: DataFrame, query: str, item: str, most: int, weight: float = 0.7) -> DataFrame:
