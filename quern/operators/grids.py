@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.operators.rounds import settled
+
 #: Letters of a cell that is too long for a name, and of one that is certainly prose; share of long cells in a header.
 LONG, PROSE, SHARE = 24, 40, 0.5
 #: Rows behind a note in which a header must begin; rows with text of a table that decide about it.
@@ -92,7 +94,8 @@ def grids(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     """(key, table_no, row_no, cells, written, merged, regions) of all outer tables in pages.
 
     written counts the cells that the row itself has; regions are those of merged cells that begin in the row. Tables are numbered
-    from 0 in each page. Null and empty pages have none; pages of any size are read whole, one by one.
+    from 0 in each page. Null and empty pages have none; pages of any size are read whole, one by one, and once: what is read is
+    written to the shared folder, as headers and rows are both taken from it.
     """
     schema = StructType([pages.schema[key], *StructType.fromDDL("table_no int, row_no int, cells array<string>, written int, merged boolean, regions array<array<int>>").fields])
 
@@ -111,7 +114,7 @@ def grids(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
                     kinds = (pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.list_(pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows))), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], schema.names)
 
-    return pages.select(key, html).mapInArrow(run, schema)
+    return settled(pages.select(key, html).mapInArrow(run, schema))
 
 
 def _stripped(c: Column) -> Column:

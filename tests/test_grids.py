@@ -136,3 +136,10 @@ def test_assembled(spark):
     ]
     assert {(r.doc, tuple(r.header), r.caption) for r in found} == {("d", ("name", "note"), "Prices\nin euros"), ("e", ("k",), "")}
     assert grids.assembled(rows.limit(0), ["doc"]).where(F.col("broken")).count() == 0
+
+
+def test_pages_are_read_once(spark):
+    """Headers and rows are both taken from what was read: no later plan runs the reader again."""
+    rows = grids.grids(spark.createDataFrame([(1, "<table><tr><th>a</th><th>b</th></tr><tr><td>x</td><td>y</td></tr></table>")], "page_id long, html string"))
+    found = grids.objects(rows, grids.headers(rows, ["page_id", "table_no"]), ["page_id", "table_no"])
+    assert "MapInArrow" not in found._jdf.queryExecution().toString() and found.count() == 2
