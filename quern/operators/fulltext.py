@@ -32,9 +32,11 @@ class BadCursor(ValueError):
 
 def words(text: Column) -> Column:
     """The words of a text in lower case, in order: runs of letters and digits, and for runs of CJK letters each two neighbours."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = F.regexp_extract_all(low, F.lit(WORDS), F.lit(0))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 1)), lambda i: F.substring(w, i, F.lit(2)))
-    return F.flatten(F.transform(found, lambda w: F.when(w.rlike(r"^[㐀-鿿]"), pairs(w)).otherwise(F.array(w))))
+    cut = F.flatten(F.transform(found, lambda w: F.when(w.rlike(r"^[㐀-鿿]"), pairs(w)).otherwise(F.array(w))))
+    return F.when(low.rlike("[㐀-鿿]"), cut).otherwise(found)  # most texts have no such run, and their words are looked at once
 
 
 def search_tokens(text: Column) -> Column:

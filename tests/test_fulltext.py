@@ -106,3 +106,9 @@ def test_literal_pages(spark, corpus):
 def test_only_the_buckets_of_the_words_are_read(spark, index):
     plan = fulltext.phrase_hits(index, spark, [["red"]])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1][:120]
+
+
+def test_words_with_and_without_cjk_runs(spark):
+    rows = [("Das Haus, 3 x", ["das", "haus", "3", "x"]), ("a 中文字 b", ["a", "中文", "文字", "b"]), ("中", ["中"]), (None, []), ("", [])]
+    found = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(fulltext.words(F.col("t")).alias("w")).collect()
+    assert [r.w for r in found] == [w for _, w in rows]
