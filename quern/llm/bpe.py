@@ -23,7 +23,7 @@ from quern.llm.common import CACHES, slices
 #: The characters of Unicode's White_Space, which the \s of the splitting pattern stands for.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Pieces and chunks of text, or pairs of tokens, that a worker remembers at most.
-MEMO = 300_000
+MEMO = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

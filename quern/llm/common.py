@@ -76,8 +76,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, cache: str | None
 
     A worker holds the caches of one operator at a time: those of others than `cache` are freed.
     """
-    for name in [n for n in CACHES if n != cache]:
-        CACHES.pop(name)()
+    if others := [n for n in CACHES if n != cache]:
+        for name in others:
+            CACHES.pop(name)()
+        gc.collect()
+    pa.default_memory_pool().release_unused()  # of tasks before
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
