@@ -2,8 +2,8 @@
 
 A sequence of tokens is the result of the merges exactly if each two neighbours are compatible: merging the bytes of the two
 alone gives the same two tokens again. Encoding therefore takes the longest token at each place, steps back to shorter ones
-where neighbours are incompatible, and never visits a place twice that has led nowhere; compatibility is memoised, so the time
-is linear in the text. Bytes are looked up as Latin-1 text in a pyahocorasick trie.
+where neighbours are incompatible, and never visits a place twice that has led nowhere; compatibility is decided by the last merges
+of both tokens and memoised, so the time is linear in the text. Bytes are looked up as Latin-1 text in a pyahocorasick trie.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from quern.llm.common import CACHES, slices
 #: The characters of Unicode's White_Space, which the \s of the splitting pattern stands for.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Pieces and chunks of text, or pairs of tokens, that a worker remembers at most.
-MEMO = 100_000
+MEMO = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,32 +45,63 @@ class Vocabulary:
         self.odd_space = regex.compile(f" (?:[{WHITE}]|$)|[{WHITE}](?<! ) ")
         self.longest = max(map(len, ranks))
         self.trie = ahocorasick.Automaton()
+        self.halves: list[tuple[int, int]] = [(i, i) for i in range(len(self.tokens))]  # what the last merge of a token joined
+        self.joins: dict[int, int] = {}
+        self.ordered = True  # each token has a higher rank than what it is made of
         for token, rank in ranks.items():
-            if self.merge(token) == [rank]:  # the merges never produce the others
-                self.trie.add_word(token.decode("latin-1"), rank)
+            parts = self.merge(token, rank)
+            if len(parts) > 2:
+                if self.merge(token) != [rank]:  # the merges never produce it
+                    continue
+                self.ordered = False
+            self.trie.add_word(token.decode("latin-1"), rank)
+            if len(parts) == 2:
+                self.halves[rank] = (parts[0], parts[1])
+                self.joins[parts[0] << 32 | parts[1]] = rank
         self.lengths = list(map(len, self.tokens))
         self.fits: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
         self.starts: dict[str, int] = {}
         self.known: dict[str, bytes] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The merges carried out one by one, lowest rank first, leftmost first; for short pieces."""
+    def merge(self, piece: bytes, below: int | None = None) -> list[int]:
+        """The merges carried out one by one, lowest rank first, leftmost first, those below a rank alone if one is given; for short pieces."""
         ranks, parts = self.ranks, [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
             if not found:
                 break
-            _, i = min(found)
+            rank, i = min(found)
+            if below is not None and rank >= below:
+                break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [ranks[x] for x in parts]
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging the bytes of both gives both again."""
+        """Whether merging the bytes of both gives both again: no merge over the border comes before those that made what it joins.
+
+        The later of the two merges next to the border is taken back, over and over; what stands there then must not have merged
+        before that one.
+        """
         if len(self.fits) > MEMO:
             self.fits.clear()
-        fits = self.fits[a << 32 | b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-        return fits
+        key, joins, halves, limit = a << 32 | b, self.joins.get, self.halves, 1 << 40
+        if not self.ordered:
+            fits = self.fits[key] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            return fits
+        while (joined := joins(a << 32 | b)) is None or joined >= limit:
+            left = halves[a][1] if a > b else a
+            if left != a:  # of equal ranks the left one comes first
+                limit, a = a, left
+            elif (right := halves[b][0]) != b:
+                limit, b = b + 1, right
+            elif (left := halves[a][1]) != a:
+                limit, a = a, left
+            else:
+                self.fits[key] = True
+                return True
+        self.fits[key] = False
+        return False
 
     def first(self, text: str, at: int) -> int:
         """The longest token that starts here; ends of words recur, so those of short ones are remembered."""
@@ -98,7 +129,7 @@ class Vocabulary:
     def backtrack(self, piece: bytes) -> list[int]:
         """The ids of one piece, as the merges would give them."""
         text, size, ids, at = piece.decode("latin-1"), len(piece), [], 0
-        lengths, known, dead = self.lengths, self.fits.get, set()
+        lengths, longest, starts, known, dead = self.lengths, self.longest, self.starts.get, self.fits.get, set()
         token = self.first(text, 0)
         while at < size:
             while token >= 0:
@@ -113,7 +144,8 @@ class Vocabulary:
             if token >= 0:
                 ids.append(token)
                 at = end
-                token = self.first(text, at) if at < size else -1
+                if at < size and (token := starts(text[at : at + longest])) is None:
+                    token = self.first(text, at)
             elif ids:
                 dead.add(at)
                 last = ids.pop()
@@ -139,6 +171,8 @@ class Vocabulary:
     def chunk(self, text: str) -> bytes:
         """The ids of a chunk at whose ends no piece continues, as 32-bit integers."""
         known = self.known.get
+        if text.isascii() and text[text[0] == " " :].isalpha():  # one piece
+            return self.piece(text)
         found = self.fine.findall(text)
         packed = b"".join([known(x) or self.piece(x) for x in found])
         return self.remember(text, packed) if 1 < len(found) < 4 else packed

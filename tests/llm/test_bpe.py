@@ -31,6 +31,25 @@ def test_random_texts_as_tiktoken(own, known):
         assert own.decode(own.encode(text)) == text.encode()
 
 
+def test_neighbours_are_compatible_as_the_merges_say_without_carrying_them_out(own, monkeypatch):
+    rng = random.Random(2)
+    short = [i for i in own.ranks.values() if len(own.tokens[i]) < 4]
+    pairs = [(rng.choice(short), rng.choice(short)) for _ in range(4000)] + [(rng.randrange(len(own.tokens)), rng.randrange(len(own.tokens))) for _ in range(2000)]
+    wanted = [own.merge(own.tokens[a] + own.tokens[b]) == [a, b] for a, b in pairs]
+    monkeypatch.setattr(own, "merge", None)
+    assert [own.compatible(a, b) for a, b in pairs] == wanted and 0 < sum(wanted) < len(wanted)
+
+
+def test_ranks_that_do_not_grow_with_the_merges():
+    ranks = {bytes([c]): i for i, c in enumerate(b"abcd")} | {b"abcd": 4, b"ab": 6, b"cd": 5}
+    own = bpe.Vocabulary(ranks, public_tokenizers.PATTERN)
+    known = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("abcd") for _ in range(rng.randrange(12)))
+        assert own.encode(text).tolist() == known.encode_ordinary(text)
+
+
 def test_frame_keeps_columns_and_replaces_clashing_ones(spark, known):
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(TEXTS + TEXTS)], "doc_id long, text string, ids string, n int")
     rows = bpe.encode(docs, PATH, public_tokenizers.PATTERN, decoded="back").collect()
