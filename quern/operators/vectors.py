@@ -2,9 +2,10 @@
 
 Vectors are brought to length one, so nearness is cosine. Centres of cells come from a bounded sample; every row then goes to the
 cell of its nearest centre, with the columns that searches filter by. A cell knows the greatest angle of its members to its centre,
-so the angle of a query to a centre bounds how near any member can be: cells that cannot hold an answer are not read. That makes
-threshold searches and exact searches complete; a search may also be told to read a number of cells only. Estimates are made in half
-precision and decided, within their error, on the original vectors.
+so the angle of a query to a centre bounds how near any member can be: cells that cannot hold an answer are not compared. That makes
+threshold searches and exact searches complete; they meet in tiles, a part of the members with a part of the queries each. A search may
+also be told to read a number of cells only; queries then go to these alone. Estimates are made in half precision and decided, within
+their error, on the original vectors.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from quern.operators.rounds import fresh_folder, settled
 SAMPLE, CELLS, ROUNDS = 20_000, 4096, 8
 #: Members of a cell that a task compares at once; a larger cell is dealt over several. Queries of a block.
 PART, BLOCK = 65_536, 1024
+#: Members and queries of a tile at most, tiles that there should be at least, and members compared with a block of queries at once.
+MEMBERS, QUERIES, TILES, RUN = 262_144, 65_536, 48, 2048
 #: What a cosine of two vectors of length one can be off by in half precision, for up to some thousand dimensions.
 ERROR = 2e-3
 
@@ -129,24 +132,107 @@ def load(spark: SparkSession, folder: str) -> Index:
     return Index(folder, centres.shape[1], centres, np.array([r.angle for r in rows]), np.array([r.n for r in rows]))
 
 
-def search(index: Index, vectors: DataFrame, queries: DataFrame, k: int = 40, least: float = -1.0, probes: int | None = None, where: Column | None = None, by: str | None = None, but_itself: bool = False) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k indexed vectors nearest to each query (query_id, embedding), by cosine, at least `least`.
+def _kind(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
 
-    where filters the indexed rows by their filter columns before anything is compared; by names a filter column that must be equal
-    in query and row. probes: cells read for a query, those first that may hold the nearest; without it all cells are read that can
-    hold an answer, and the result is exact. Scores are cosines of the original vectors, rounded to six places, ties by vec_id; vectors
-    (vec_id, embedding) is where these are. but_itself leaves out the row whose id is the query's. Queries without a usable vector,
-    empty tables and an empty index give no rows. Of rows that share a vec_id one counts.
+
+def best_of(known: np.ndarray, own: np.ndarray, cells: np.ndarray, bounds: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, near) of the estimates that leave it open whether a member is one of the k + 1 nearest of a query.
+
+    known are members in the order of their cells, own a block of queries, bounds how near the members of each cell can be to each
+    query; cells are columns of bounds. Members are compared in runs, those that may be nearest first; a run that cannot hold an answer of any query is left out.
     """
-    spark = vectors.sparkSession
-    ids, asked_ids = vectors.schema["vec_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    empty = spark.createDataFrame([], f"query_id {asked_ids}, rank int, vec_id {ids}, score double")
-    if not len(index.centres):
-        return empty
+    starts = np.arange(0, len(known), RUN)
+    may = np.stack([bounds[:, cells[i] : cells[min(i + RUN, len(cells)) - 1] + 1].max(axis=1) for i in starts], axis=1)
+    last = np.full(len(own), -np.inf)  # of the k + 1 best so far
+    kept, fresh, seen, settled_at = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)], [], 0, 0
+
+    def settle() -> None:
+        q, v, near = (np.concatenate([a, *b]) for a, b in zip(kept, zip(*fresh, strict=True), strict=True))
+        order = np.lexsort((-near, q))
+        q, v, near = q[order], v[order], near[order]
+        firsts = np.searchsorted(q, np.arange(len(own)))
+        full = np.flatnonzero(np.append(firsts[1:], len(q)) - firsts > k)
+        last[full] = near[firsts[full] + k]
+        good = near >= last[q] - 2 * ERROR
+        kept[:] = q[good], v[good], near[good]
+        fresh.clear()
+
+    for run in np.argsort(-may.mean(axis=0), kind="stable"):
+        open_ = np.flatnonzero(may[:, run] >= np.maximum(least - 1e-6, last - ERROR - 1e-5))
+        if not len(open_):
+            continue
+        part = known[starts[run] : starts[run] + RUN]
+        near = own[open_] @ part.T
+        floor = np.maximum(least - ERROR, last[open_] - 2 * ERROR)
+        if not seen and len(part) > k + 1:
+            floor = np.maximum(floor, np.partition(near, -k - 1, axis=1)[:, -k - 1] - 2 * ERROR)
+        at = np.flatnonzero(near >= floor.astype(np.float32)[:, None])
+        row, column = np.divmod(at, len(part))
+        fresh.append((open_[row], column + starts[run], near.ravel()[at]))
+        seen += len(part)
+        if seen >= 2 * settled_at:
+            settle()
+            settled_at = seen
+    if fresh:
+        settle()
+    return kept[0], kept[1], kept[2].astype(np.float64)
+
+
+def _tiled(index: Index, rows: DataFrame, asked: DataFrame, k: int, least: float, by: str | None) -> DataFrame:
+    """(query_id, vec_id, near) of the best of each tile: members are dealt by hash, queries too, and each part meets each, of one value of `by`."""
+    dim, asked = index.dim, asked if by is None else asked.where(F.col(by).isNotNull())
+    shared = rows.sparkSession.sparkContext.broadcast((index.centres, index.angles))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = unit(matrix(batch.column("embedding"), dim)).astype(np.float32)
+            yield batch.drop_columns(["embedding"]).append_column("vector", pa.array([v.tobytes() for v in own], pa.binary()))
+
+    def sized(n: str, m: str) -> tuple[Column, Column]:
+        """Parts of so many members and queries: no more of either than a tile may hold, and enough tiles."""
+        members = F.ceil(F.col(n) / MEMBERS)
+        few = F.ceil(F.lit(TILES) / members)
+        return members.cast("int"), F.greatest(F.ceil(F.col(m) / QUERIES), F.least(few, F.ceil(F.col(m) / BLOCK))).cast("int")
+
+    group = F.lit(0) if by is None else F.col(by)
+    members = rows.select(group.alias("_by"), "vec_id", "half", "cell")
+    queries = asked.withColumn("_by", group).select("_by", "query_id", "embedding").mapInArrow(single, f"_by {'int' if by is None else _kind(asked, by)}, query_id {_kind(asked, 'query_id')}, vector binary")
+    sizes = members.groupBy("_by").agg(F.count("*").alias("_n")).join(asked.groupBy(group.alias("_by")).agg(F.count("*").alias("_m")), "_by")
+    sizes = settled(sizes.select("_by", *(c.alias(x) for c, x in zip(sized("_n", "_m"), ("_ms", "_qs"), strict=True))))
+    if sizes.count() < 100_000:  # few values may have most rows each, many cannot
+        sizes = F.broadcast(sizes)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = members.join(sizes, "_by").select("_by", F.pmod(F.xxhash64("vec_id"), F.col("_ms")).cast("int").alias("_m"), every("_qs").alias("_q"), "vec_id", "half", "cell")
+    routed = queries.join(sizes, "_by").select("_by", every("_ms").alias("_m"), F.pmod(F.xxhash64("query_id"), F.col("_qs")).cast("int").alias("_q"), "query_id", "vector")
+
+    def compare(held: pa.Table, asking: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if held.num_rows and asking.num_rows:
+            centres, angles = shared.value
+            cells = held["cell"].to_numpy()
+            placed = np.argsort(cells, kind="stable")
+            cells, known = cells[placed], np.frombuffer(b"".join(held["half"].to_pylist()), np.float16).reshape(-1, dim)[placed].astype(np.float32)
+            met, cells = np.unique(cells, return_inverse=True)
+            own = np.frombuffer(b"".join(asking["vector"].to_pylist()), np.float32).reshape(-1, dim)
+            order = np.argsort(nearest_centre(own, centres.astype(np.float32))[0], kind="stable")  # queries of a block that are near each other see the same cells
+            for start in range(0, len(order), BLOCK):
+                at = order[start : start + BLOCK]
+                bounds = np.cos(np.maximum(0, np.arccos(np.clip(unit(own[at].astype(np.float64)) @ centres[met].T, -1, 1)) - angles[met] - 1e-6))
+                q, v, near = best_of(known, own[at], cells, bounds, k, least)
+                out.append((at[q], placed[v], near))
+        q, v, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": asking["query_id"].take(pa.array(q)), "vec_id": held["vec_id"].take(pa.array(v)), "near": s})
+
+    keys = ["_by", "_m", "_q"]
+    return dealt.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(compare, f"query_id {_kind(asked, 'query_id')}, vec_id {_kind(rows, 'vec_id')}, near double")
+
+
+def _probed(index: Index, rows: DataFrame, asked: DataFrame, k: int, least: float, probes: int, by: str | None) -> DataFrame:
+    """(query_id, vec_id, near) of the best of each cell that a query is sent to."""
     dim, centres, angles, sizes = index.dim, index.centres, index.angles, index.sizes
     parts = np.maximum(1, -(-sizes // PART))
-    shared = spark.sparkContext.broadcast((centres, angles, parts))
-    asked = usable(queries, dim).select("query_id", "embedding", *([by] if by else []))
+    shared = rows.sparkSession.sparkContext.broadcast((centres, angles, parts))
     columns = ["query_id", *([by] if by else [])]
     kinds = [f"{c} {asked.schema[c].dataType.simpleString()}" for c in columns]
 
@@ -158,7 +244,7 @@ def search(index: Index, vectors: DataFrame, queries: DataFrame, k: int = 40, le
                 piece = batch.slice(start, BLOCK)
                 own = unit(matrix(piece.column("embedding"), dim))
                 bound = np.cos(np.maximum(0, np.arccos(np.clip(own @ centres.T, -1, 1)) - angles - 1e-9))
-                order = np.argsort(-bound, axis=1, kind="stable")[:, : probes or len(centres)]
+                order = np.argsort(-bound, axis=1, kind="stable")[:, :probes]
                 row, place = np.nonzero(np.take_along_axis(bound, order, 1) >= least - 1e-6)
                 cell = order[row, place]
                 times = parts[cell]
@@ -169,7 +255,6 @@ def search(index: Index, vectors: DataFrame, queries: DataFrame, k: int = 40, le
                 yield pa.RecordBatch.from_arrays([*(piece.column(c).take(pa.array(rows)) for c in columns), pa.array(np.repeat(cell, times), pa.int32()), pa.array(part, pa.int32()), pa.array(near), pa.array([half[i] for i in rows], pa.binary())], [*columns, "cell", "part", "bound", "vector"])
 
     routed = asked.mapInArrow(route, f"{', '.join(kinds)}, cell int, part int, bound double, vector binary")
-    rows = index.rows(spark) if where is None else index.rows(spark).where(where)
     count = F.element_at(F.lit(parts.tolist()).cast("array<int>"), F.col("cell") + 1)
     dealt = rows.select("vec_id", *([by] if by else []), "half", "cell", F.pmod(F.xxhash64("vec_id"), count).cast("int").alias("part"))
 
@@ -195,7 +280,27 @@ def search(index: Index, vectors: DataFrame, queries: DataFrame, k: int = 40, le
         q, v, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": asking["query_id"].take(pa.array(q)), "vec_id": members["vec_id"].take(pa.array(v)), "near": s})
 
-    found = dealt.groupBy("cell", "part").cogroup(routed.groupBy("cell", "part")).applyInArrow(compare, f"query_id {asked_ids}, vec_id {ids}, near double")
+    return dealt.groupBy("cell", "part").cogroup(routed.groupBy("cell", "part")).applyInArrow(compare, f"query_id {_kind(asked, 'query_id')}, vec_id {_kind(rows, 'vec_id')}, near double")
+
+
+def search(index: Index, vectors: DataFrame, queries: DataFrame, k: int = 40, least: float = -1.0, probes: int | None = None, where: Column | None = None, by: str | None = None, but_itself: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k indexed vectors nearest to each query (query_id, embedding), by cosine, at least `least`.
+
+    where filters the indexed rows by their filter columns before anything is compared; by names a filter column that must be equal
+    in query and row. probes: cells read for a query, those first that may hold the nearest; without it all cells are read that can
+    hold an answer, and the result is exact. Scores are cosines of the original vectors, rounded to six places, ties by vec_id; vectors
+    (vec_id, embedding) is where these are. but_itself leaves out the row whose id is the query's. Queries without a usable vector,
+    empty tables and an empty index give no rows. Of rows that share a vec_id one counts.
+    """
+    spark = vectors.sparkSession
+    ids, asked_ids = vectors.schema["vec_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    empty = spark.createDataFrame([], f"query_id {asked_ids}, rank int, vec_id {ids}, score double")
+    if not len(index.centres):
+        return empty
+    dim = index.dim
+    asked = usable(queries, dim).select("query_id", "embedding", *([by] if by else []))
+    rows = index.rows(spark) if where is None else index.rows(spark).where(where)
+    found = (_probed(index, rows, asked, k, least, probes, by) if probes else _tiled(index, rows, asked, k, least, by)).select("query_id", "vec_id", "near")
     if but_itself:
         found = found.where(F.col("query_id").cast("string") != F.col("vec_id").cast("string"))
     by_query = W.partitionBy("query_id").orderBy(F.desc("near"))

@@ -64,6 +64,24 @@ def test_threshold_reads_only_cells_that_can_hold_answers(spark, table, index, d
     assert (bound >= 0.8).mean() < 0.6
 
 
+def test_tiles_of_any_size_give_all_answers(monkeypatch, table, index, data):
+    for name, n in (("MEMBERS", 100), ("QUERIES", 150), ("RUN", 16), ("BLOCK", 32)):
+        monkeypatch.setattr(vectors, name, n)
+    assert close(rows(vectors.search(index, table, asked(table), k=6, but_itself=True)), brute(data, 6))
+    assert close(rows(vectors.search(index, table, asked(table), k=400, least=0.8, but_itself=True)), brute(data, 400, 0.8))
+    label = lambda i: i % 5 if i % 7 else None
+    assert close(rows(vectors.search(index, table, asked(table), k=5, by="label", but_itself=True)), brute(data, 5, keep=lambda q, v: label(v) is not None and label(v) == label(q)))
+
+
+def test_runs_that_cannot_hold_an_answer_are_not_compared(monkeypatch):
+    monkeypatch.setattr(vectors, "RUN", 10)
+    known = np.repeat(np.eye(4, dtype=np.float32), 10, axis=0)
+    bounds = np.float64(np.eye(4))[:2]
+    known[20:] = np.inf  # a comparison with these would be an answer, or not a number
+    found = vectors.best_of(known, np.eye(4, dtype=np.float32)[:2], np.repeat(np.arange(4), 10), bounds, 3, 0.5)
+    assert sorted(zip(*(x.tolist() for x in found[:2]), strict=True)) == [(0, i) for i in range(10)] + [(1, i) for i in range(10, 20)]
+
+
 def test_filters(table, index, data):
     label = lambda i: i % 5 if i % 7 else None
     found = vectors.search(index, table, asked(table), k=5, where=F.col("label") == 3, but_itself=True)
