@@ -79,8 +79,12 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, by: str, most: int, lea
 
     A scalar filter goes before the search: only vectors of the same value of `by` are met. Ties go to the smaller vec_id.
     """
-    asked = queries.select("query_id", by, F.col("embedding").alias("_q"))
-    met = vectors.join(asked, by).where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("_q")), 6).alias("score"))
+    long = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    asked = queries.select("query_id", by, F.col("embedding").alias("_q"), long("embedding").alias("_m"))
+    known = vectors.select("vec_id", by, F.col("embedding").alias("_v"), long("embedding").alias("_n"))  # lengths are taken once, not for each pair
+    norms = F.col("_n") * F.col("_m")
+    near = F.when((F.size("_v") == F.size("_q")) & (norms > 0), dot(F.col("_v"), F.col("_q")) / norms).otherwise(F.lit(0.0))
+    met = known.join(asked, by).where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(near, 6).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= most)
 

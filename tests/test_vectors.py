@@ -104,3 +104,13 @@ def test_empty(table):
     assert vectors.search(empty, none, asked(table)).count() == 0
     one = vectors.build(table.where("vec_id = 3"), DIM)
     assert rows(vectors.search(one, table, asked(table).where("vec_id in (3, 9001)"), k=2)) == {(3, 1, 3)}
+
+
+def test_lengths_are_taken_before_queries_meet_vectors(spark):
+    from quern.operators import retrieval
+
+    made = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [2.0, 2.0], 0), (3, [0.0, 0.0], 0), (4, None, 0), (5, [1.0], 0), (6, [3.0, 0.0], 1), (7, [3.0, 0.0], None)], "vec_id long, embedding array<float>, label int")
+    found = retrieval.nearest_each(made, made.where("vec_id in (1, 7)").withColumnRenamed("vec_id", "query_id"), "label", 9, 0.0)
+    assert [(r.query_id, r.vec_id, r.score, r["rank"]) for r in found.orderBy("rank").collect()] == [(1, 2, 0.707107, 1), (1, 3, 0.0, 2), (1, 4, 0.0, 3), (1, 5, 0.0, 4)]
+    met = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")
+    assert "SQRT" not in met[0].upper() and met[1].upper().count("SQRT") == 2
