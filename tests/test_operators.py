@@ -199,3 +199,20 @@ def test_scalar_functions(spark):
     equal = spark.sql("select stack(4, 1D, 1D, 1.5D, 1.9D, 1D, 2D, null, 0.4D) as (a, b)").select(scalar.cell_equal(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in equal] == [True, True, False, True]
     assert str(spark.range(1).select(scalar.excel_date(F.lit(45292.7))).first()[0]) == "2024-01-01"
+
+
+def test_two_hop_pairs_of_hubs_loops_and_nulls(spark):
+    from quern.operators import graph
+
+    made = [("v2", x) for x in "abc"] + [("v1", "a"), ("b", "v1"), ("v1", "v1"), ("a", "c"), ("v1", None)] + [("h", f"x{i}") for i in range(6)]
+    found = graph.two_hop_pairs(spark.createDataFrame(made, "src string, dst string"), 4)
+    both = {(a, b) for a, b in made if a and b} | {(b, a) for a, b in made if a and b}
+    degree = {n: len({b for a, b in both | {("v1", None)} if a == n}) for n, _ in both}
+    wanted = {}
+    for via, a in both:
+        for other, c in both:
+            if via == other and degree[via] <= 4 and a < c and via not in (a, c) and (a, c) not in both:
+                wanted[a, c] = min(via, wanted.get((a, c), via))
+    assert {(r.a, r.c): r.via for r in found.collect()} == wanted and wanted
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join LeftAnti") < text.index("Aggregate [a#")  # each pair once before it is looked up
