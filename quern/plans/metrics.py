@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.rounds import settled
+
 AGGREGATES = ("sum", "count", "count_distinct", "avg", "min", "max", "median", "percentile")
 GRAINS = ("hour", "day", "week", "month", "quarter", "year")
 
@@ -142,6 +144,8 @@ def compile_metric(
             physical = catalog.column(metric.table, column)
             keys.append(truncated(physical, grain).alias("period") if grain else F.col(physical).alias(column))
         made = aggregate(metric).alias(value)
+        if metric.agg in ("percentile", "median"):
+            return at_rank(rows.select(*keys, F.expr(metric.expr).alias("_v")), 0.5 if metric.agg == "median" else metric.percentile / 100, value)
         return rows.groupBy(*keys).agg(made) if keys else rows.agg(made)
     if isinstance(metric, Cumulative):
         grain = [key for key in group_by if "@" in key]
@@ -165,6 +169,40 @@ def compile_metric(
     return joined.select(*keys, result.alias(value))
 
 
+def at_rank(rows: DataFrame, share: float, value: str = "value") -> DataFrame:
+    """(other columns, value): the exact percentile of column _v in each group of the other columns, between two values by their distance.
+
+    Equal values are counted first. Different ones are dealt by range and only those ranges that hold a wanted rank are put in order,
+    so no task reads more than its part of the different values. A group without values has null.
+    """
+    keys = [c for c in rows.columns if c != "_v"]
+    counted = rows.select(*keys, F.col("_v").cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
+    ranged = settled(counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = settled(ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_n")))
+    same = [F.col(c) for c in keys]
+    ahead = F.sum("_n").over(W.partitionBy(*same).orderBy("_part")) - F.col("_n")
+    rank = F.lit(share) * (F.sum("_n").over(W.partitionBy(*same)) - 1)
+    held = parts.select(*same, "_part", "_n", ahead.alias("_ahead"), rank.alias("_rank"))
+    held = held.where((F.col("_ahead") <= F.ceil("_rank")) & (F.col("_ahead") + F.col("_n") > F.floor("_rank"))).drop("_n")
+    found = ranged.where("_n > 0").alias("r").join(held.alias("h"), (F.col("r._part") == F.col("h._part")) & _all_same("r", "h", keys))
+    found = found.select(*(F.col(f"r.{c}").alias(c) for c in keys), "r._part", "_v", "_n", "_ahead", "_rank")
+    upto = F.col("_ahead") + F.sum("_n").over(W.partitionBy(*same, "_part").orderBy("_v"))
+    found = found.select(*same, "_v", "_rank", upto.alias("_to"), (upto - F.col("_n")).alias("_from"))
+    at = lambda place: F.max(F.when((F.col("_from") <= place) & (place < F.col("_to")), F.col("_v")))
+    made = [F.max("_rank").alias("_rank"), at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_b")]
+    low, high, rank = F.col("_a"), F.col("_b"), F.col("_rank")
+    between = F.when((F.floor(rank) == F.ceil(rank)) | (low == high), low).otherwise((F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high)
+    told = (found.groupBy(*keys).agg(*made) if keys else found.agg(*made)).select(*keys, between.alias(value))
+    return full_join(parts.select(*keys).distinct(), told, keys) if keys else told
+
+
+def _all_same(a: str, b: str, keys: list[str]) -> Column:
+    same = F.lit(True)
+    for key in keys:
+        same &= F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}.{key}"))
+    return same
+
+
 def full_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """All rows of both, matched on equal keys, null equal to null; single rows side by side without keys."""
     if not keys:

@@ -216,3 +216,18 @@ def test_two_hop_pairs_of_hubs_loops_and_nulls(spark):
     assert {(r.a, r.c): r.via for r in found.collect()} == wanted and wanted
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.index("Join LeftAnti") < text.index("Aggregate [a#")  # each pair once before it is looked up
+
+
+def test_percentiles_of_groups_without_reading_them_in_one_task(spark):
+    from quern.plans import metrics
+
+    made = [(g, float(x * x % 97) if x % 5 else None) for g in ("a", "b", None) for x in range(60)] + [("c", None), ("d", 4.0), ("e", float("nan")), ("e", 1.0)]
+    rows = spark.createDataFrame(made, "g string, x double")
+    for agg, share in (("percentile", 95), ("percentile", 37.5), ("median", None)):
+        catalog = metrics.Catalog({"t": lambda: rows, "none": lambda: rows.limit(0)}, {"m": metrics.Simple("t", agg, "x", percentile=share), "n": metrics.Simple("none", agg, "x", percentile=share)})
+        exact = metrics.aggregate(catalog.metrics["m"]).alias("value")
+        by = lambda found: sorted((str(r.g), str(r.value)) for r in found.collect())
+        found = metrics.compile_metric(catalog, "m", ("g",))
+        assert by(found) == by(rows.groupBy("g").agg(exact)) and found.schema["value"].dataType == rows.groupBy("g").agg(exact).schema["value"].dataType
+        assert [r.value for r in metrics.compile_metric(catalog, "n").collect()] == [None]
+        assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
