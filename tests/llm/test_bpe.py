@@ -40,6 +40,22 @@ def test_neighbours_are_compatible_as_the_merges_say_without_carrying_them_out(o
     assert [own.compatible(a, b) for a, b in pairs] == wanted and 0 < sum(wanted) < len(wanted)
 
 
+def test_short_pieces_are_merged_together_and_texts_in_groups(own, known, monkeypatch):
+    rng = random.Random(4)
+    parts = [t.decode("latin-1") for t in own.ranks if t.isalpha() and t.isascii()]
+    words = ["".join(rng.choice(parts + ["é", "ü", "x"]) for _ in range(rng.randrange(1, 6))) for _ in range(3000)] + ["ab" * 9, "a" * 40, "é" * 20, "a" * 41]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(9))) for _ in range(600)] + ["", " ", "\0", "a \0b", " a\0 b", "x" * 500, ".a b. c.", "a\n b", " a"]
+    fresh = bpe.Vocabulary(own.ranks, public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "LETTERS", 500)
+    monkeypatch.setattr(bpe, "MEMO", 300)
+    assert [x.tolist() for x in fresh.encode_all(texts)] == [known.encode_ordinary(x) for x in texts]
+    assert max(map(len, fresh.known)) <= 40
+    short = [w.encode() for w in words if 1 < len(w.encode()) <= 40]
+    wanted = [own.backtrack(w) for w in short]
+    monkeypatch.setattr(fresh, "backtrack", None)
+    assert [list(memoryview(x).cast("i")) for x in fresh.together(short, 40)] == wanted
+
+
 def test_ranks_that_do_not_grow_with_the_merges():
     ranks = {bytes([c]): i for i, c in enumerate(b"abcd")} | {b"abcd": 4, b"ab": 6, b"cd": 5}
     own = bpe.Vocabulary(ranks, public_tokenizers.PATTERN)
