@@ -15,6 +15,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -47,9 +48,14 @@ def mark(word: bytes) -> int:
     return h - (h >> 63 << 64)
 
 
+@lru_cache(maxsize=1 << 16)
+def ending(last: bytes) -> int:
+    return xxh64_intdigest(last[-2:], 5) % (CLASSES - 1) * (SLOTS - OWN) + xxh64_intdigest(last, 6) % (SLOTS - OWN)
+
+
 def group(word: bytes) -> int:
     """Class and shared slot of a word, by its last bytes."""
-    return xxh64_intdigest(word[-2:], 5) % (CLASSES - 1) * (SLOTS - OWN) + xxh64_intdigest(word[-4:], 6) % (SLOTS - OWN)
+    return ending(word[-4:])
 
 
 def leaf(groups):
@@ -219,16 +225,20 @@ def step(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], z: np
     z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
     z[np.arange(len(z)), chosen] -= 1
     size = np.einsum("ij,ij->i", z, z)
-    sorted_ = []
-    for r in rows:  # what falls to one row of weights is added up first
-        order = np.argsort(r, kind="stable")
-        own = r[order]
-        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        sorted_.append((order, starts, own[starts]))
-        squares[own[starts]] += np.add.reduceat(size[order], starts)
-    for r, (order, starts, own) in zip(rows, sorted_, strict=True):
-        change = (z * (-rate / np.sqrt(squares[r] + np.float32(1))).astype(np.float32)[:, None]).take(order, axis=0)
-        weights[own] += np.add.reduceat(change, starts, axis=0)
+    n = len(z)
+    own, order = np.divmod(np.sort(np.concatenate(rows) * (n * len(rows)) + np.arange(n * len(rows))), n * len(rows))
+    order %= n
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    own, times = own[starts], np.diff(starts, append=len(order))
+    squares[own] += np.add.reduceat(size[order], starts)
+    rates = (-rate / np.sqrt(squares[own] + np.float32(1))).astype(np.float32)
+    once = times == 1  # most rows of words and pairs
+    weights[own[once]] += z.take(order[starts[once]], axis=0) * rates[once, None]
+    if not once.all():  # what falls to one row of weights is added up first, two columns at a time
+        many = np.repeat(~once, times)
+        begins = np.cumsum(times[~once]) - times[~once]
+        sums = np.add.reduceat(z.view(np.complex64).take(order[many], axis=0), begins, axis=0).view(np.float32)
+        weights[own[~once]] += sums * rates[~once, None]
 
 
 def learn(weights: np.ndarray, squares: np.ndarray, priors: tuple[np.ndarray, np.ndarray], words: Lexicon, tokens: np.ndarray, bits: int, rate: float) -> int:

@@ -117,3 +117,22 @@ def test_scores_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
     assert all(abs(told[0][k] - t[k]) <= 1e-3 for t in told[1:] for k in told[0]) and told[0].keys() == told[1].keys() == told[2].keys()
     counts = maxent.summed(maxent.count_words(docs.select("doc_id", "text")), docs.count())
     assert maxent.blocks_of(counts, 2) > 4
+
+
+def test_a_step_adds_up_what_falls_to_one_row_and_endings_are_hashed_once():
+    rng = np.random.default_rng(5)
+    for kinds in (1, 7, 5000):
+        rows, z = [rng.integers(0, kinds, 600) for _ in range(3)], rng.normal(size=(600, 8)).astype(np.float32)
+        chosen, weights, squares = rng.integers(0, 8, 600), rng.normal(size=(5000, 8)).astype(np.float32), rng.random(5000).astype(np.float32)
+        p = np.exp(z.astype(np.float64))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(600), chosen] -= 1
+        met, wanted = squares.astype(np.float64), weights.astype(np.float64)
+        for r in rows:
+            np.add.at(met, r, (p * p).sum(axis=1))
+        for r in rows:
+            np.add.at(wanted, r, -0.4 * p / np.sqrt(met[r] + 1)[:, None])
+        maxent.step(weights, squares, rows, z, chosen, 0.4)
+        assert np.allclose(weights, wanted, atol=1e-3) and np.allclose(squares, met, rtol=1e-4)
+    maxent.ending.cache_clear()
+    assert len({maxent.group(w + b"tion") for w in (b"na", b"sta", b"mo")}) == 1 and maxent.ending.cache_info().misses == 1
