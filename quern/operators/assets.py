@@ -9,12 +9,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows of both sides, and ids, that a task of replaced() takes, whatever their number.
+ROWS = 500_000
+
+
 def replaced(current: DataFrame, wanted: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(columns of both, action): what to add and remove so that current holds exactly what is wanted; for some ids alone, if given."""
+    """(columns of both, action): what to add and remove so that current holds exactly what is wanted; for some ids alone, if given.
+
+    Rows are counted first and dealt over so many tasks, by id if ids are given, that the memory of one does not grow with the input.
+    """
     keys = current.columns
-    if ids is not None:
-        current, wanted = (x.join(ids.distinct(), ids.columns, "left_semi").select(*keys) for x in (current, wanted))
     sides = current.select(*keys, F.lit(1).alias("_s")).union(wanted.select(*keys, F.lit(2).alias("_s")))
+    by, n = (keys, sides.count()) if ids is None else (ids.columns, sides.count() + ids.count())
+    parts = -(-n // ROWS) or 1
+    sides = sides.repartition(parts, *by)
+    if ids is not None:
+        sides = sides.join(ids.repartition(parts, *by), by, "left_semi").select(*keys, "_s")
     told = sides.groupBy(*keys).agg(F.min("_s").alias("_a"), F.max("_s").alias("_b")).where("_a = _b")
     return told.select(*keys, F.when(F.col("_a") == 1, "remove").otherwise("add").alias("action"))
 

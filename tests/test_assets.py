@@ -20,6 +20,16 @@ def test_replaced_keeps_what_is_wanted_and_counts_repeats_once(spark):
     assert rows(assets.replaced(now.limit(0), then.limit(0))) == []
 
 
+def test_replaced_deals_rows_over_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(assets, "ROWS", 10)
+    now, then = (spark.range(a, b).selectExpr("id % 30 as k", "id as v") for a, b in ((0, 60), (20, 90)))
+    for ids in (None, spark.range(20, 40).toDF("k")):
+        found = assets.replaced(now, then, ids)
+        kept = [x for x in [*range(20), *range(60, 90)] if ids is None or x % 30 >= 20]
+        assert rows(found) == sorted(((x % 30, x, "remove" if x < 20 else "add") for x in kept), key=str)
+        assert found.rdd.getNumPartitions() == (13 if ids is None else 15)
+
+
 def test_fields_are_filled_from_the_second(spark):
     a = spark.createDataFrame([(1, None, "x"), (2, "p", "y")], "k int, f string, g string")
     b = spark.createDataFrame([(1, "q", "z"), (3, "r", None)], "k int, f string, g string")
