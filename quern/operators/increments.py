@@ -100,15 +100,17 @@ def merged_links(current: DataFrame, incoming: DataFrame, rebuilt: DataFrame) ->
     return both.groupBy("page", "target", "kind", F.coalesce("relation", F.lit("")).alias("relation")).agg(F.min_by("evidence", best).alias("evidence"))
 
 
-def withdrawn_links(links: DataFrame, live: DataFrame, gone: DataFrame) -> DataFrame:
+def withdrawn_links(links: DataFrame, live: DataFrame, gone: DataFrame, parts: int | None = None) -> DataFrame:
     """Links after sources went away: those of pages gone (page) go, a supported one without live evidence becomes plain navigation.
 
     links is (page, target, kind, relation, evidence), live (evidence_id). Evidence that is not live is taken out of the rest; links
-    that become equal are one.
+    that become equal are one. Pieces of evidence are dealt over `parts` tasks, by default as many as Spark's shuffles have.
     """
+    dealt = lambda rows, *by: rows.repartition(*([parts] if parts else []), *by)
     stays = links.join(gone.select("page").distinct(), "page", "left_anti")
     rows = stays.select("page", "target", "kind", "relation", F.explode_outer(F.array_distinct("evidence")).alias("evidence_id"))
     rows = rows.join(live.select("evidence_id", F.lit(True).alias("_live")).distinct(), "evidence_id", "left")
+    rows = dealt(rows, "page", "target")  # once, for each link and for those that become equal
     told = rows.groupBy("page", "target", "kind", "relation").agg(F.array_sort(F.collect_list(F.when(F.col("_live"), F.col("evidence_id")))).alias("evidence"))  # a link's own
     falls = (F.col("kind") == SUPPORTED) & (F.size("evidence") == 0)
     told = told.select("page", "target", F.when(falls, NAVIGATION).otherwise(F.col("kind")).alias("kind"), F.when(falls, "").otherwise(F.col("relation")).alias("relation"), F.when(F.col("kind") == SUPPORTED, F.col("evidence")).otherwise(F.array().cast("array<string>")).alias("evidence"))

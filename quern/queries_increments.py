@@ -48,9 +48,11 @@ def links_withdrawn(t: Tables) -> DataFrame:
     """Suppliers' links to parts after orders that are not finished, and suppliers in debt, went away."""
     text = lambda c: F.col(c).cast("string")
     evidence = F.collect_set(text("l_orderkey"))  # of one supplier and part
-    links = t("lineitem").groupBy(text("l_suppkey").alias("page"), text("l_partkey").alias("target")).agg(F.lit("supported_relation").alias("kind"), F.lit("delivers").alias("relation"), evidence.alias("evidence"))
+    lines = t("lineitem").select(text("l_suppkey").alias("page"), text("l_partkey").alias("target"), "l_orderkey")
+    parts = -(-lines.count() // 500_000) or 1  # so the memory of a task does not grow with the lines
+    links = lines.repartition(parts, "page", "target").groupBy("page", "target").agg(F.lit("supported_relation").alias("kind"), F.lit("delivers").alias("relation"), evidence.alias("evidence"))
     live = t("orders").where("o_orderstatus = 'F'").select(text("o_orderkey").alias("evidence_id"))
-    found = increments.withdrawn_links(links, live, t("supplier").where("s_acctbal < 0").select(text("s_suppkey").alias("page")))
+    found = increments.withdrawn_links(links, live, t("supplier").where("s_acctbal < 0").select(text("s_suppkey").alias("page")), parts)
     return found.select("page", "target", "kind", F.size("evidence").cast("long").alias("evidence"))
 
 

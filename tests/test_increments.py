@@ -149,3 +149,12 @@ def test_conflicts_of_groups(spark):
     forms = [(1, "Acme", ["Acme Corp"], None, "7", "e", "x"), (2, "acme corp", None, None, None, "e", "x"), (3, "Acme", None, None, "8", "e", "x"), (4, "old", ["new"], None, None, "e", "x"), (5, "new", ["old"], None, None, "e", "x"), (6, "New", None, ["old"], None, "e", "x"), (7, "alone", None, None, None, "e", None)]
     found = {r.id: (r.same_as, r.conflict) for r in identity.groups(spark.createDataFrame(forms, FORM)).collect()}
     assert found == {1: (1, True), 2: (1, True), 3: (1, True), 4: (4, True), 5: (4, True), 6: (4, True), 7: (7, False)}
+
+
+def test_evidence_of_links_is_dealt_over_as_many_tasks_as_are_asked_for(spark):
+    links = spark.createDataFrame([(f"p{i}", f"t{i % 5}", "supported_relation", r, [f"e{i}", f"e{i + 1}"]) for i in range(40) for r in "ab"], "page string, target string, kind string, relation string, evidence array<string>")
+    live, gone = spark.createDataFrame([(f"e{i}",) for i in range(20)], "evidence_id string"), spark.createDataFrame([("p3",)], "page string")
+    found = increments.withdrawn_links(links, live, gone, parts=7)
+    supported = [(f"p{i}", f"t{i % 5}", "supported_relation", r, sorted(f"e{j}" for j in (i, i + 1) if j < 20)) for i in range(20) if i != 3 for r in "ab"]
+    assert sorted(map(tuple, found.collect())) == sorted(supported + [(f"p{i}", f"t{i % 5}", "navigation", "", []) for i in range(20, 40)])
+    assert found.rdd.getNumPartitions() == 7
