@@ -81,6 +81,24 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert found == {(i, 0) for i in range(201)} | {(1000 + i, 1000) for i in range(300)}
 
 
+def test_rounds_of_components_take_few_tasks(spark):
+    width, adaptive = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = {k: spark.conf.get(k) for k in (width, adaptive)}
+    spark.conf.set(width, "64")
+    spark.conf.set(adaptive, "false")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        found = {tuple(r) for r in components(spark.createDataFrame([("b", "a"), ("b", "c"), ("d", "c"), ("y", "x"), ("x", "y")], "src string, dst string")).collect()}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {(x, "a") for x in "abcd"} | {(x, "x") for x in "xy"}
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s: tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(1 for x in stages.values() if x and x.numTasks >= 64 and x.numCompletedTasks) <= 4  # to make edges distinct, to write and count them
+
+
 def jaccard(a, b):
     one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((x or "").lower().split() for x in (a, b)))
     return len(one & two) / len(one | two) if one | two else 1.0
