@@ -34,6 +34,15 @@ PART = 256
 CELL, TURNS = 96, 1
 #: Lists of more sets are compared in tiles of TILE sets each.
 SMALL, TILE = 64, 512
+#: Files of pairs that a task reads at most, where there are more than cores.
+WIDE = 16
+
+
+def noted(df: DataFrame) -> DataFrame:
+    """checkpoint() for pairs and places: what made them is let go, and one task reads up to WIDE of the many small files that joins leave."""
+    df = checkpoint(df)
+    released(df.sparkSession)
+    return df.coalesce(max(8, df.sparkSession.sparkContext.defaultParallelism, -(-df.rdd.getNumPartitions() // WIDE)))
 
 
 def name(hashes: np.ndarray) -> int:
@@ -85,7 +94,7 @@ def held(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             good = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= sizes * ((1 - least) / (1 + least)) + 1e-6
             yield batch.select(["u", "v"]).filter(pa.array(good))
 
-    return checkpoint(pairs.join(side("v"), "v").join(side("u"), "u").mapInArrow(may_be, "u long, v long"))
+    return noted(pairs.join(side("v"), "v").join(side("u"), "u").mapInArrow(may_be, "u long, v long"))
 
 
 def confirmed(held: DataFrame, sets: DataFrame, texts: DataFrame, cut, least: float) -> DataFrame:
@@ -97,7 +106,7 @@ def confirmed(held: DataFrame, sets: DataFrame, texts: DataFrame, cut, least: fl
     asked = held.join(parts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("_parts")).cast("int").alias("part"))
     firsts = asked.select("u", "part", F.lit(0).alias("role"), F.col("u").alias("set")).distinct()
     places = firsts.union(asked.select("u", "part", F.lit(1).alias("role"), F.col("v").alias("set")))
-    places = checkpoint(places.join(sets.select("set", "key"), "set"))
+    places = noted(places.join(sets.select("set", "key"), "set"))
     wanted = texts.sparkSession.sparkContext.broadcast(bitmap(places.select(F.xxhash64("key").alias("h"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +137,7 @@ def confirmed(held: DataFrame, sets: DataFrame, texts: DataFrame, cut, least: fl
 
     known = texts.select("key", "text", F.xxhash64("key").alias("h")).mapInArrow(read, "key struct<id: long, mark: long>, text string")
     dealt = known.join(places, "key").select("u", "part", "role", "set", "text").repartition("u", "part")
-    found = checkpoint(dealt.sortWithinPartitions("u", "part", "role", "set").mapInArrow(decide, "u long, v long"))
+    found = noted(dealt.sortWithinPartitions("u", "part", "role", "set").mapInArrow(decide, "u long, v long"))
     wanted.destroy()  # what is written needs it no more, and workers keep what they were sent
     return found
 
@@ -199,7 +208,7 @@ def by_fingerprint(sets: DataFrame, close) -> DataFrame:
     """(u, v), u < v, of sets (set, fp) that fingerprints propose: those close() connects, and of equal ones each with the least."""
     nodes = checkpoint(sets.groupBy("fp").agg(F.min("set").alias("id")))
     same = sets.join(nodes, "fp").where("set <> id").select(F.col("id").alias("u"), F.col("set").alias("v"))
-    return checkpoint(close(nodes.select("id", "fp")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(same).distinct())
+    return noted(close(nodes.select("id", "fp")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(same).distinct())
 
 
 def apart_in(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -262,10 +271,10 @@ def groups(docs: DataFrame, cut, least: float, fingerprint, close) -> tuple[Data
     proposed = by_fingerprint(sets.select("set", "fp"), close)
     released(docs.sparkSession)
     links = confirmed(held(proposed, sets, least), sets, texts, cut, least)
-    tried = checkpoint(apart_in(tried, components(links)).join(proposed, ["u", "v"], "left_anti"))
+    tried = noted(apart_in(tried, components(links)).join(proposed, ["u", "v"], "left_anti"))
     released(docs.sparkSession)
     links = links.union(confirmed(held(tried, sets, least), sets, texts, cut, least))
-    tried = checkpoint(tried.union(proposed))
+    tried = noted(tried.union(proposed))
     roots = components(links)
     placed = lists.join(roots, lists["set"] == roots["node"], "left").select("h", "set", "n", "at", F.coalesce("root", "set").alias("root"))
     for turn in range(TURNS + 1):
@@ -282,18 +291,18 @@ def groups(docs: DataFrame, cut, least: float, fingerprint, close) -> tuple[Data
         root = lambda x: apart.select(F.col("set").alias(x), F.col("root").alias(f"r{x}")).distinct()
         open_ = open_.join(root("u"), "u").join(root("v"), "v")
         if whole_:  # first one pair for each two groups, then what that has not connected
-            open_ = checkpoint(open_.select("u", "v", F.least("ru", "rv").alias("ru"), F.greatest("ru", "rv").alias("rv")))
-            one = checkpoint(open_.groupBy("ru", "rv").agg(F.min(F.struct(F.xxhash64("u", "v"), "u", "v")).alias("x")).select("x.u", "x.v", "ru", "rv"))
+            open_ = noted(open_.select("u", "v", F.least("ru", "rv").alias("ru"), F.greatest("ru", "rv").alias("rv")))
+            one = noted(open_.groupBy("ru", "rv").agg(F.min(F.struct(F.xxhash64("u", "v"), "u", "v")).alias("x")).select("x.u", "x.v", "ru", "rv"))
             some = confirmed(one.select("u", "v"), sets, texts, cut, least)
             joined = components(one.join(some, ["u", "v"]).select("ru", "rv"))
             now = lambda x: joined.select(F.col("node").alias(x), F.col("root").alias(f"_{x}"))
             rest = open_.join(now("ru"), "ru", "left").join(now("rv"), "rv", "left").where(F.coalesce("_ru", "ru") != F.coalesce("_rv", "rv"))
             released(docs.sparkSession)
-            left = confirmed(checkpoint(rest.select("u", "v").join(one.select("u", "v"), ["u", "v"], "left_anti")), sets, texts, cut, least)
+            left = confirmed(noted(rest.select("u", "v").join(one.select("u", "v"), ["u", "v"], "left_anti")), sets, texts, cut, least)
             links = links.union(some).union(left)
             break
         more = confirmed(open_.select("u", "v"), sets, texts, cut, least)
-        links, tried = links.union(more), checkpoint(tried.union(pairs))
+        links, tried = links.union(more), noted(tried.union(pairs))
         joined = components(more.join(root("u"), "u").join(root("v"), "v").select("ru", "rv"))
         placed = apart.drop("size").join(joined, apart["root"] == joined["node"], "left").select("h", "set", "n", "at", F.coalesce(joined["root"], apart["root"]).alias("root"))
         released(docs.sparkSession)

@@ -185,3 +185,8 @@ def test_keep_one_asks_fingerprints_first(spark, monkeypatch):
     monkeypatch.setattr(similar, "by_fingerprint", lambda sets, close: proposed.append(of(sets, close)) or proposed[0])
     kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert asked == [4] and proposed[0].count() >= 15 and sorted(kept) == [3 * i for i in range(20)]
+
+
+def test_pairs_are_read_by_few_tasks(spark):
+    pairs = similar.noted(spark.range(0, 640, 1, 64))
+    assert pairs.rdd.getNumPartitions() == 8 and sorted(r.id for r in pairs.collect()) == list(range(640))
