@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,68 @@ def test_results_compared_and_voted(spark):
     assert tuple(repository.same_rows(one.limit(0), one.limit(0)).first()) == (True, True)
     runs = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y"), (4, "x"), (5, None)], "run int, answer string")
     assert tuple(repository.voted(runs, "run", "answer").first()) == (1, 2)
+
+
+def paired(edges, most):
+    both = {(a, b) for a, b in edges if a and b} | {(b, a) for a, b in edges if a and b}
+    near = {}
+    for a, b in {x for a, b in edges for x in ((a, b), (b, a))}:
+        near.setdefault(a, set()).add(b)
+    found = {}
+    for via in sorted(x for x in near if x and len(near[x]) <= most):
+        for a in near[via] - {via, None}:
+            for c in near[via] - {via, None}:
+                if a < c and (a, c) not in both:
+                    found.setdefault((a, c), via)
+    return {(a, via, c) for (a, c), via in found.items()}
+
+
+def test_two_hop_pairs_send_lists_and_no_pairs(spark):
+    rows = [(f"v{i}", f"e{i * 29 + j}") for i in range(60) for j in range(29)]
+    jvm, context = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+
+    def sent():  # records by stage
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = sent()
+    found = {tuple(r) for r in graph.two_hop_pairs(spark.createDataFrame(rows, "src string, dst string"), 30).select("a", "via", "c").collect()}
+    assert found == paired(rows, 30) and len(found) == 60 * 29 * 14
+    assert len(rows) < sum(n for stage, n in sent().items() if stage not in before) < len(found) / 4
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_two_hop_pairs_in_many_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(graph, "BLOCK", 60)  # where names are divided; a few of them fill blocks of their own
+    rng = random.Random(6)
+    name = str if kind == "string" else int
+    rows = [(name(rng.randrange(1, 40)), name(rng.choice([100, 101, 150, rng.randrange(100, 200)]))) for _ in range(300)]
+    rows += [(name(rng.randrange(1, 200)), name(rng.randrange(1, 200))) for _ in range(60)] + [(name(7), None), (None, name(8))] + [(name(900), name(i)) for i in range(1, 30)]
+    edges = spark.createDataFrame(rows, f"src {kind}, dst {kind}").repartition(3)
+    found = graph.two_hop_pairs(edges, 12).collect()
+    assert {(r.a, r.via, r.c) for r in found} == paired(rows, 12) and len(found) == len(paired(rows, 12)) > 300
+    ends = spark.createDataFrame([(v, sorted(b for a, b in set(rows) if a == v and b)) for v in {a for a, _ in rows if a}], f"via {kind}, ends array<{kind}>")
+    cuts = graph._cuts(ends, 3000)
+    assert len(cuts) == 49 and max(cuts.count(c) for c in cuts) > 2
+    assert graph.two_hop_pairs(edges.limit(0), 12).collect() == []
+
+
+def test_two_hop_pairs_of_a_block_in_pieces(monkeypatch):
+    rng = random.Random(7)
+    lists = [(f"v{i}", sorted(rng.sample([f"e{j}" for j in range(50)], rng.randrange(2, 20)))) for i in range(80)]
+    batches = [pa.RecordBatch.from_pydict({"via": [v for v, _ in part], "ends": [e for _, e in part]}) for part in (lists[:50], lists[50:])]
+    wanted = {}
+    for via, ends in sorted(lists):
+        for i, a in enumerate(ends):
+            for c in ends[i + 1 :]:
+                wanted.setdefault((a, c), via)
+    monkeypatch.setattr(graph, "BLOCK", 100)
+    shared = type("Shared", (), {"value": sorted(["e10", "e2", "e2", "e2", "e2", "e30", "e4"])})
+    dealt = pa.Table.from_batches(graph._dealt(shared)(iter(batches)))
+    found = []
+    for block in sorted(set(dealt["block"].to_pylist())):
+        made = list(graph._met(iter(dealt.filter(pc.equal(dealt["block"], block)).to_batches())))
+        found += [(r["a"], r["c"], r["via"]) for part in made for r in part.to_pylist()]
+    assert sorted(set(dealt["block"].to_pylist())) == list(range(8))
+    assert sorted(found) == sorted((a, c, via) for (a, c), via in wanted.items())
