@@ -16,7 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ HEAD = 250_000
 MEMO, BLOCK = 400_000, 4096
 #: Documents that are learned from together; tokens of a block of documents at least, blocks that small corpora have at most, and changes averaged at once.
 GROUP, LEAST_TOKENS, MANY, FAN = 64, 800_000, 12, 16
+#: Gradients of a step that are added up by themselves if so many fall to one row of weights.
+WIDE = 24
 #: Odd numbers that features are multiplied with: four for classes, two for slots.
 FACTORS = [np.uint64(2 * (0x9E3779B97F4A7C15 * k % 2**63) + 1) for k in (1, 2, 3, 5, 7, 11)]
 
@@ -48,6 +50,11 @@ def mark(word: bytes) -> int:
     return h - (h >> 63 << 64)
 
 
+def marked(words: list[bytes]) -> np.ndarray:
+    """The marks of many words."""
+    return np.fromiter(map(xxh64_intdigest, words, repeat(11)), np.uint64, len(words)).view(np.int64)
+
+
 @lru_cache(maxsize=1 << 16)
 def ending(last: bytes) -> int:
     return xxh64_intdigest(last[-2:], 5) % (CLASSES - 1) * (SLOTS - OWN) + xxh64_intdigest(last, 6) % (SLOTS - OWN)
@@ -76,7 +83,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             words = list(found)
-            return pa.RecordBatch.from_arrays([pa.array([mark(w) for w in words], pa.int64()), pa.array([group(w) for w in words], pa.int32()), pa.array(list(found.values()), pa.int64())], ["mark", "cls", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(marked(words)), pa.array(np.fromiter(map(ending, [w[-4:] for w in words]), np.int32, len(words))), pa.array(list(found.values()), pa.int64())], ["mark", "cls", "n"])
 
         for batch in slices(batches, 64):
             for text in utf8(batch.column(0)):
@@ -163,13 +170,16 @@ class Lexicon(dict):
         """Find what is known of the words met since the last time."""
         if not self.new:
             return
-        marks = np.array([mark(w) for w in self.new], np.int64)
-        leaves = np.array([self.counts.singles.get(m, g) for m, g in zip(marks.tolist(), leaf(np.array(list(map(group, self.new)))).tolist(), strict=True)], np.int64)
+        marks, groups = marked(self.new), leaf(np.fromiter(map(ending, [w[-4:] for w in self.new]), np.int64, len(self.new)))
+        leaves = np.fromiter(map(self.counts.singles.get, marks.tolist(), groups.tolist()), np.int64, len(marks))
         logs = np.full(len(marks), -1.0)  # not in the head
         if len(self.counts.marks):
             at = np.searchsorted(self.counts.marks, marks).clip(max=len(self.counts.marks) - 1)
             logs = np.where(self.counts.marks[at] == marks, self.counts.logs[at], -1.0)
-        self.marks, self.leaves, self.logs = np.concatenate([self.marks, marks]), np.concatenate([self.leaves, leaves]), np.concatenate([self.logs, logs])
+        known, size = len(self) - len(self.new), len(self)
+        if size > len(self.marks):  # with room for as many again
+            self.marks, self.leaves, self.logs = (np.append(x[:known], np.zeros(size, x.dtype)) for x in (self.marks, self.leaves, self.logs))
+        self.marks[known:size], self.leaves[known:size], self.logs[known:size] = marks, leaves, logs
         self.new = []
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -224,21 +234,31 @@ def step(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], z: np
     np.exp(z, out=z)
     z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
     z[np.arange(len(z)), chosen] -= 1
-    size = np.einsum("ij,ij->i", z, z)
-    n = len(z)
-    own, order = np.divmod(np.sort(np.concatenate(rows) * (n * len(rows)) + np.arange(n * len(rows))), n * len(rows))
-    order %= n
+    size, n = np.einsum("ij,ij->i", z, z), len(z)
+    bits = np.uint32(n.bit_length())
+    order = np.concatenate(rows).astype(np.uint32)  # BLOCK and MOST_BITS leave room for both in 32 bits
+    order <<= bits
+    order |= np.tile(np.arange(n, dtype=np.uint32), len(rows))
+    order.sort()
+    own, order = (order >> bits).astype(np.int64), (order & ((np.uint32(1) << bits) - np.uint32(1))).astype(np.int64)
     starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     own, times = own[starts], np.diff(starts, append=len(order))
     squares[own] += np.add.reduceat(size[order], starts)
-    rates = (-rate / np.sqrt(squares[own] + np.float32(1))).astype(np.float32)
-    once = times == 1  # most rows of words and pairs
-    weights[own[once]] += z.take(order[starts[once]], axis=0) * rates[once, None]
-    if not once.all():  # what falls to one row of weights is added up first, two columns at a time
-        many = np.repeat(~once, times)
-        begins = np.cumsum(times[~once]) - times[~once]
-        sums = np.add.reduceat(z.view(np.complex64).take(order[many], axis=0), begins, axis=0).view(np.float32)
-        weights[own[~once]] += sums * rates[~once, None]
+    few = np.minimum(times, WIDE).astype(np.int16)
+    by, kinds = np.argsort(-few, kind="stable"), np.bincount(few, minlength=WIDE + 1).tolist()
+    own, starts, wide, most = own[by], starts[by], kinds[WIDE], len(by)
+    sums = z.take(order[starts], axis=0)
+    for k in range(1, WIDE - 1):  # what falls to one row of weights is added up first, of all rows that have so many
+        most -= kinds[k]
+        if most <= wide:
+            break
+        sums[wide:most] += z.take(order[starts[wide:most] + k], axis=0)
+    for i, (start, n) in enumerate(zip(starts[:wide].tolist(), times[by[:wide]].tolist(), strict=True)):
+        np.add.reduce(z.take(order[start : start + n], axis=0), axis=0, out=sums[i])
+    sums *= (-rate / np.sqrt(squares[own] + np.float32(1))).astype(np.float32)[:, None]
+    sums += weights.take(own, axis=0)
+    row = f"V{weights.strides[0]}"
+    weights.view(row)[own, 0] = sums.view(row)[:, 0]  # whole rows at once
 
 
 def learn(weights: np.ndarray, squares: np.ndarray, priors: tuple[np.ndarray, np.ndarray], words: Lexicon, tokens: np.ndarray, bits: int, rate: float) -> int:

@@ -136,3 +136,33 @@ def test_a_step_adds_up_what_falls_to_one_row_and_endings_are_hashed_once():
         assert np.allclose(weights, wanted, atol=1e-3) and np.allclose(squares, met, rtol=1e-4)
     maxent.ending.cache_clear()
     assert len({maxent.group(w + b"tion") for w in (b"na", b"sta", b"mo")}) == 1 and maxent.ending.cache_info().misses == 1
+
+
+def test_gradients_of_rows_met_any_number_of_times():
+    rng = np.random.default_rng(8)
+    times = [1, 1, 2, 3, maxent.WIDE - 1, maxent.WIDE, maxent.WIDE + 1, 3 * maxent.WIDE]
+    rows = [rng.permutation(np.repeat(np.arange(len(times)) * 1000 + 7, times))]
+    n = len(rows[0])
+    z, chosen = rng.normal(size=(n, 8)).astype(np.float32), rng.integers(0, 8, n)
+    weights, squares = rng.normal(size=(9000, 8)).astype(np.float32), np.zeros(9000, np.float32)
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    p[np.arange(n), chosen] -= 1
+    met, change = np.zeros(9000), np.zeros((9000, 8))
+    np.add.at(met, rows[0], (p * p).sum(axis=1))
+    np.add.at(change, rows[0], p)
+    wanted = weights - 0.4 * change / np.sqrt(met + 1)[:, None]
+    maxent.step(weights, squares, rows, z, chosen, 0.4)
+    assert np.allclose(weights, wanted, atol=1e-5) and np.allclose(squares, met, rtol=1e-5)
+
+
+def test_words_that_are_remembered_are_not_copied_by_each_batch():
+    counts = maxent.Counts(9, 2, 1, np.sort(maxent.marked([b"a", b"tea"])), np.log10([3.0, 4.0]), {maxent.mark(b"tea"): 5}, np.ones(maxent.CLASSES * maxent.SLOTS))
+    assert maxent.marked([b"a", b"", "ñ".encode()]).tolist() == [maxent.mark(w) for w in (b"a", b"", "ñ".encode())]
+    lexicon, made, held = maxent.Lexicon(counts), 0, None
+    for i in range(0, 3000, 10):
+        lexicon.read([b" ".join(b"w%d" % k for k in range(i, i + 10)), b"a tea"])
+        made, held = made + (lexicon.marks is not held), lexicon.marks
+    words = list(lexicon)
+    assert lexicon.marks[2 : len(words)].tolist() == maxent.marked(words[2:]).tolist() and made < 30
+    assert lexicon.leaves[lexicon[b"tea"]] == 5 and lexicon.leaves[lexicon[b"w77"]] == maxent.leaf(maxent.group(b"w77"))
+    assert lexicon.logs[lexicon[b"w77"]] == -1 and lexicon.logs[lexicon[b"a"]] >= 0
